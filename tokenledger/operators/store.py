@@ -102,14 +102,16 @@ class Store:
             return rows
         return rows.withColumn("day", day_bucket(F.col(spec.event_time)))
 
-    def _write(self, spec: TableSpec, rows: DataFrame, path: str, mode: str, dynamic: bool = False):
+    def _write(
+        self, rows: DataFrame, path: str, mode: str, days_only: bool = False, gather: bool = True
+    ) -> None:
+        """Write by day where there is one; ``days_only`` leaves other days as they are."""
         partitioned = "day" in rows.columns
-        if partitioned:
+        if partitioned and gather:
             # Gathers each day into few files and splits a day that is too large for one task.
             rows = rows.hint("rebalance", "day")
         writer = rows.write.mode(mode)
-        if dynamic:
-            writer = writer.option("partitionOverwriteMode", "dynamic")
+        writer = writer.option("partitionOverwriteMode", "dynamic" if days_only else "static")
         if partitioned:
             writer = writer.partitionBy("day")
         writer.parquet(path)
@@ -117,15 +119,11 @@ class Store:
     def append(self, spec: TableSpec, rows: DataFrame) -> None:
         """Bulk append without looking at keys; missing columns become NULL."""
         shaped = schema_with_nulls(rows, spec.schema)
-        self._write(spec, self._with_day(spec, shaped), self.path(spec), "append")
+        self._write(self._with_day(spec, shaped), self.path(spec), "append")
 
     def truncate(self, spec: TableSpec) -> None:
         """Empty the table."""
-        empty = self.spark.createDataFrame([], spec.stored_schema)
-        writer = empty.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        if spec.event_time is not None:
-            writer = writer.partitionBy("day")
-        writer.parquet(self.path(spec))
+        self._write(self.spark.createDataFrame([], spec.stored_schema), self.path(spec), "overwrite")
 
     def replace(self, spec: TableSpec, rows: DataFrame) -> None:
         """Load a small reference table whole. ``rows`` must not read the table itself."""
@@ -184,32 +182,42 @@ class Store:
         incoming_keys = batch.rows.select(*keys)
         stored = self.read(spec)
         days: list[date | None] = []
+        left: list[date | None] = []
         if spec.event_time is not None:
             days = self._days(batch.rows)
             if key_may_move and self._exists(self.path(spec)):
                 elsewhere = stored.where(~F.coalesce(_on_days(days), F.lit(False)))
-                days += self._days(elsewhere.select(*keys, "day").join(incoming_keys, keys, "left_semi"))
-            stored = stored.where(_on_days(days))
+                left = self._days(
+                    elsewhere.select(*keys, "day").join(incoming_keys, keys, "left_semi")
+                )
+            stored = stored.where(_on_days(days + left))
         latest = latest_by_key(batch.rows, keys, ["_seq"]).select(*stored.columns)
         merged = stored.join(incoming_keys, keys, "left_anti").unionByName(latest)
         stage = self._stage(spec)
         self._delete(stage)
-        self._write(spec, merged, f"{stage}/rows", "overwrite")
+        self._write(merged, f"{stage}/rows", "overwrite")
         # Written last: its presence says that the staged rows are complete.
-        self.spark.createDataFrame([(d,) for d in days], "day date").write.parquet(f"{stage}/days")
-        self._publish(spec, after)
+        touched = [(d, d in left) for d in days + left]
+        self.spark.createDataFrame(touched, "day date, may_be_empty boolean").coalesce(1).write.parquet(
+            f"{stage}/days"
+        )
+        self._publish(spec, touched, after)
         return batch.count
 
-    def _publish(self, spec: TableSpec, after: AfterPublish | None) -> None:
+    def _publish(
+        self, spec: TableSpec, touched: list[tuple[date | None, bool]], after: AfterPublish | None
+    ) -> None:
         stage = self._stage(spec)
         staged = self.spark.read.schema(spec.stored_schema).parquet(f"{stage}/rows")
-        days = self._days(self.spark.read.schema("day date").parquet(f"{stage}/days"))
-        self._write(spec, staged, self.path(spec), "overwrite", dynamic=spec.event_time is not None)
-        if spec.event_time is not None:
-            filled = set(self._days(staged))
-            self._drop_days(spec, [d for d in days if d not in filled])
+        by_day = spec.event_time is not None
+        # A plain copy: the staged files are already gathered by day.
+        self._write(staged, self.path(spec), "overwrite", days_only=by_day, gather=False)
+        emptied = [d for d, may_be_empty in touched if may_be_empty]
+        if emptied:
+            filled = set(self._days(staged.where(_on_days(emptied))))
+            self._drop_days(spec, [d for d in emptied if d not in filled])
         if after is not None:
-            after(days)
+            after([d for d, _ in touched])
         self._delete(stage)
 
     def _drop_days(self, spec: TableSpec, days: Sequence[date | None]) -> None:
@@ -219,9 +227,11 @@ class Store:
 
     def recover(self, spec: TableSpec, after: AfterPublish | None = None) -> bool:
         """Finish an interrupted upsert; true if there was one."""
-        if not self._exists(f"{self._stage(spec)}/days/_SUCCESS"):
+        record = f"{self._stage(spec)}/days"
+        if not self._exists(f"{record}/_SUCCESS"):
             return False
-        self._publish(spec, after)
+        rows = self.spark.read.schema("day date, may_be_empty boolean").parquet(record).collect()
+        self._publish(spec, [(r["day"], r["may_be_empty"]) for r in rows], after)
         return True
 
     # -- the tables -----------------------------------------------------------------
@@ -261,18 +271,16 @@ class Store:
     def register_users(self, rows: DataFrame) -> None:
         """Add users not seen before; known users keep their team."""
         ids = rows.where(F.col("user_id") != "").select("user_id").distinct()
-        known = self.read(DIM_USER).select("user_id")
-        unseen = ids.join(known, "user_id", "left_anti")
-        path = scratch_dir(self.spark, "unseen-users")
-        unseen.write.parquet(path)
-        found = self.spark.read.schema("user_id string").parquet(path)
-        if not found.isEmpty():
-            self.append(DIM_USER, found)
+        unseen = ids.join(self.read(DIM_USER).select("user_id"), "user_id", "left_anti")
+        # Mostly nobody is new; then no file is added.
+        if not unseen.isEmpty():
+            self.append(DIM_USER, unseen)
 
     def mark_synced(self, as_of: datetime | None = None) -> None:
+        """Note the time of the last sync, the only row this table has."""
         at = utc(as_of)
         row = self.spark.createDataFrame([("last_sync_at", at.isoformat(), at)], SYNC_STATE.schema)
-        self.upsert(SYNC_STATE, row)
+        self.replace(SYNC_STATE, row.coalesce(1))
 
     # -- stored daily roll-up -----------------------------------------------------------
 
@@ -285,9 +293,8 @@ class Store:
             facts = facts.where(_on_days(days))
         columns = [*USAGE_DAILY.columns[1:], "day"]
         path = self.path(USAGE_DAILY)
-        self._write(
-            USAGE_DAILY, usage_daily(facts).select(*columns), path, "overwrite", dynamic=days is not None
-        )
+        usage = usage_daily(facts).select(*columns)
+        self._write(usage, path, "overwrite", days_only=days is not None)
         if days is not None:
             kept = set(self._days(facts))
             self._drop_days(USAGE_DAILY, [d for d in days if d not in kept])

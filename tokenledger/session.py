@@ -42,10 +42,12 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for intermediate tables, in the cluster's shared folder.
 
-    The shared folder is the one named by ``spark.checkpoint.dir``; a local
-    temporary folder serves only where that setting is absent.
+    The shared folder is the one named by ``spark.checkpoint.dir``. In local
+    mode, where one machine is the cluster, a temporary folder may stand in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tokenledger-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
