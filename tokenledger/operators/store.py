@@ -90,10 +90,10 @@ class Store:
 
     def tables(self, use_rollup: bool = True) -> Tables:
         """All tables, with the stored daily roll-up when there is one."""
-        frames = {name: self.read(spec) for name, spec in TABLES.items()}
+        specs = dict(TABLES)
         if use_rollup and self._exists(self.path(USAGE_DAILY)):
-            frames[USAGE_DAILY.name] = self.read(USAGE_DAILY)
-        return Tables(self.spark, frames)
+            specs[USAGE_DAILY.name] = USAGE_DAILY
+        return Tables(self.spark, {n: lambda spec=spec: self.read(spec) for n, spec in specs.items()})
 
     # -- plain writes -------------------------------------------------------------
 

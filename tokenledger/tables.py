@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,28 +12,36 @@ from tokenledger.functions.scalars import day_bucket
 from tokenledger.schemas import TABLES, USAGE_DAILY
 
 
+Source = DataFrame | Callable[[], DataFrame]
+
+
 class Tables:
     """Tables by name; one that was never written is empty, not an error.
 
-    ``usage_daily`` is special: when present it is the stored daily roll-up and
-    every additive KPI is answered from it instead of from the fact table.
+    A table may be given as a function that opens it, which is called on first
+    use only. ``usage_daily`` is special: when present it is the stored daily
+    roll-up and every additive KPI is answered from it instead of from the fact
+    table.
     """
 
-    def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame]):
+    def __init__(self, spark: SparkSession, sources: Mapping[str, Source]):
         self.spark = spark
-        self._frames = dict(frames)
+        self._sources = dict(sources)
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name in self._frames:
-            return self._frames[name]
-        spec = USAGE_DAILY if name == USAGE_DAILY.name else TABLES[name]
-        return self.spark.createDataFrame([], spec.stored_schema)
+        source = self._sources.get(name)
+        if source is None:
+            spec = USAGE_DAILY if name == USAGE_DAILY.name else TABLES[name]
+            return self.spark.createDataFrame([], spec.stored_schema)
+        if not isinstance(source, DataFrame):
+            source = self._sources[name] = source()
+        return source
 
     def __contains__(self, name: str) -> bool:
-        return name in self._frames
+        return name in self._sources
 
-    def with_frames(self, **frames: DataFrame) -> Tables:
-        return Tables(self.spark, {**self._frames, **frames})
+    def with_frames(self, **sources: Source) -> Tables:
+        return Tables(self.spark, {**self._sources, **sources})
 
     def observations(self, since: datetime | None = None) -> DataFrame:
         """Observation facts with their ``day``, optionally from an instant on.
