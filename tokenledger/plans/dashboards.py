@@ -150,41 +150,49 @@ def dash_coverage(tables: Tables) -> DataFrame:
 # -- pivots ------------------------------------------------------------------------
 
 
-def _pivot_top(rows: DataFrame, totals: DataFrame, value: str, ranks: int) -> DataFrame:
+def _pivot_top(rows: DataFrame, value: str, ranks: int) -> DataFrame:
     """Days by the ``ranks`` labels of largest total: a label and value column per rank.
 
-    Every day of the rows is present. Ranking happens after the top-k limit, so
+    Every day of the rows is present. Totals, names and values all start from
+    the same aggregate, whose shuffle is reused. Ranking happens after the top-k limit, so
     the window holds at most ``ranks`` rows and the joined side is that small
     whatever the data; both facts come from the limit, which makes the
     broadcast safe. Columns are named by rank, so no job runs to find labels.
     """
     order = (F.desc("total"), F.asc("label"))
-    top = totals.orderBy(*order).limit(ranks)
+    # Both branches use the value and the cost, so that pruning leaves them the same
+    # aggregate to share; the extra sort keys decide nothing.
+    totals = rows.groupBy("label").agg(
+        F.sum(F.coalesce("total_cost", F.lit(0))).alias("total"), F.max(value).alias("largest")
+    )
+    top = totals.orderBy(*order, "largest").limit(ranks)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     names = ranked.agg(
-        *(F.max(F.when(F.col("rank") == i, F.col("label"))).alias(f"l{i}") for i in range(1, ranks + 1))
-    ).select(F.struct("*").alias("names"))
+        F.struct(
+            *(F.max(F.when(F.col("rank") == i, F.col("label"))).alias(f"l{i}") for i in range(1, ranks + 1))
+        ).alias("names")
+    )
     joined = rows.join(F.broadcast(ranked.select("label", "rank")), "label", "left")
     values = joined.groupBy("day").agg(
+        F.sum("total_cost").alias("day_total"),
         *(
             F.max(F.when(F.col("rank") == i, F.col(value))).alias(f"v{i}")
             for i in range(1, ranks + 1)
+        ),
+    )
+    pairs = (
+        column
+        for i in range(1, ranks + 1)
+        for column in (
+            F.col(f"names.l{i}").alias(f"label_{i}"),
+            F.col(f"v{i}").cast("double").alias(f"value_{i}"),
         )
     )
     return (
         values.withColumn("names", names.scalar())
-        .select(
-            "day",
-            *(
-                column
-                for i in range(1, ranks + 1)
-                for column in (
-                    F.col(f"names.l{i}").alias(f"label_{i}"),
-                    F.col(f"v{i}").cast("double").alias(f"value_{i}"),
-                )
-            ),
-        )
-        .orderBy("day")
+        .select("day", *pairs, "day_total")
+        .orderBy("day", "day_total")
+        .drop("day_total")
     )
 
 
@@ -195,12 +203,10 @@ def pivot_daily(
     since = date_before(utc(as_of), days)
     column = DIMENSIONS.get(dimension, "project_name")
 
-    def usage(*by: str) -> DataFrame:
-        found = usage_rollup(tables, [*by, column], ("total_cost",), since)
-        return found.withColumnRenamed(column, "label")
-
-    totals = usage().select("label", F.col("total_cost").alias("total"))
-    return _pivot_top(usage("day"), totals, "total_cost", 6)
+    rows = usage_rollup(tables, ["day", column], ("total_cost",), since).withColumnRenamed(
+        column, "label"
+    )
+    return _pivot_top(rows, "total_cost", 6)
 
 
 def pivot_model(
@@ -209,8 +215,7 @@ def pivot_model(
     """A daily efficiency metric of the five costliest models."""
     since = midnight(date_before(utc(as_of), days))
     rows = model_daily_of(tables.observations(since)).withColumnRenamed("model", "label")
-    totals = rows.groupBy("label").agg(F.sum(F.coalesce("total_cost", F.lit(0))).alias("total"))
-    return _pivot_top(rows, totals, metric, 5)
+    return _pivot_top(rows, metric, 5)
 
 
 def hour_of_day(

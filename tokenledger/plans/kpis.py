@@ -355,9 +355,12 @@ def kpi_governance(tables: Tables, as_of: datetime | None = None) -> DataFrame:
             F.count_if(in_thirty).alias("rows_30d"),
         )
     )
+    # Both branches use every column, so that pruning leaves them the same plan to
+    # share; the label already makes the order unique.
+    in_window = F.col("rows_30d") > 0
     top5 = (
-        users.where(F.col("rows_30d") > 0)
-        .orderBy(F.desc("cost_30d"), F.asc(user_label()))
+        users.where(in_window)
+        .orderBy(F.desc("cost_30d"), F.asc(user_label()), "month_cost", "month_rows")
         .limit(5)
         .agg(F.sum("cost_30d").alias("top_cost"))
     )
@@ -368,7 +371,7 @@ def kpi_governance(tables: Tables, as_of: datetime | None = None) -> DataFrame:
         usd(
             F.coalesce(sum_if(F.col("month_cost"), F.col("team") == UNASSIGNED), F.lit(0))
         ).alias("unattributed"),
-        F.sum("cost_30d").alias("total_30d"),
+        sum_if(F.col("cost_30d"), in_window).alias("total_30d"),
     )
     return totals.select(
         "*",

@@ -11,7 +11,7 @@ down to a handful of rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -91,8 +91,13 @@ def usage_rollup(
     by: Sequence[str],
     measures: Sequence[str] = MEASURES,
     since: date | None = None,
+    derived: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Measures summed by a subset of day, project, user, team and model."""
+    """Measures summed by a subset of day, project, user, team and model.
+
+    ``derived`` names further grouping columns computed from those, for example
+    the week of the day; they are grouped by directly, not in a second step.
+    """
     if "usage_daily" in tables:
         source, counted = tables["usage_daily"], False
         if since is not None:
@@ -100,6 +105,7 @@ def usage_rollup(
     else:
         start = midnight(since) if since is not None else None
         source, counted = labelled(tables.observations(start)), True
+    source = source.withColumns(dict(derived or {}))
 
     if "team" not in by:
         return source.groupBy(*by).agg(*measure_sums(measures, counted))

@@ -8,7 +8,7 @@ skipped by date.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -299,34 +299,36 @@ def kpi_cohort(
     distinct user count into a plain count and bounds each user's window.
     """
     check_range("days", days, 14, 730)
-    usage = usage_rollup(tables, ["user_id", "day"], ("total_cost",), date_before(utc(as_of), days))
-    return cohort_of(usage, calendar)
+    return cohort_of(user_weeks(tables, date_before(utc(as_of), days)), calendar)
 
 
-def cohort_of(user_days: DataFrame, calendar: bool = False) -> DataFrame:
-    week = F.col("week")
-    number = week.getField("year") * 52 + week.getField("week")
+def user_weeks(tables: Tables, since: date | None = None) -> DataFrame:
+    """Cost per user and week, the week given by its Monday."""
     monday = F.date_trunc("week", "day").cast("date")
-    weekly = (
-        user_days.groupBy(
-            "user_id", iso_week(F.col("day")).alias("week"), monday.alias("monday")
-        )
-        .agg(F.sum("total_cost").alias("cost"))
-        .withColumn("number", number)
+    return usage_rollup(
+        tables, ["user_id", "monday"], ("total_cost",), since, derived={"monday": monday}
     )
+
+
+def cohort_of(weeks: DataFrame, calendar: bool = False) -> DataFrame:
+    week = F.col("week")
     per_user = Window.partitionBy("user_id")
-    offsets = weekly.withColumns(
-        {
-            "first": F.min("week").over(per_user),
-            "week_offset": F.col("number") - F.min("number").over(per_user),
-            "week_offset_calendar": F.floor(
-                F.datediff("monday", F.min("monday").over(per_user)) / 7
-            ).cast("int"),
-        }
+    offsets = (
+        weeks.withColumn("week", iso_week(F.col("monday")))
+        .withColumn("number", week.getField("year") * 52 + week.getField("week"))
+        .withColumns(
+            {
+                "first": F.min("week").over(per_user),
+                "week_offset": F.col("number") - F.min("number").over(per_user),
+                "week_offset_calendar": (
+                    F.datediff("monday", F.min("monday").over(per_user)) / 7
+                ).cast("int"),
+            }
+        )
     )
     keys = ["week_offset", "week_offset_calendar"] if calendar else ["week_offset"]
     # Week 53 and the week after share a number: merge them per user before counting users.
-    per_offset = offsets.groupBy("user_id", "first", *keys).agg(F.sum("cost").alias("cost"))
+    per_offset = offsets.groupBy("user_id", "first", *keys).agg(F.sum("total_cost").alias("cost"))
     return (
         per_offset.groupBy(iso_week_label(F.col("first")).alias("cohort"), *keys)
         .agg(

@@ -126,12 +126,8 @@ _over(
 )
 
 
-def _all_time(by: list[str]) -> Callable[[Tables], DataFrame]:
-    return lambda t: usage_rollup(t, by, ("total_cost",))
-
-
 def _all_time_series(t: Tables) -> DataFrame:
-    return _all_time(["day"])(t).select("day", F.col("total_cost").alias("cost"))
+    return usage_rollup(t, ["day"], ("total_cost",)).select("day", F.col("total_cost").alias("cost"))
 
 
 _over("kpi_periods_weekly_all", lambda t: ts.weekly_change(_all_time_series(t)), order_tables)
@@ -142,10 +138,10 @@ _over("kpi_change_points", lambda t: ts.kpi_change_points(t, as_of=AS_OF))
 _over("kpi_change_points_long", lambda t: ts.kpi_change_points(t, 365, AS_OF_LONG), order_tables)
 _over("kpi_cohort", lambda t: ts.kpi_cohort(t, as_of=AS_OF))
 _over("kpi_cohort_long", lambda t: ts.kpi_cohort(t, 730, as_of=AS_OF_LONG), order_tables)
-_over("kpi_cohort_all", lambda t: ts.cohort_of(_all_time(["user_id", "day"])(t)), order_tables)
+_over("kpi_cohort_all", lambda t: ts.cohort_of(ts.user_weeks(t)), order_tables)
 _over(
     "kpi_cohort_calendar",
-    lambda t: ts.cohort_of(_all_time(["user_id", "day"])(t), calendar=True),
+    lambda t: ts.cohort_of(ts.user_weeks(t), calendar=True),
     order_tables,
 )
 
