@@ -1,6 +1,7 @@
 """Scan of per-session event logs: ``<root>/<project>/<session>/<log file>``.
 
-One JSON event per line. Compressed logs should be landed as ``.zst``: the same
+One JSON event per line. Logs are found by file name below the root, listed in
+parallel; the two folders above a file name its project and session. Compressed logs should be landed as ``.zst``: the same
 bytes named ``.zstd`` are planned as splittable, which fails on files above the
 split size unless ``spark.sql.files.maxPartitionBytes`` and
 ``spark.sql.files.openCostInBytes`` exceed the largest file.
@@ -8,55 +9,65 @@ split size unless ``spark.sql.files.maxPartitionBytes`` and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenledger.functions.scalars import utc
 from tokenledger.schemas import SESSION_EVENT
 from tokenledger.session import pin_utc
 
-LOG_PATTERN = "*/*/session.jsonl.zst*"
+LOG_NAME = "session.jsonl.zst*"
 
 # Lines of one log that a single window task orders; longer logs take several.
 CHUNK_LINES = 1 << 20
 
 
 def read_session_events(
-    spark: SparkSession, root: str, pattern: str = LOG_PATTERN, chunk_lines: int = CHUNK_LINES
+    spark: SparkSession,
+    root: str,
+    name: str = LOG_NAME,
+    changed_since: datetime | None = None,
+    chunk_lines: int = CHUNK_LINES,
 ) -> DataFrame:
     """Parsed events with their file, position and the folder names above them.
 
     ``line`` rises within a file and ``chunk`` cuts a file into runs of lines;
-    blank lines and lines that are not JSON are left out.
+    blank lines and lines that are not JSON are left out. ``changed_since`` reads
+    only logs written to after that time: a log depends on no other log, so the
+    ones left out would yield the same rows again.
     """
     path = F.col("_metadata.file_path")
     folder = r"(?:[A-Za-z_]+=)?([^/]+)"
     event = F.from_json("value", SESSION_EVENT)
-    lines = pin_utc(spark).read.text(f"{root.rstrip('/')}/{pattern}").select(
-        "value",
+    reader = pin_utc(spark).read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
+    if changed_since is not None:
+        reader = reader.option("modifiedAfter", utc(changed_since).strftime("%Y-%m-%dT%H:%M:%S"))
+    # The JSON scan parses a line once and skips blank ones; a line that is not an
+    # event has no type.
+    path = F.col("_metadata.file_path")
+    events = reader.schema(SESSION_EVENT).json(root).select(
         path.alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("position"),
+        _folder(path, 3).alias("project_folder"),
+        _folder(path, 2).alias("session_folder"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("position"),
+        ).alias("line"),
+        "type",
+        "id",
+        "time",
+        F.col("data.usage").alias("usage"),
+        F.col("data.message.source.model").alias("model"),
     )
-    position = F.struct("block", "position")
-    return (
-        lines.where(F.trim("value") != "")
-        .select(
-            "file",
-            position.alias("line"),
-            F.struct("block", F.floor(F.col("position") / chunk_lines).alias("run")).alias("chunk"),
-            event.alias("event"),
-        )
-        .where(F.col("event.type").isNotNull())
-        .select(
-            "file",
-            "line",
-            "chunk",
-            F.regexp_extract(F.url_decode("file"), rf"{folder}/{folder}/[^/]+$", 1).alias("project_folder"),
-            F.regexp_extract(F.url_decode("file"), rf"{folder}/{folder}/[^/]+$", 2).alias("session_folder"),
-            F.col("event.type").alias("type"),
-            F.col("event.id").alias("id"),
-            F.col("event.time").alias("time"),
-            F.col("event.data.usage").alias("usage"),
-            F.col("event.data.message.source.model").alias("model"),
-        )
+    run = F.floor(F.col("line.position") / chunk_lines)
+    return events.where(F.col("type").isNotNull()).withColumn(
+        "chunk", F.struct(F.col("line.block").alias("block"), run.alias("run"))
     )
+
+
+def _folder(path: Column, from_end: int) -> Column:
+    """A folder of a path counted from its end, without a ``key=`` in front."""
+    name = F.substring_index(F.substring_index(path, "/", -from_end), "/", 1)
+    return F.regexp_replace(F.url_decode(name), "^[A-Za-z_]+=", "")

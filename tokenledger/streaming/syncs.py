@@ -27,7 +27,7 @@ from tokenledger.sources.landing import (
     read_store_scores,
     read_store_traces,
 )
-from tokenledger.sources.session_logs import LOG_PATTERN, read_session_events
+from tokenledger.sources.session_logs import LOG_NAME, read_session_events
 
 
 def _named(rows: DataFrame, projects: DataFrame | None) -> DataFrame:
@@ -93,12 +93,13 @@ def sync_session_logs(
     spark: SparkSession,
     root: str,
     store: Store,
-    pattern: str = LOG_PATTERN,
+    name: str = LOG_NAME,
+    changed_since: datetime | None = None,
     as_of: datetime | None = None,
     **options,
 ) -> int:
-    """Session logs, read whole each time: they grow in place."""
-    events = read_session_events(spark, root, pattern)
+    """Session logs. They grow in place, so a changed log is read whole again."""
+    events = read_session_events(spark, root, name, changed_since)
     rows = session_observations(events, store.read(MODEL_PRICES), as_of=as_of, **options)
     return store.upsert_observations(rows, as_of)
 

@@ -256,7 +256,7 @@ FROM log_cost""",
 def ingest_session_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = land_session_logs(spark, sf_dir)
     # Small chunks, so that state really is handed from chunk to chunk.
-    events = read_session_events(spark, root, "*/*/part-*", chunk_lines=16)
+    events = read_session_events(spark, root, "part-*", chunk_lines=16)
     return session_observations(events, default_model_prices(spark), as_of=AS_OF).drop("_seq")
 
 
