@@ -103,13 +103,19 @@ class Store:
         return rows.withColumn("day", day_bucket(F.col(spec.event_time)))
 
     def _write(
-        self, rows: DataFrame, path: str, mode: str, days_only: bool = False, gather: bool = True
+        self,
+        rows: DataFrame,
+        path: str,
+        mode: str,
+        days_only: bool = False,
+        gather: bool = True,
+        cluster: Sequence[str] = (),
     ) -> None:
         """Write by day where there is one; ``days_only`` leaves other days as they are."""
         partitioned = "day" in rows.columns
         if partitioned and gather:
             # Gathers each day into few files and splits a day that is too large for one task.
-            rows = rows.hint("rebalance", "day")
+            rows = rows.hint("rebalance", "day").sortWithinPartitions("day", *cluster)
         writer = rows.write.mode(mode)
         writer = writer.option("partitionOverwriteMode", "dynamic" if days_only else "static")
         if partitioned:
@@ -119,7 +125,7 @@ class Store:
     def append(self, spec: TableSpec, rows: DataFrame) -> None:
         """Bulk append without looking at keys; missing columns become NULL."""
         shaped = schema_with_nulls(rows, spec.schema)
-        self._write(self._with_day(spec, shaped), self.path(spec), "append")
+        self._write(self._with_day(spec, shaped), self.path(spec), "append", cluster=spec.cluster)
 
     def truncate(self, spec: TableSpec) -> None:
         """Empty the table."""
@@ -179,7 +185,8 @@ class Store:
         self, spec: TableSpec, batch: Batch, key_may_move: bool, after: AfterPublish | None
     ) -> int:
         keys = list(spec.keys)
-        incoming_keys = batch.rows.select(*keys)
+        # Distinct, so that copies of one key do not pile up on one side of a join.
+        incoming_keys = batch.rows.select(*keys).distinct()
         stored = self.read(spec)
         days: list[date | None] = []
         left: list[date | None] = []
@@ -195,7 +202,7 @@ class Store:
         merged = stored.join(incoming_keys, keys, "left_anti").unionByName(latest)
         stage = self._stage(spec)
         self._delete(stage)
-        self._write(merged, f"{stage}/rows", "overwrite")
+        self._write(merged, f"{stage}/rows", "overwrite", cluster=spec.cluster)
         # Written last: its presence says that the staged rows are complete.
         touched = [(d, d in left) for d in days + left]
         self.spark.createDataFrame(touched, "day date, may_be_empty boolean").coalesce(1).write.parquet(

@@ -11,19 +11,21 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 6)
+MONEY_SUM = T.DecimalType(28, 6)
 
 _TYPES = {
     "text": T.StringType(),
     "bigint": T.LongType(),
     "double": T.DoubleType(),
     "money": MONEY,
+    "money_sum": MONEY_SUM,
     "ts": T.TimestampType(),
     "date": T.DateType(),
     "json": T.VariantType(),
 }
 
 
-def _struct(**columns: str) -> T.StructType:
+def struct_of(**columns: str) -> T.StructType:
     return T.StructType([T.StructField(n, _TYPES[t], True) for n, t in columns.items()])
 
 
@@ -32,13 +34,15 @@ class TableSpec:
     """A stored table: columns, upsert key and (for facts) the event time.
 
     A table with an event time is stored partitioned by ``day``, the UTC date
-    of that time.
+    of that time. Within a file rows are sorted by ``cluster``, so that filters
+    on those columns skip row groups and repeated values compress.
     """
 
     name: str
     schema: T.StructType
     keys: tuple[str, ...]
     event_time: str | None = None
+    cluster: tuple[str, ...] = ()
 
     @property
     def columns(self) -> list[str]:
@@ -53,7 +57,7 @@ class TableSpec:
 
 FACT_OBSERVATION = TableSpec(
     "fact_observation",
-    _struct(
+    struct_of(
         observation_id="text",
         trace_id="text",
         project_id="text",
@@ -81,11 +85,12 @@ FACT_OBSERVATION = TableSpec(
     ),
     ("observation_id",),
     "start_time",
+    ("project_id", "model", "user_id"),
 )
 
 FACT_SCORE = TableSpec(
     "fact_score",
-    _struct(
+    struct_of(
         score_id="text",
         trace_id="text",
         observation_id="text",
@@ -102,19 +107,19 @@ FACT_SCORE = TableSpec(
 
 DIM_USER = TableSpec(
     "dim_user",
-    _struct(user_id="text", display_name="text", team="text", department="text"),
+    struct_of(user_id="text", display_name="text", team="text", department="text"),
     ("user_id",),
 )
 
 BUDGET = TableSpec(
     "budget",
-    _struct(scope_type="text", scope_id="text", period="text", budget_usd="double"),
+    struct_of(scope_type="text", scope_id="text", period="text", budget_usd="double"),
     ("scope_type", "scope_id", "period"),
 )
 
 MODEL_PRICES = TableSpec(
     "model_prices",
-    _struct(
+    struct_of(
         model="text",
         input_hit_per_1m="double",
         input_miss_per_1m="double",
@@ -125,15 +130,15 @@ MODEL_PRICES = TableSpec(
 
 TARGETS = TableSpec(
     "targets",
-    _struct(metric="text", op="text", threshold="double", label="text"),
+    struct_of(metric="text", op="text", threshold="double", label="text"),
     ("metric",),
 )
 
-SYNC_STATE = TableSpec("sync_state", _struct(key="text", value="text", updated_at="ts"), ("key",))
+SYNC_STATE = TableSpec("sync_state", struct_of(key="text", value="text", updated_at="ts"), ("key",))
 
 DIM_POLICY = TableSpec(
     "dim_policy",
-    _struct(
+    struct_of(
         rule_key="text",
         project_id="text",
         kind="text",
@@ -148,7 +153,7 @@ DIM_POLICY = TableSpec(
 
 FACT_GOVERNANCE = TableSpec(
     "fact_governance",
-    _struct(
+    struct_of(
         snapshot_id="text",
         project_id="text",
         exported_at="ts",
@@ -167,7 +172,7 @@ FACT_GOVERNANCE = TableSpec(
 
 FACT_GOVERNANCE_DIVERGENCE = TableSpec(
     "fact_governance_divergence",
-    _struct(
+    struct_of(
         project_id="text",
         model="text",
         task_key="text",
@@ -181,27 +186,22 @@ FACT_GOVERNANCE_DIVERGENCE = TableSpec(
 # are joined on read, so re-assigning a user takes effect without a rebuild.
 USAGE_DAILY = TableSpec(
     "usage_daily",
-    T.StructType(
-        [
-            *_struct(
-                day="date",
-                project_id="text",
-                project_name="text",
-                user_id="text",
-                model="text",
-                observations="bigint",
-                traces="bigint",
-                input_tokens="bigint",
-                output_tokens="bigint",
-                total_tokens="bigint",
-                cached_input_tokens="bigint",
-                reasoning_tokens="bigint",
-            ).fields,
-            *(
-                T.StructField(c, T.DecimalType(28, 6), True)
-                for c in ("input_cost", "output_cost", "total_cost")
-            ),
-        ]
+    struct_of(
+        day="date",
+        project_id="text",
+        project_name="text",
+        user_id="text",
+        model="text",
+        observations="bigint",
+        traces="bigint",
+        input_tokens="bigint",
+        output_tokens="bigint",
+        total_tokens="bigint",
+        cached_input_tokens="bigint",
+        reasoning_tokens="bigint",
+        input_cost="money_sum",
+        output_cost="money_sum",
+        total_cost="money_sum",
     ),
     ("day", "project_id", "project_name", "user_id", "model"),
 )
@@ -229,7 +229,7 @@ TABLES: dict[str, TableSpec] = {
 # bodies are not listed and so are never parsed.
 # ---------------------------------------------------------------------------
 
-RAW_OBSERVATION = _struct(
+RAW_OBSERVATION = struct_of(
     id="text",
     traceId="text",
     projectId="text",
@@ -249,7 +249,7 @@ RAW_OBSERVATION = _struct(
     tags="text",
 )
 
-RAW_STORE_OBSERVATION = _struct(
+RAW_STORE_OBSERVATION = struct_of(
     id="text",
     trace_id="text",
     project_id="text",
@@ -269,7 +269,7 @@ RAW_STORE_OBSERVATION = _struct(
 
 RAW_SCORE = T.StructType(
     [
-        *_struct(
+        *struct_of(
             id="text",
             traceId="text",
             observationId="text",
@@ -279,11 +279,11 @@ RAW_SCORE = T.StructType(
             source="text",
             timestamp="text",
         ).fields,
-        T.StructField("subject", _struct(kind="text", id="text", traceId="text"), True),
+        T.StructField("subject", struct_of(kind="text", id="text", traceId="text"), True),
     ]
 )
 
-RAW_STORE_SCORE = _struct(
+RAW_STORE_SCORE = struct_of(
     id="text",
     trace_id="text",
     observation_id="text",
@@ -294,11 +294,11 @@ RAW_STORE_SCORE = _struct(
     timestamp="text",
 )
 
-RAW_TRACE = _struct(
+RAW_TRACE = struct_of(
     id="text", userId="text", sessionId="text", environment="text", tags="text", timestamp="text"
 )
 
-RAW_STORE_TRACE = _struct(
+RAW_STORE_TRACE = struct_of(
     id="text", user_id="text", session_id="text", environment="text", tags="text", timestamp="text"
 )
 
@@ -313,7 +313,7 @@ SESSION_EVENT = T.StructType(
                 [
                     T.StructField(
                         "usage",
-                        _struct(
+                        struct_of(
                             inputTokens="bigint",
                             outputTokens="bigint",
                             reasoningTokens="bigint",
@@ -322,7 +322,7 @@ SESSION_EVENT = T.StructType(
                     ),
                     T.StructField(
                         "message",
-                        T.StructType([T.StructField("source", _struct(model="text"))]),
+                        T.StructType([T.StructField("source", struct_of(model="text"))]),
                     ),
                 ]
             ),
@@ -333,7 +333,7 @@ SESSION_EVENT = T.StructType(
 GOVERNANCE_DOCUMENT = T.StructType(
     [
         T.StructField("version", T.VariantType()),
-        T.StructField("project", _struct(id="text", name="text")),
+        T.StructField("project", struct_of(id="text", name="text")),
         T.StructField("exportedAt", T.StringType()),
         T.StructField(
             "metrics",
@@ -341,11 +341,11 @@ GOVERNANCE_DOCUMENT = T.StructType(
                 [
                     T.StructField("ttrpMs", T.VariantType()),
                     T.StructField(
-                        "precision14", _struct(numerator="json", denominator="json", ratio="json")
+                        "precision14", struct_of(numerator="json", denominator="json", ratio="json")
                     ),
                     T.StructField(
                         "proposals",
-                        _struct(
+                        struct_of(
                             total="json",
                             pending="json",
                             ratified="json",
@@ -359,7 +359,7 @@ GOVERNANCE_DOCUMENT = T.StructType(
         T.StructField(
             "policies",
             T.ArrayType(
-                _struct(
+                struct_of(
                     ruleKey="text",
                     kind="text",
                     status="text",
@@ -373,7 +373,7 @@ GOVERNANCE_DOCUMENT = T.StructType(
         T.StructField(
             "divergence",
             T.ArrayType(
-                _struct(model="text", taskKey="text", divergentTraces="json", totalTraces="json")
+                struct_of(model="text", taskKey="text", divergentTraces="json", totalTraces="json")
             ),
         ),
     ]

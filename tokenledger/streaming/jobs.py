@@ -24,7 +24,7 @@ from tokenledger.schemas import (
     RAW_OBSERVATION,
     RAW_SCORE,
     TableSpec,
-    _struct,
+    struct_of,
 )
 from tokenledger.session import pin_utc
 from tokenledger.sources.governance import accepted
@@ -35,14 +35,14 @@ LATENESS = "30 days"
 
 HOURLY_USAGE = TableSpec(
     "hourly_usage",
-    _struct(
+    struct_of(
         hour="ts",
         project_name="text",
         observations="bigint",
         input_tokens="bigint",
         output_tokens="bigint",
         total_tokens="bigint",
-        total_cost="money",
+        total_cost="money_sum",
     ),
     ("hour", "project_name"),
     "hour",
@@ -147,7 +147,7 @@ def hourly_usage_stream(observations: DataFrame, lateness: str = LATENESS) -> Da
             "input_tokens",
             "output_tokens",
             "total_tokens",
-            F.col("total_cost").cast(HOURLY_USAGE.schema["total_cost"].dataType).alias("total_cost"),
+            "total_cost",
         )
     )
 
