@@ -204,13 +204,21 @@ class Store:
         self._delete(stage)
         self._write(merged, f"{stage}/rows", "overwrite", cluster=spec.cluster)
         # Written last: its presence says that the staged rows are complete.
-        touched = [(d, d in left) for d in days + left]
-        self.spark.createDataFrame(touched, "day date, may_be_empty boolean").coalesce(1).write.parquet(
-            f"{stage}/days"
-        )
+        touched = [(d, False) for d in days] + [(d, True) for d in left]
+        self._day_record(touched).write.parquet(f"{stage}/days")
         self._publish(spec, touched, after)
         return batch.count
 
+    def _day_record(self, touched: list[tuple[date | None, bool]]) -> DataFrame:
+        """The touched days as rows, one per partition folder; none for an unpartitioned table."""
+        days = [
+            F.struct(F.lit(d).cast("date").alias("day"), F.lit(m).alias("may_be_empty"))
+            for d, m in touched
+        ]
+        if not days:
+            return self.spark.createDataFrame([], "day date, may_be_empty boolean")
+        return self.spark.range(1, numPartitions=1).select(F.inline(F.array(*days)))
+
     def _publish(
         self, spec: TableSpec, touched: list[tuple[date | None, bool]], after: AfterPublish | None
     ) -> None:
@@ -286,8 +294,12 @@ class Store:
     def mark_synced(self, as_of: datetime | None = None) -> None:
         """Note the time of the last sync, the only row this table has."""
         at = utc(as_of)
-        row = self.spark.createDataFrame([("last_sync_at", at.isoformat(), at)], SYNC_STATE.schema)
-        self.replace(SYNC_STATE, row.coalesce(1))
+        row = self.spark.range(1, numPartitions=1).select(
+            F.lit("last_sync_at").alias("key"),
+            F.lit(at.isoformat()).alias("value"),
+            F.lit(at).alias("updated_at"),
+        )
+        self.replace(SYNC_STATE, row)
 
     # -- stored daily roll-up -----------------------------------------------------------
 
