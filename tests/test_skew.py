@@ -58,7 +58,7 @@ def test_enrichment_of_one_hot_trace(shuffled):
     assert got == {str(k): users.get(trace_of(k)) for k in range(n)}
     assert set(CONTEXT) <= set(enriched.columns)
     plan = enriched._jdf.queryExecution().executedPlan().toString()
-    assert "skew=true" in plan or "isSkew=true" in plan
+    assert "skew=true" in plan, plan
 
 
 def test_outcomes_of_one_hot_trace(shuffled):
