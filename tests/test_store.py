@@ -73,6 +73,31 @@ def test_row_moves_to_another_day_and_leaves_no_copy(spark, store):
     assert stored(store) == {"a": ("2024-01-02", Decimal(7)), "b": ("2024-01-02", Decimal(2))}
 
 
+def test_superseded_copy_of_a_batch_names_the_old_day(spark, store):
+    """The stored row sits on a day that only an outdated copy in the batch mentions."""
+    store.upsert_observations(observations(spark, [("a", "2024-01-01", "1", "u", 1), ("b", "2024-01-02", "2", "u", 1)]))
+    store.upsert_observations(observations(spark, [("a", "2024-01-01", "5", "u", 1), ("a", "2024-01-02", "6", "u", 2)]))
+    assert stored(store) == {"a": ("2024-01-02", Decimal(6)), "b": ("2024-01-02", Decimal(2))}
+    assert store.read(FACT_OBSERVATION).count() == 2
+
+
+def test_unchanged_rows_rewrite_nothing(spark, store, monkeypatch):
+    rows = [(f"k{i}", f"2024-01-0{i % 3 + 1}", str(i), "u", i) for i in range(30)]
+    store.upsert_observations(observations(spark, rows))
+    touched = []
+    publish = store._publish
+    monkeypatch.setattr(store, "_publish", lambda spec, days, after: (touched.append(days), publish(spec, days, after)))
+    assert store.upsert_observations(observations(spark, rows), skip_unchanged=True) == 30
+    assert touched == []
+    rows[4] = ("k4", "2024-01-02", "99", "u", 4)
+    rows[5] = ("k5", None, "5", "u", 5)
+    store.upsert_observations(observations(spark, rows), skip_unchanged=True)
+    assert sorted(map(str, touched[0])) == ["2024-01-02", "2024-01-03", "None"]
+    expected = {key: (str(day), Decimal(cost)) for key, day, cost, _, _ in rows}
+    assert stored(store) == expected
+    assert store.read(FACT_OBSERVATION).count() == 30
+
+
 def test_empty_batch_and_null_key(spark, store):
     assert store.upsert_observations(observations(spark, [])) == 0
     with pytest.raises(Exception, match="NULL in key"):

@@ -44,12 +44,26 @@ def _on_days(days: Sequence[date | None]) -> Column:
     return condition | F.col("day").isNull() if None in days else condition
 
 
+def _limited(stored: DataFrame, days: Sequence[date | None] | None) -> DataFrame:
+    return stored if days is None else stored.where(_on_days(days))
+
+
+def _without_equals(rows: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that have no stored row equal in every column."""
+    equal = F.lit(True)
+    for c in rows.columns:
+        same = rows[c] == stored[c] if c in keys else rows[c].eqNullSafe(stored[c])
+        equal = equal & same
+    return rows.join(stored, equal, "left_anti")
+
+
 @dataclass
 class Batch:
     """A batch on disk: read several times, computed once."""
 
     rows: DataFrame
     count: int
+    path: str
 
 
 class Store:
@@ -152,7 +166,7 @@ class Store:
         shaped = rows.select(*checked, order.alias("_seq"))
         self._with_day(spec, shaped).write.parquet(path)
         spooled = self.spark.read.parquet(path)
-        return Batch(spooled, spooled.count())
+        return Batch(spooled, spooled.count(), path)
 
     def _days(self, rows: DataFrame) -> list[date | None]:
         """Distinct days: one small value per partition, whatever the row count."""
@@ -163,6 +177,7 @@ class Store:
         spec: TableSpec,
         rows: DataFrame,
         key_may_move: bool = True,
+        skip_unchanged: bool = False,
         after: AfterPublish | None = None,
     ) -> int:
         """Replace rows by key; of equal keys the last to arrive wins.
@@ -174,65 +189,89 @@ class Store:
         Finding that partition reads the key column of the days outside the
         batch. Pass ``key_may_move=False`` only when the source guarantees that
         a key keeps its day.
+
+        ``skip_unchanged`` first leaves out rows that are stored as they are. A
+        sync that re-reads weeks of data then rewrites only the days in which
+        something changed.
         """
         self.recover(spec, after)
         batch = self._spool(spec, rows)
-        if batch.count == 0:
-            return 0
-        return self._merge(spec, batch, key_may_move, after)
+        if batch.count:
+            self._merge(spec, batch, key_may_move, skip_unchanged, after)
+        self._delete(batch.path)
+        return batch.count
 
     def _merge(
-        self, spec: TableSpec, batch: Batch, key_may_move: bool, after: AfterPublish | None
-    ) -> int:
-        keys = list(spec.keys)
-        # Distinct, so that copies of one key do not pile up on one side of a join.
-        incoming_keys = batch.rows.select(*keys).distinct()
+        self,
+        spec: TableSpec,
+        batch: Batch,
+        key_may_move: bool,
+        skip_unchanged: bool,
+        after: AfterPublish | None,
+    ) -> None:
         stored = self.read(spec)
-        days: list[date | None] = []
-        left: list[date | None] = []
-        if spec.event_time is not None:
-            days = self._days(batch.rows)
-            if key_may_move and self._exists(self.path(spec)):
-                elsewhere = stored.where(~F.coalesce(_on_days(days), F.lit(False)))
-                left = self._days(
-                    elsewhere.select(*keys, "day").join(incoming_keys, keys, "left_semi")
-                )
-            stored = stored.where(_on_days(days + left))
-        latest = latest_by_key(batch.rows, keys, ["_seq"]).select(*stored.columns)
-        merged = stored.join(incoming_keys, keys, "left_anti").unionByName(latest)
+        latest = latest_by_key(batch.rows, spec.keys, ["_seq"]).select(*stored.columns)
+        if not skip_unchanged:
+            # Distinct, so that copies of one key do not pile up on one side of a join.
+            keys = batch.rows.select(*spec.keys).distinct()
+            self._rewrite(spec, stored, latest, keys, self._days_of(spec, batch.rows), key_may_move, after)
+            return
+        path = scratch_dir(self.spark, f"changed-{spec.name}")
+        days = self._days_of(spec, batch.rows)
+        _without_equals(latest, _limited(stored, days), spec.keys).write.parquet(path)
+        changed = self.spark.read.schema(stored.schema).parquet(path)
+        if not changed.isEmpty():
+            keys = changed.select(*spec.keys)
+            self._rewrite(spec, stored, changed, keys, self._days_of(spec, changed), key_may_move, after)
+        self._delete(path)
+
+    def _days_of(self, spec: TableSpec, rows: DataFrame) -> list[date | None] | None:
+        return None if spec.event_time is None else self._days(rows)
+
+    def _rewrite(
+        self,
+        spec: TableSpec,
+        stored: DataFrame,
+        latest: DataFrame,
+        keys: DataFrame,
+        days: list[date | None] | None,
+        key_may_move: bool,
+        after: AfterPublish | None,
+    ) -> None:
+        """Replace the stored rows of the keys by the latest ones, by way of the stage."""
+        on = list(spec.keys)
+        if days is not None and key_may_move and self._exists(self.path(spec)):
+            elsewhere = stored.where(~F.coalesce(_on_days(days), F.lit(False)))
+            days = days + self._days(elsewhere.select(*on, "day").join(keys, on, "left_semi"))
+        merged = _limited(stored, days).join(keys, on, "left_anti").unionByName(latest)
         stage = self._stage(spec)
         self._delete(stage)
         self._write(merged, f"{stage}/rows", "overwrite", cluster=spec.cluster)
         # Written last: its presence says that the staged rows are complete.
-        touched = [(d, False) for d in days] + [(d, True) for d in left]
-        self._day_record(touched).write.parquet(f"{stage}/days")
-        self._publish(spec, touched, after)
-        return batch.count
+        self._day_record(days or []).write.parquet(f"{stage}/days")
+        self._publish(spec, days or [], after)
 
-    def _day_record(self, touched: list[tuple[date | None, bool]]) -> DataFrame:
+    def _day_record(self, days: list[date | None]) -> DataFrame:
         """The touched days as rows, one per partition folder; none for an unpartitioned table."""
-        days = [
-            F.struct(F.lit(d).cast("date").alias("day"), F.lit(m).alias("may_be_empty"))
-            for d, m in touched
-        ]
         if not days:
-            return self.spark.createDataFrame([], "day date, may_be_empty boolean")
-        return self.spark.range(1, numPartitions=1).select(F.inline(F.array(*days)))
+            return self.spark.createDataFrame([], "day date")
+        listed = F.array(*(F.lit(d).cast("date") for d in days))
+        return self.spark.range(1, numPartitions=1).select(F.explode(listed).alias("day"))
 
     def _publish(
-        self, spec: TableSpec, touched: list[tuple[date | None, bool]], after: AfterPublish | None
+        self, spec: TableSpec, days: list[date | None], after: AfterPublish | None
     ) -> None:
         stage = self._stage(spec)
         staged = self.spark.read.schema(spec.stored_schema).parquet(f"{stage}/rows")
         by_day = spec.event_time is not None
         # A plain copy: the staged files are already gathered by day.
         self._write(staged, self.path(spec), "overwrite", days_only=by_day, gather=False)
-        emptied = [d for d, may_be_empty in touched if may_be_empty]
-        if emptied:
-            filled = set(self._days(staged.where(_on_days(emptied))))
-            self._drop_days(spec, [d for d in emptied if d not in filled])
+        if by_day:
+            # Overwriting leaves alone a day that lost its last row.
+            filled = set(self._days(staged))
+            self._drop_days(spec, [d for d in days if d not in filled])
         if after is not None:
-            after([d for d, _ in touched])
+            after(days)
         self._delete(stage)
 
     def _drop_days(self, spec: TableSpec, days: Sequence[date | None]) -> None:
@@ -245,8 +284,8 @@ class Store:
         record = f"{self._stage(spec)}/days"
         if not self._exists(f"{record}/_SUCCESS"):
             return False
-        rows = self.spark.read.schema("day date, may_be_empty boolean").parquet(record).collect()
-        self._publish(spec, [(r["day"], r["may_be_empty"]) for r in rows], after)
+        days = [r["day"] for r in self.spark.read.schema("day date").parquet(record).collect()]
+        self._publish(spec, days, after)
         return True
 
     # -- the tables -----------------------------------------------------------------
@@ -256,6 +295,7 @@ class Store:
         rows: DataFrame,
         as_of: datetime | None = None,
         key_may_move: bool = True,
+        skip_unchanged: bool = False,
         refresh_rollup: bool = False,
     ) -> int:
         """Upsert observations, register their users and note the time of the sync."""
@@ -263,15 +303,15 @@ class Store:
         after = self.refresh_usage_daily if refresh_rollup else None
         self.recover(spec, after)
         batch = self._spool(spec, rows)
-        if batch.count == 0:
-            return 0
-        self._merge(spec, batch, key_may_move, after)
-        self.register_users(batch.rows)
-        self.mark_synced(as_of)
+        if batch.count:
+            self._merge(spec, batch, key_may_move, skip_unchanged, after)
+            self.register_users(batch.rows)
+            self.mark_synced(as_of)
+        self._delete(batch.path)
         return batch.count
 
-    def upsert_scores(self, rows: DataFrame) -> int:
-        return self.upsert(FACT_SCORE, rows)
+    def upsert_scores(self, rows: DataFrame, skip_unchanged: bool = False) -> int:
+        return self.upsert(FACT_SCORE, rows, skip_unchanged=skip_unchanged)
 
     def upsert_policies(self, rows: DataFrame) -> int:
         """Upsert by rule key alone: the same key in two projects is one policy."""

@@ -50,9 +50,12 @@ def sync_landing(
     scores = _named(read_scores(spark, f"{landing}/scores", window), projects)
     return (
         store.upsert_observations(
-            normalize_observations(observations), as_of, refresh_rollup=refresh_rollup
+            normalize_observations(observations),
+            as_of,
+            skip_unchanged=True,
+            refresh_rollup=refresh_rollup,
         ),
-        store.upsert_scores(normalize_scores(scores)),
+        store.upsert_scores(normalize_scores(scores), skip_unchanged=True),
     )
 
 
@@ -77,9 +80,12 @@ def sync_trace_store(
     scores = read_store_scores(spark, f"{landing}/scores", window)
     return (
         store.upsert_observations(
-            normalize_observations(observations), as_of, refresh_rollup=refresh_rollup
+            normalize_observations(observations),
+            as_of,
+            skip_unchanged=True,
+            refresh_rollup=refresh_rollup,
         ),
-        store.upsert_scores(normalize_scores(scores)),
+        store.upsert_scores(normalize_scores(scores), skip_unchanged=True),
     )
 
 
@@ -101,7 +107,7 @@ def sync_session_logs(
     """Session logs. They grow in place, so a changed log is read whole again."""
     events = read_session_events(spark, root, name, changed_since)
     rows = session_observations(events, store.read(MODEL_PRICES), as_of=as_of, **options)
-    return store.upsert_observations(rows, as_of)
+    return store.upsert_observations(rows, as_of, skip_unchanged=True)
 
 
 def sync_governance(
