@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import string
 from datetime import datetime, timezone
@@ -82,6 +83,20 @@ def test_prices_and_fixed_columns(spark, tmp_path):
     assert second["total_cost"] == 0 and second["start_time"] == datetime(2025, 9, 1)
 
 
+def test_fractional_counts_truncate(spark, tmp_path):
+    write_log(tmp_path, "p", "s", [message(12.7, 3.9, 0), message(0.5, 0, 0)])
+    assert [(r["input_tokens"], r["output_tokens"]) for r in calls(spark, tmp_path)] == [(12, 3)]
+
+
+def test_only_changed_logs(spark, tmp_path):
+    write_log(tmp_path, "p", "old", [message(1, 1, 0)])
+    write_log(tmp_path, "p", "new", [message(2, 1, 0)])
+    past = datetime(2020, 1, 1, tzinfo=timezone.utc).timestamp()
+    os.utime(tmp_path / "p" / "old" / "session.jsonl.zst", (past, past))
+    since = datetime(2021, 1, 1, tzinfo=timezone.utc)
+    assert [r["session_id"] for r in calls(spark, tmp_path, changed_since=since)] == ["new"]
+
+
 def test_slug(spark):
     from pyspark.sql import functions as F
 

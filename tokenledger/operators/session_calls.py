@@ -37,7 +37,7 @@ def project_slug(folder: Column, prefix: str | None = None) -> Column:
 
 
 def _count(field: str) -> Column:
-    return F.coalesce(F.col(f"usage.{field}"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.col(f"usage.{field}").cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def cached_tokens(input_tokens: Column, counter: Column, previous: Column) -> Column:

@@ -302,6 +302,7 @@ RAW_STORE_TRACE = struct_of(
     id="text", user_id="text", session_id="text", environment="text", tags="text", timestamp="text"
 )
 
+# Counts are read as doubles, because a fraction would spoil an integer field; they are truncated later.
 SESSION_EVENT = T.StructType(
     [
         T.StructField("type", T.StringType()),
@@ -314,10 +315,10 @@ SESSION_EVENT = T.StructType(
                     T.StructField(
                         "usage",
                         struct_of(
-                            inputTokens="bigint",
-                            outputTokens="bigint",
-                            reasoningTokens="bigint",
-                            cacheReadTokens="bigint",
+                            inputTokens="double",
+                            outputTokens="double",
+                            reasoningTokens="double",
+                            cacheReadTokens="double",
                         ),
                     ),
                     T.StructField(
