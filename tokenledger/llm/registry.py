@@ -6,6 +6,7 @@ from tokenledger.llm.chat import OP3_SQL, op3_chat_formatting
 from tokenledger.llm.decontamination import op8_benchmark_decontamination
 from tokenledger.llm.language_id import op2_language_id
 from tokenledger.llm.packing import op6_best_fit_packing
+from tokenledger.llm.repeats import op1_suffix_array_dedup
 from tokenledger.llm.sharding import op9_sharding
 from tokenledger.llm.simhash import op4_simhash_near_dedup
 from tokenledger.llm.syncmers import op5_document_fingerprints
@@ -14,6 +15,7 @@ from tokenledger.llm.token_files import op7_token_files
 QUERIES = {
     query.__name__: query
     for query in (
+        op1_suffix_array_dedup,
         op2_language_id,
         op3_chat_formatting,
         op4_simhash_near_dedup,
