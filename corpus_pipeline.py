@@ -1,16 +1,73 @@
-"""A corpus pipeline of the training-data operators. STAGES are applied in order to the documents."""
+"""A corpus pipeline of the training-data operators. STAGES are applied in order to the documents.
+
+Every stage but the last returns the columns of the documents that it keeps: language identification drops what it
+rejects and fills in a missing lang, near-duplicate removal keeps the document of each group with the smallest doc_id,
+passages that stand more than once are cut out of the texts (n_chars follows), documents that hold a benchmark item are
+dropped, and the rest is packed into sequences of tokens. A null doc_id counts as one document. An empty table passes
+through all stages.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tokenledger.llm import common, decontamination, language_id, packing, repeats, simhash
+
+#: Bytes of a passage that may not stand twice: fifty words of the shortest kind in the documents' languages.
+REPEATED_BYTES = 250
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.bound_batches(spark)
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    marked = language_id.predict(docs, model, docs.columns, ("__lang", "__score", "__rejected"))
+    return marked.where("not __rejected").withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with one doc_id are versions of one document, of which one stays."""
+    common.bound_batches(spark)
+    groups = simhash.near_duplicates(docs, shingle=simhash.SHINGLE, max_bits=simhash.MAX_BITS)
+    kept = common.written(groups.where("doc_id <=> component_id").select("doc_id"), "kept")
+    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
+    found = docs.join(kept.distinct(), same, "left_semi")
+    if kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return found
+    first = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    return found.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.bound_batches(spark)
+    return repeats.without_repeats(docs, REPEATED_BYTES)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = common.table(spark, sf_dir, "benchmark")
+    return decontamination.clean(docs, benchmark)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.bound_batches(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
+]
 
+#: Classification, fingerprints, edit distances and packing are beyond SQL; the tests hold the stages against slow versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

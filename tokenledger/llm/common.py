@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tokenledger.session import scratch_dir
 
@@ -53,3 +55,27 @@ def blocks(bounds: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + limit, "right")) - 1)
         yield first, min(last, n)
         first = min(last, n)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with the text compressed, for a shuffle."""
+
+    def press(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            data, bounds = strings(batch.column("text"))
+            small = pa.array([press.compress(data[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])], pa.binary())
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", small)
+
+    schema = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in docs.schema])
+    return docs.mapInArrow(press, schema)
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Like `strings`, for a column of compressed texts."""
+    press = zstandard.ZstdDecompressor()
+    texts = [press.decompress(x) for x in column.to_pylist()]
+    bounds = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=bounds[1:])
+    return np.frombuffer(b"".join(texts), np.uint8), bounds

@@ -231,24 +231,44 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_
     (under 8 folded bytes) are not looked for. Repeated documents and items each have rows of their own. An empty table on
     either side gives no rows.
     """
-    spark = docs.sparkSession
-    own = benchmark.where("text is not null").select("item_id", F.col("text").cast("string").alias("text"))
-    total = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    # A block takes its items by hash, so it is near its share of the bytes; half of the limit leaves room for chance.
-    n = max(1, -(-2 * total // block_bytes))
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType)]
         + [T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.LongType())]
     )
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = None
-    for block in range(n):
-        rows = own.where(F.pmod(F.xxhash64("text"), F.lit(n)) == block).collect()
-        found = texts.mapInArrow(_searcher(spark.sparkContext.broadcast(indexed([tuple(r) for r in rows], rate)), schema), schema)
+    for items in _item_blocks(benchmark, rate, block_bytes):
+        found = texts.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(items), schema), schema)
         out = found if out is None else out.union(found)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item of the benchmark; what counts is as in `find_items`."""
+
+    def without(spread):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = {x[0] for x in search_all(*strings(batch.column("text").cast(pa.string())), spread.value)}
+                yield batch.take(pa.array([i for i in range(len(batch)) if i not in found], pa.int64()))
+
+        return run
+
+    for items in _item_blocks(benchmark, rate, block_bytes):
+        docs = docs.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+    return docs
+
+
+def _item_blocks(benchmark: DataFrame, rate: float, block_bytes: int) -> Iterator[Items]:
+    """The items by hash, so each block is near its share of the bytes; half of the limit leaves room for chance."""
+    own = benchmark.where("text is not null").select("item_id", F.col("text").cast("string").alias("text"))
+    total = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(1, -(-2 * total // block_bytes))
+    for block in range(n):
+        rows = own.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == block).collect()
+        yield indexed([tuple(r) for r in rows], rate)
+
+
 def _searcher(spread, schema: T.StructType):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = spread.value

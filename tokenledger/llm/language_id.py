@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenledger.llm.common import bound_batches, strings, table
 
@@ -164,15 +165,21 @@ def fit(training: DataFrame, buckets: int = BUCKETS, clusters: int = CLUSTERS, s
     return Model(idf, np.vstack(centroids) if centroids else np.zeros((0, buckets), np.float32), languages, np.array(least))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with lang_pred, score (the greatest cosine) and rejected.
+NAMES = ("lang_pred", "score", "rejected")
+
+
+def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """The columns `keep` of docs with lang_pred, score (the greatest cosine) and rejected, or what `names` calls them.
 
     A null text, or one without a letter, is `und` with score 0 and rejected; so is every text if nothing was learned.
     A text with no known n-gram gets the first language and is rejected. Only the text is looked at.
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.select(F.col("text").cast("string").alias("__text"), *keep)
-    schema = "lang_pred string, score double, rejected boolean"
+    text = F.col("text").cast("string").alias("text")
+    own = docs.select(text, *[F.col(c) for c in keep if c != "text"])
+    out = [f for f in own.schema if f.name != "text" or "text" in keep]
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType(out + [T.StructField(name, kind) for name, kind in zip(names, kinds)])
 
     def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = spread.value
@@ -191,11 +198,11 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     langs.append(model.languages[k] if known else UNKNOWN)
                     scores.append(score)
                     rejected.append(not known or score < model.least[k])
-            columns = [batch.column(i + 1) for i in range(len(keep))] + [pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "rejected"])
+            marks = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+            columns = [batch.column(f.name) for f in out] + marks
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "__text"] + [schema])
-    return own.mapInArrow(nearest, fields)
+    return own.mapInArrow(nearest, schema)
 
 
 def held_out() -> Column:

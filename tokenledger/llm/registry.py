@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tokenledger.llm.chat import OP3_SQL, op3_chat_formatting
 from tokenledger.llm.decontamination import op8_benchmark_decontamination
+from tokenledger.llm.importance import op10_quality_classifier
 from tokenledger.llm.language_id import op2_language_id
 from tokenledger.llm.packing import op6_best_fit_packing
 from tokenledger.llm.repeats import op1_suffix_array_dedup
@@ -24,6 +25,7 @@ QUERIES = {
         op7_token_files,
         op8_benchmark_decontamination,
         op9_sharding,
+        op10_quality_classifier,
     )
 }
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenledger.llm.common import strings, table, written
+from tokenledger.llm.common import packed, strings, table, written
 
 LENGTH = 400
 ANCHOR = 32
@@ -162,21 +162,6 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(find, ", ".join(f"{n} long" for n in names))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """docs with the text compressed, for a shuffle."""
-
-    def press(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            data, bounds = strings(batch.column("text"))
-            small = pa.array([press.compress(data[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])], pa.binary())
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", small)
-
-    schema = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in docs.schema])
-    return docs.mapInArrow(press, schema)
-
-
 def _kind_bytes(texts: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     """The bytes of one run of each kind: the key, first, anchor, alone, bytes."""
     wanted = kinds.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "anchor", "alone")).alias("runs"))
@@ -189,15 +174,15 @@ def _kind_bytes(texts: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
             owner, inner = pc.list_parent_indices(lists), lists.flatten()
             first, last = inner.field("first").to_numpy(), inner.field("last").to_numpy()
             raw, out, seen = b"", [], -1
-            packed = batch.column("text")
+            texts_ = batch.column("text")
             for row, a, b in zip(owner.to_pylist(), first.tolist(), last.tolist()):
                 if row != seen:
-                    raw, seen = press.decompress(packed[row].as_py()), row
+                    raw, seen = press.decompress(texts_[row].as_py()), row
                 out.append(raw[a : b + length])
             columns = [batch.column(n).take(owner) for n in KEY] + [inner.field(n) for n in ("first", "anchor", "alone")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], names=names)
 
-    joined = _packed(texts).join(wanted, KEY)
+    joined = packed(texts).join(wanted, KEY)
     return joined.mapInArrow(fetch, "__id long, __mark long, first long, anchor long, alone boolean, bytes binary")
 
 
@@ -279,8 +264,8 @@ def with_repeats(docs: DataFrame, length: int = LENGTH, kinds_in_task: int = KIN
     texts = docs.select(*key, F.col("text").cast("string").alias("text"))
     spans = _spans(texts, length, kinds_in_task)
     rest = [F.col(c) for c in docs.columns if c != "text"]
-    packed = _packed(docs.select(*key, F.col("text").cast("string").alias("text"), *rest))
-    return packed.join(spans, KEY, "left").drop(*KEY)
+    small = packed(docs.select(*key, F.col("text").cast("string").alias("text"), *rest))
+    return small.join(spans, KEY, "left").drop(*KEY)
 
 
 def cut(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
