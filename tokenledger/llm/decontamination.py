@@ -128,7 +128,8 @@ def candidates(text: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     band = diagonal >> BAND
     low = diagonal - (band << BAND)
     # A diagonal in the first k of a band is in the overlap of the bands before, as many as k reaches.
-    bands, owners = [band], [item]
+    place = items.place[source]
+    bands, owners, spots = [band], [item], [place]
     back = 1
     while True:
         more = low + (back - 1) * (1 << BAND) < items.edits[item]
@@ -136,92 +137,153 @@ def candidates(text: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
             break
         bands.append(band[more] - back)
         owners.append(item[more])
+        spots.append(place[more])
         back += 1
-    pairs, counts = np.unique(np.concatenate(owners) << 40 | np.concatenate(bands), return_counts=True)
-    pairs = pairs[counts >= items.needed[pairs >> 40]]
+    hits = np.concatenate(owners) << 40 | np.concatenate(bands)
+    pairs, code, counts = np.unique(hits, return_inverse=True, return_counts=True)
+    enough = counts >= items.needed[pairs >> 40]
+    if enough.any():
+        # A q-gram of the item that stands in a band twice counts once.
+        near = enough[code]
+        spots = np.concatenate(spots)[near]
+        counts = np.bincount(np.unique(code[near] << 32 | spots) >> 32, minlength=len(pairs))
+        enough = counts >= items.needed[pairs >> 40]
+    pairs = pairs[enough]
     return pairs >> 40, (pairs & (1 << 40) - 1) - (1 << 32 - BAND)
 
 
-def aligned(text: np.ndarray, item: bytes, edits: int, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each band the least edit distance of the item to a stretch of text inside it, and that stretch.
+def region_width(items: Items) -> int:
+    """Diagonals that an alignment looks at: a band with its overlap, and the edits on either side."""
+    return (1 << BAND) + 3 * int(items.edits.max(initial=0)) + 1
 
-    Row i of the table is the item's first i bytes; column c is the end base + i + c of the stretch. All bands of an item
-    are aligned at once.
+
+def aligned(regions: np.ndarray, numbers: np.ndarray, items: Items, placed: bool = False) -> tuple[np.ndarray, ...]:
+    """The least edit distance of an item to any stretch of its region, for many regions at once.
+
+    regions: a row of bytes for each, sorted so that items get no longer; numbers: the item of each. Row i of an alignment's table is
+    the item's first i bytes, and its column c a stretch that ends at i + c. With `placed`, also starts and ends of the
+    best stretches in the regions.
     """
-    m, width = len(item), (1 << BAND) + 3 * edits + 1
-    base = (bands << BAND) - edits
-    index = base[:, None] + np.arange(m + width)[None, :]
-    inside = (index >= 0) & (index < len(text))
-    region = np.where(inside, text[np.clip(index, 0, len(text) - 1)], 0)
-    columns, far = np.arange(width), m + width + 1
-    cost = np.where((base[:, None] + columns >= 0) & (base[:, None] + columns <= len(text)), 0, far)
-    start = base[:, None] + columns[None, :]
-    for i, sign in enumerate(item):
-        change = cost + (region[:, i : i + width] != sign)
-        skip = np.full_like(cost, far)
-        skip[:, :-1] = cost[:, 1:] + 1
-        from_skip = np.empty_like(start)
-        from_skip[:, :-1], from_skip[:, -1] = start[:, 1:], start[:, -1]
-        less = skip < change
-        cost, start = np.where(less, skip, change), np.where(less, from_skip, start)
-        # Insertions: the best cell to the left plus its distance.
-        slope = cost - columns
-        best = np.minimum.accumulate(slope, axis=1)
-        origin = np.maximum.accumulate(np.where(slope == best, columns, 0), axis=1)
-        cost, start = best + columns, np.take_along_axis(start, origin, axis=1)
-    end_at = base[:, None] + m + columns
-    cost = np.where((end_at >= 0) & (end_at <= len(text)), cost, far)
-    best = cost.argmin(axis=1)
-    rows = np.arange(len(bands))
-    return cost[rows, best], start[rows, best], end_at[rows, best]
-
-
-def search(text: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
-    """(item number, start, end, edits) of each item found in a folded text; the best place of each, the first of equals."""
-    found: dict[int, tuple[int, int, int]] = {}
+    size = np.array([len(items.texts[k]) for k in numbers.tolist()])
+    longest = int(size[0])
+    signs = np.zeros((len(numbers), longest), np.uint8)
+    for row, k in enumerate(numbers.tolist()):
+        signs[row, : size[row]] = np.frombuffer(items.texts[k], np.uint8)
+    width = regions.shape[1] - longest
+    columns = np.arange(width, dtype=np.int32)
+    cost = np.zeros((len(numbers), width), np.int32)
+    start = np.broadcast_to(columns, cost.shape).copy() if placed else None
+    out = [np.zeros(len(numbers), np.int64) for _ in range(3)]
+    for i in range(longest + 1):
+        done = np.searchsorted(-size, -i, "right")  # rows from here on are through with their items
+        active = np.searchsorted(-size, -i, "left")
+        if active < done:
+            best = cost[active:done].argmin(axis=1)
+            rows = np.arange(done - active)
+            out[0][active:done] = cost[active:done][rows, best]
+            if placed:
+                out[1][active:done] = start[active:done][rows, best]
+                out[2][active:done] = best + i
+        if not active:
+            break
+        cost = cost[:active]
+        change = cost + (regions[:active, i : i + width] != signs[:active, i : i + 1])
+        skip = cost[:, 1:] + 1
+        if placed:
+            start = start[:active]
+            less = skip < change[:, :-1]
+            start = np.column_stack([np.where(less, start[:, 1:], start[:, :-1]), start[:, -1]])
+        np.minimum(change[:, :-1], skip, out=change[:, :-1])
+        change -= columns  # an insertion goes one column right and costs one
+        cost = np.minimum.accumulate(change, axis=1)
+        if placed:
+            origin = np.maximum.accumulate(np.where(change == cost, columns, 0), axis=1)
+            start = np.take_along_axis(start, origin, axis=1)
+        cost += columns
+    return tuple(out) if placed else out[:1]
+
+
+@dataclass
+class Candidate:
+    row: int
+    item: int
+    #: Where the region begins in the row's folded text, and its bytes.
+    base: int
+    region: bytes
+
+
+def exact_or_region(text: np.ndarray, row: int, offset: int, items: Items, width: int) -> Iterator[tuple[int, int] | Candidate]:
+    """Of a folded text (or a part that begins at `offset`): (item, place) where one stands as it is, else candidates."""
     item, band = candidates(text, items)
-    raw = text.tobytes() if len(item) else b""
     for k in np.unique(item).tolist():
-        own, m = band[item == k], len(items.texts[k])
-        exact = -1
-        for b in own.tolist():
-            low = max(0, b << BAND)
-            exact = raw.find(items.texts[k], low, low + (1 << BAND) + int(items.edits[k]) + m)
+        m, edits, found = len(items.texts[k]), int(items.edits[k]), []
+        for b in band[item == k].tolist():
+            base = (b << BAND) - edits
+            own = text[max(0, base) : max(0, base + m + width)].tobytes()
+            exact = own.find(items.texts[k])
             if exact >= 0:
-                found[k] = (0, exact, exact + m)
+                yield k, offset + max(0, base) + exact
                 break
-        if exact >= 0:
-            continue
-        for at in range(0, len(own), ALIGNED):
-            cost, start, end = aligned(text, items.texts[k], int(items.edits[k]), own[at : at + ALIGNED])
-            best = int(np.lexsort((start, cost))[0])
-            if cost[best] <= items.edits[k]:
-                match = (int(cost[best]), int(start[best]), int(end[best]))
-                found[k] = min(found.get(k, match), match)
-    return [(k, start, end, cost) for k, (cost, start, end) in sorted(found.items())]
-
-
-def search_all(data: np.ndarray, bounds: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item number, start, end, edits) in rows of texts; start and end are byte places in the row's text.
-
-    Short texts are folded many at a time. A long one is searched in parts that overlap by more than an item may reach.
+            found.append(Candidate(row, k, offset + base, b"\0" * max(0, -base) + own))
+        else:
+            yield from found
+
+
+def verified(found: list[Candidate], items: Items, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item, start, end, edits) of the candidates that keep to their item's edits."""
+    found = sorted(found, key=lambda c: -len(items.texts[c.item]))
+    for at in range(0, len(found), ALIGNED):
+        own = found[at : at + ALIGNED]
+        longest = len(items.texts[own[0].item])
+        regions = np.zeros((len(own), longest + width), np.uint8)
+        for row, c in enumerate(own):
+            regions[row, : len(c.region)] = np.frombuffer(c.region, np.uint8)
+        numbers = np.array([c.item for c in own])
+        (cost,) = aligned(regions, numbers, items)
+        near = np.flatnonzero(cost <= items.edits[numbers])
+        if len(near):
+            cost, start, end = aligned(regions[near], numbers[near], items, placed=True)
+            for row, c, a, b in zip(near.tolist(), cost.tolist(), start.tolist(), end.tolist()):
+                yield own[row].row, own[row].item, own[row].base + a, own[row].base + b, c
+
+
+def search_all(data: np.ndarray, bounds: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
+    """(row, item number, start, end, edits), one for each row and item at most: the best place, the first of equals.
+
+    start and end are byte places in the row's text. Short texts are folded many at a time, and a long one is searched in
+    parts that overlap by more than an item may reach; all candidates of the rows are aligned together.
     """
-    overlap = 2 * max([len(t) for t in items.texts], default=0)
-    for first, last in blocks(bounds, TEXT_BYTES):
+    width = region_width(items)
+    overlap = 2 * max([len(t) for t in items.texts], default=0) + width
+    out = []
+    for first, last in blocks(bounds, max(TEXT_BYTES, int(bounds[-1] - bounds[0]) // 4)):
         begin = bounds[first : last + 1] - bounds[first]
         text, keep = folded(data[bounds[first] : bounds[last]], begin[:-1])
         # A text's first byte is always kept.
-        at = np.concatenate([[0], np.cumsum(np.add.reduceat(np.append(keep, False), begin[:-1], dtype=np.int64) * (np.diff(begin) > 0))])
+        kept = np.add.reduceat(np.append(keep, False), begin[:-1], dtype=np.int64) * (np.diff(begin) > 0)
+        at = np.concatenate([[0], np.cumsum(kept)]).tolist()
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        found: list[Candidate] = []
+
+        def take(row: int, k: int, start: int, end: int, edits: int) -> None:
+            low = min(max(start, 0), at[row + 1] - at[row] - 1)
+            match = (edits, at[row] + low, at[row] + min(max(end, low + 1), at[row + 1] - at[row]))
+            best[row, k] = min(best.get((row, k), match), match)
+
         for row in range(last - first):
-            found: dict[int, tuple[int, int, int]] = {}
-            for part in range(int(at[row]), int(at[row + 1]), TEXT_BYTES):
-                for k, start, end, edits in search(text[part : min(int(at[row + 1]), part + TEXT_BYTES + overlap)], items):
-                    match = (edits, part + start, part + end)
-                    found[k] = min(found.get(k, match), match)
-            for k, (edits, start, end) in sorted(found.items()):
-                # With no sign of the item matched the stretch may be empty, so its end is taken from its last byte.
-                low, high = places(keep, [start, max(start, end - 1)])
-                yield first + row, k, low - int(begin[row]), high + 1 - int(begin[row]), edits
+            for part in range(at[row], at[row + 1], TEXT_BYTES):
+                own = text[part : min(at[row + 1], part + TEXT_BYTES + overlap)]
+                for hit in exact_or_region(own, row, part - at[row], items, width):
+                    if isinstance(hit, Candidate):
+                        found.append(hit)
+                    else:
+                        take(row, hit[0], hit[1], hit[1] + len(items.texts[hit[0]]), 0)
+        for hit in verified([c for c in found if (c.row, c.item) not in best], items, width):
+            take(*hit)
+        for (row, k), (edits, start, end) in sorted(best.items()):
+            low, high = places(keep, [start, end - 1])
+            out.append((first + row, k, low - int(begin[row]), high + 1 - int(begin[row]), edits))
+    return out
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -273,7 +335,7 @@ def _searcher(spread, schema: T.StructType):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = spread.value
         for batch in batches:
-            found = list(search_all(*strings(batch.column(1)), items))
+            found = search_all(*strings(batch.column(1)), items)
             item_ids = pa.array(items.ids)
             columns = [batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))]
             columns.append(item_ids.take(pa.array([x[1] for x in found], pa.int64())))
