@@ -3,8 +3,8 @@
 A text is a vector of hashed 2- and 3-grams of its lower-cased bytes (everything in ASCII that is no letter is a space):
 1 + log of the count, times the inverse document frequency, at length one. The vectors of each language's sample are
 clustered by spherical k-means, so a language has a few centroids, and a text gets the language of the centroid with the
-greatest cosine. A text that is farther from its centroid than training texts are, by half of what is left to no likeness
-at all, is rejected.
+greatest cosine. A text is rejected if that cosine is under a quarter of the least that a sampled training text of the
+language has: short texts lie far from any centroid, and only what is much farther is another language or none.
 
 Document frequencies come from all training rows, summed over tasks. The centroids come from a bounded sample of at most
 about `sample` rows a language, chosen by a hash of the doc_id; that sample is all that goes to the driver.
@@ -27,6 +27,8 @@ from tokenledger.llm.common import bound_batches, strings, table
 BUCKETS = 4096
 CLUSTERS = 4
 SAMPLE = 300
+#: A cosine under this part of the least in the sample is too far.
+REJECTED = 0.25
 #: Bytes of text that become n-grams at a time, and rows at a time.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 256
 UNKNOWN = "und"
@@ -161,7 +163,7 @@ def fit(training: DataFrame, buckets: int = BUCKETS, clusters: int = CLUSTERS, s
         worst = [likeness[nearest == k].min(initial=1) for k in range(len(middle))]
         centroids.append(middle)
         languages += [lang] * len(middle)
-        least += [min(worst) / 2] * len(middle)
+        least += [REJECTED * min(worst)] * len(middle)
     return Model(idf, np.vstack(centroids) if centroids else np.zeros((0, buckets), np.float32), languages, np.array(least))
 
 
@@ -176,7 +178,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
     """
     spread = docs.sparkSession.sparkContext.broadcast(model)
     text = F.col("text").cast("string").alias("text")
-    own = docs.select(text, *[F.col(c) for c in keep if c != "text"])
+    own = docs.select([text if c == "text" else F.col(c) for c in (keep if "text" in keep else ["text", *keep])])
+    at = own.columns.index("text")
     out = [f for f in own.schema if f.name != "text" or "text" in keep]
     kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
     schema = T.StructType(out + [T.StructField(name, kind) for name, kind in zip(names, kinds)])
@@ -185,7 +188,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
         model = spread.value
         for batch in batches:
             langs, scores, rejected = [], [], []
-            for _, data, bounds in _blocks(batch, 0):
+            for _, data, bounds in _blocks(batch, at):
                 if not model.languages:
                     n = len(bounds) - 1
                     langs, scores, rejected = langs + [UNKNOWN] * n, scores + [0.0] * n, rejected + [True] * n
