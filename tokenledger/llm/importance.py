@@ -33,8 +33,8 @@ KIND = np.array([0 if i in b"\t\n\x0b\x0c\r " else 1 if chr(i).isalnum() or i >=
 LOWER = np.array([i | 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 
 
-def grams(raw: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of every gram of some texts and where it starts; no gram reaches over a start."""
+def runs(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of signs of one kind, and the text (by its place in `starts`) of each."""
     kind = KIND[raw]
     turn = np.ones(len(raw), bool)
     turn[1:] = kind[1:] != kind[:-1]
@@ -43,30 +43,31 @@ def grams(raw: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> tuple[
     end = np.append(begin[1:], len(raw))
     keep = kind[begin] > 0
     begin, end = begin[keep], end[keep]
-    one = Hashes(LOWER[raw])(begin, end)
-    owner = np.searchsorted(starts, begin, "right")
-    same = owner[1:] == owner[:-1]
-    two = mixed(one[:-1] * np.uint64(3) + one[1:])[same]
-    bits = np.uint64(64 - (buckets.bit_length() - 1))
-    return (np.concatenate([one, two]) >> bits).astype(np.int64), np.concatenate([begin, begin[:-1][same]])
+    return Hashes(LOWER[raw])(begin, end), np.searchsorted(starts, begin, "right") - 1
 
 
-def _parts(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, bytes, starts): many short texts at a time, or a part of a long one, cut at white space.
+def grams(data: np.ndarray, bounds: np.ndarray, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets of grams, rows they belong to) of rows of texts: many short texts at a time, or a part of a long one.
 
-    A pair of runs is lost where a long text is cut, at most one in a block.
+    A long text is cut at white space, and its next part is told the last run before the cut.
     """
+    bits = np.uint64(64 - (buckets.bit_length() - 1))
     for first, last in blocks(bounds, BLOCK_BYTES):
         at, end = int(bounds[first]), int(bounds[last])
-        if last - first > 1 or end - at <= BLOCK_BYTES:
-            yield first, last, data[at:end], bounds[first:last] - at
-            continue
+        before = np.empty(0, np.uint64)
         while at < end:
-            stop = min(end, at + BLOCK_BYTES)
-            while stop < end and KIND[data[stop]]:
-                stop += 1
-            yield first, last, data[at:stop], np.zeros(1, np.int64)
-            at = stop
+            stop, starts = end, bounds[first:last] - at
+            if last - first == 1:
+                stop, starts = min(end, at + BLOCK_BYTES), np.zeros(1, np.int64)
+                while stop < end and KIND[data[stop]]:
+                    stop += 1
+            one, row = runs(data[at:stop], starts)
+            chain, rows = np.concatenate([before, one]), np.concatenate([row[:1], row]) if len(before) else row
+            two = mixed(chain[:-1] * np.uint64(3) + chain[1:])
+            same = rows[1:] == rows[:-1]
+            found = (np.concatenate([one, two[same]]) >> bits).astype(np.int64)
+            yield found, np.concatenate([row, rows[1:][same]]) + first
+            before, at = one[-1:] if len(one) else before, stop
 
 
 def fit(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -84,11 +85,9 @@ def fit(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarra
         for batch in batches:
             data, bounds = unpacked(batch.column("text"))
             chosen = batch.column("good").fill_null(False).to_numpy(zero_copy_only=False)
-            for first, last, raw, starts in _parts(data, bounds):
-                found, at = grams(raw, starts, buckets)
+            for found, rows in grams(data, bounds, buckets):
                 total[0] += np.bincount(found, minlength=buckets)
-                picked = chosen[first + np.searchsorted(starts, at, "right") - 1]
-                total[1] += np.bincount(found[picked], minlength=buckets)
+                total[1] += np.bincount(found[chosen[rows]], minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), *map(pa.array, total)], names=["bucket", "raw", "good"])
 
     sums = own.select("text", "good").mapInArrow(count, "bucket long, raw long, good long")
@@ -109,11 +108,10 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
         for batch in batches:
             data, bounds = strings(batch.column("text"))
             n, weight = np.zeros(len(bounds) - 1, np.int64), np.zeros(len(bounds) - 1)
-            for first, last, raw, starts in _parts(data, bounds):
-                found, at = grams(raw, starts, len(ratios))
-                owner = np.searchsorted(starts, at, "right") - 1
-                n[first:last] += np.bincount(owner, minlength=last - first)
-                weight[first:last] += np.bincount(owner, ratios[found], last - first)
+            for found, rows in grams(data, bounds, len(ratios)):
+                first, size = int(rows[0]) if len(rows) else 0, int(rows.max(initial=-1)) + 1
+                n[first:size] += np.bincount(rows - first, minlength=size - first)
+                weight[first:size] += np.bincount(rows - first, ratios[found], size - first)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(weight)], names=schema.names)
 
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 48)) + 0.5) / float(1 << 48)
