@@ -115,11 +115,11 @@ def ingest_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CTE["raw_score"] = """
 SELECT 'sc-' || event_id AS score_id, 'tr-' || user_id || '-' || d || '-' || (event_id % 3) AS trace_id,
-       CASE WHEN event_id % 4 <> 3 THEN 'ev-' || event_id END AS observation_id,
+       CASE WHEN event_id % 4 IN (1, 2) THEN 'ev-' || event_id END AS observation_id,
        CAST(NULL AS VARCHAR) AS project_id, CAST(NULL AS VARCHAR) AS project_name,
        CASE WHEN event_id % 2 = 0 THEN 'correctness' ELSE 'helpfulness' END AS name,
        CASE WHEN k = 13 THEN 0 ELSE k / 100.0 END::DOUBLE AS value, 'API' AS source, ts AS timestamp
-FROM ev WHERE event_id % 4 <> 0"""
+FROM ev"""
 
 
 @query("ingest_scores", f"SELECT * REPLACE (strftime(timestamp, {STAMP}) AS timestamp) FROM raw_score")
@@ -401,11 +401,11 @@ def upsert_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "upsert_scores",
-    "SELECT score_id, trace_id, name, CASE WHEN name = 'correctness' THEN 1.0 ELSE value END::DOUBLE AS value FROM score_wide",
+    "SELECT score_id, trace_id, name, CASE WHEN name = 'correctness' THEN 1.0 ELSE value END::DOUBLE AS value FROM score",
 )
 def upsert_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark, scratch_dir(spark, "store"))
-    scores = event_scores(spark, sf_dir, "event_id % 4 <> 0")
+    scores = event_scores(spark, sf_dir)
     store.upsert_scores(scores)
     store.upsert_scores(scores.where("name = 'correctness'").withColumn("value", F.lit(1.0)))
     return store.read(FACT_SCORE).select("score_id", "trace_id", "name", "value")

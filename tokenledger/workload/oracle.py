@@ -15,8 +15,13 @@ LONG_AS_OF = "DATE '2001-08-02'"
 
 CTE: dict[str, str] = {}
 
+CTE["moved"] = """
+SELECT event_id, ts - to_days(CAST(event_id % 5 AS INTEGER) * 25) AS ts, user_id, event_type, value, props FROM events"""
+
 CTE["ev"] = """
-SELECT *, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, CAST(ts AS DATE) AS d FROM events"""
+SELECT event_id, ts, user_id, event_type, props, CAST(ts AS DATE) AS d,
+       CASE CAST(ts AS DATE) WHEN DATE '2024-01-17' THEN value * 8 ELSE value END AS value,
+       CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM moved"""
 
 CTE["fact"] = """
 SELECT 'ev-' || event_id AS observation_id,
@@ -40,22 +45,18 @@ SELECT 'ev-' || event_id AS observation_id,
 FROM ev"""
 
 CTE["dim_user"] = """
-SELECT DISTINCT 'u' || user_id AS user_id,
+SELECT DISTINCT CASE WHEN user_id % 8 = 5 THEN 'idle-' ELSE 'u' END || user_id AS user_id,
        CASE user_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'Platform' WHEN 2 THEN 'Product'
             WHEN 3 THEN 'Support' WHEN 5 THEN 'Research' END AS team
-FROM events WHERE user_id % 8 <> 5"""
+FROM events"""
 
 
-def _score(which: str) -> str:
-    return f"""
-SELECT 'sc-' || event_id AS score_id, 'tr-' || user_id || '-' || d || '-' || (event_id % 3) AS trace_id,
+CTE["score"] = """
+SELECT 'sc-' || event_id AS score_id,
+       CASE WHEN user_id % 3 = 0 THEN 'other-tr-' ELSE 'tr-' END || user_id || '-' || d || '-' || (event_id % 3) AS trace_id,
        CASE WHEN event_id % 2 = 0 THEN 'correctness' ELSE 'helpfulness' END AS name,
        CASE WHEN k = 13 THEN NULL ELSE k / 100.0 END::DOUBLE AS value
-FROM ev WHERE {which} AND user_id % 3 <> 0"""
-
-
-CTE["score"] = _score("event_id % 4 = 1")
-CTE["score_wide"] = _score("event_id % 4 <> 0")
+FROM ev"""
 
 CTE["gov"] = """
 SELECT 'sn-' || event_id AS snapshot_id, 'g' || (user_id % 2) AS project_id, ts AS exported_at, d AS day,
@@ -65,7 +66,7 @@ SELECT 'sn-' || event_id AS snapshot_id, 'g' || (user_id % 2) AS project_id, ts
        k % 20 + 10 AS proposals_total, k % 20 AS proposals_pending,
        CAST(6 AS BIGINT) AS proposals_ratified, CAST(3 AS BIGINT) AS proposals_rejected,
        CAST(1 AS BIGINT) AS proposals_decayed
-FROM ev WHERE event_type = 'purchase' AND event_id % 20 = 0"""
+FROM ev"""
 
 CTE["policy"] = """
 SELECT 'rule-' || p_partkey AS rule_key, 'g' || (p_partkey % 2) AS project_id, p_brand AS kind,
@@ -149,15 +150,13 @@ SELECT date_trunc('hour', start_time) AS hour, {PROJECT} AS project_name, count(
 FROM fact GROUP BY 1, 2"""
 
 CTE["e7"] = """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY exported_at DESC, snapshot_id DESC) AS rn
-               FROM gov) WHERE rn = 1"""
+SELECT day, last.* FROM (SELECT day, arg_max(gov, (exported_at, snapshot_id)) AS last FROM gov GROUP BY day)"""
 
 CTE["e8"] = """
 SELECT ratified_policies, evidence_traces, total_traces,
        round(evidence_traces::DOUBLE / nullif(total_traces, 0), 4) AS coverage_ratio
-FROM (SELECT (SELECT count(*) FROM policy) AS ratified_policies,
-             (SELECT CAST(coalesce(sum(evidence_traces), 0) AS BIGINT) FROM policy) AS evidence_traces,
-             (SELECT count(DISTINCT trace_id) FROM fact) AS total_traces)"""
+FROM (SELECT count(*) AS ratified_policies, CAST(coalesce(sum(evidence_traces), 0) AS BIGINT) AS evidence_traces FROM policy)
+CROSS JOIN (SELECT count(DISTINCT trace_id) AS total_traces FROM fact)"""
 
 # -- shared steps -------------------------------------------------------------------
 
@@ -196,7 +195,7 @@ JOIN (SELECT trace_id, max(value) AS best_score FROM {scores} {clause} GROUP BY
 
 
 CTE["outcome"] = _outcomes("score")
-CTE["outcome_named"] = _outcomes("score_wide", "correctness")
+CTE["outcome_named"] = _outcomes("score", "correctness")
 
 CTE["series"] = "SELECT day, coalesce(sum(total_cost), 0) AS cost FROM fact GROUP BY 1"
 CTE["long_series"] = """
@@ -223,6 +222,7 @@ FROM (SELECT day, CAST(cost AS DOUBLE) AS c, count(*) OVER w AS n14,
 
 
 CTE["base60"] = _baseline("series", "DATE '2023-11-29'")
+CTE["base44"] = _baseline("series", "DATE '2023-12-15'")
 CTE["long_base"] = _baseline("long_series", f"{LONG_AS_OF} - 365")
 
 
@@ -235,8 +235,8 @@ SELECT day, cost, coalesce(dow_baseline, baseline_14d) AS baseline,
 FROM {base}"""
 
 
-CTE["judged"] = _judged("base60", 1.5)
-CTE["judged_low"] = _judged("base60", 1.05)
+CTE["judged"] = _judged("base44", 1.5)
+CTE["judged_low"] = _judged("base44", 1.05)
 CTE["long_judged"] = _judged("long_base", 1.5)
 
 
@@ -432,7 +432,7 @@ SELECT strftime(hour, {STAMP}) AS hour, project_name, observations, input_tokens
        {USD} FROM e6 WHERE e6.hour >= {AS_OF} - INTERVAL 7 DAY"""
 QUESTIONS["kpi_hourly"] = _HOURLY
 QUESTIONS["kpi_hourly_project"] = _HOURLY + " AND project_name = 'Docs'"
-QUESTIONS["kpi_user_daily"] = f"SELECT user_id, {DAY}, CAST(cost AS DOUBLE) AS total_cost FROM user_days"
+QUESTIONS["kpi_user_daily"] = f"SELECT user_id, {DAY}, CAST(cost AS DOUBLE) AS total_cost FROM user_days WHERE user_days.day >= DATE '2023-10-30'"
 QUESTIONS["kpi_governance_snapshot"] = f"""
 SELECT ttrp_ms, {GOV_COUNTS} FROM gov ORDER BY exported_at DESC, snapshot_id DESC LIMIT 1"""
 QUESTIONS["kpi_behaviour_metrics"] = f"""

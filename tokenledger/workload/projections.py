@@ -81,7 +81,11 @@ EVENT_OBSERVATION = {
 
 
 def with_k(events: DataFrame) -> DataFrame:
-    return events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
+    """Events over some four months, so that every window has rows on both sides, and with one day of high cost."""
+    spread = F.expr("ts - make_dt_interval(CAST(event_id % 5 AS INT) * 25)")
+    value = F.expr("CASE WHEN CAST(ts AS DATE) = DATE '2024-01-17' THEN value * 8 ELSE value END")
+    shifted = events.withColumn("ts", spread).withColumn("value", value)
+    return shifted.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
 
 
 def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,9 +141,9 @@ def line_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "events")
-        .where("user_id % 8 <> 5")
         .selectExpr(
-            "concat('u', user_id) AS user_id",
+            # Some users of the facts are unknown here, and some here never appear in the facts.
+            "concat(CASE user_id % 8 WHEN 5 THEN 'idle-' ELSE 'u' END, user_id) AS user_id",
             "CAST(NULL AS STRING) AS display_name",
             "CASE user_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'Platform' WHEN 2 THEN 'Product' "
             "WHEN 3 THEN 'Support' WHEN 5 THEN 'Research' END AS team",
@@ -149,13 +153,13 @@ def event_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_scores(spark: SparkSession, sf_dir: str, which: str = "event_id % 4 = 1") -> DataFrame:
+def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every event. Those of some users are of traces that the facts do not have."""
     return (
         with_k(table(spark, sf_dir, "events"))
-        .where(f"{which} AND user_id % 3 <> 0")
         .selectExpr(
             "concat('sc-', event_id) AS score_id",
-            f"{EVENT_OBSERVATION['trace_id']} AS trace_id",
+            f"concat(CASE user_id % 3 WHEN 0 THEN 'other-' ELSE '' END, {EVENT_OBSERVATION['trace_id']}) AS trace_id",
             "concat('ev-', event_id) AS observation_id",
             f"{EVENT_OBSERVATION['project_id']} AS project_id",
             f"{EVENT_OBSERVATION['project_name']} AS project_name",
@@ -170,7 +174,6 @@ def event_scores(spark: SparkSession, sf_dir: str, which: str = "event_id % 4 =
 def event_governance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         with_k(table(spark, sf_dir, "events"))
-        .where("event_type = 'purchase' AND event_id % 20 = 0")
         .selectExpr(
             "concat('sn-', event_id) AS snapshot_id",
             "concat('g', user_id % 2) AS project_id",
