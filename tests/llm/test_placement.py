@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from tests.llm.cases import SMALL, docs, texts
 from tokenledger.llm import sharding, syncmers
@@ -106,13 +107,14 @@ def test_likeness():
 
 
 def slow_neighbours(rows):
-    rows = sorted(((d is not None, d or 0, t or "") for d, t in rows))
+    tie = lambda t: int(np.array(xxhash.xxh64_intdigest(t.encode(), 42), np.uint64).view(np.int64))
+    rows = sorted(((d is not None, d or 0, t or "") for d, t in rows), key=lambda r: (*r[:2], tie(r[2])))
     out = []
     for i, (has, d, text) in enumerate(rows):
         following, n = rows[(i + 1) % len(rows)][2], len(text)
         edited = text[: n - n // 2] + following[: n // 2]
         own, mark, its = fingerprint(text), fingerprint(edited), fingerprint(following)
-        out.append((has, d, n, hashlib.sha256(edited.encode()).hexdigest(), syncmers.as_text(own), syncmers.as_text(mark), likeness(own, mark), likeness(own, its)))
+        out.append((has, d, n, hashlib.sha256(edited.encode()).hexdigest(), syncmers.as_bytes(own).hex(), syncmers.as_bytes(mark).hex(), likeness(own, mark), likeness(own, its)))
     return out
 
 

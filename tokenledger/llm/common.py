@@ -34,7 +34,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """`df` as a table in the shared folder: read again, it survives lost executors and is computed once."""
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,12 +17,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenledger.llm.common import table, written
+from tokenledger.llm.common import packed, table, written
 
 K, S = 24, 8
 SIZE = 64
@@ -93,9 +94,9 @@ def fingerprint(text: str, size: int = SIZE, k: int = K, s: int = S) -> Fingerpr
     return hashes, places
 
 
-def as_text(own: Fingerprint) -> str:
-    """16 hexadecimal digits for each anchor: hash and place."""
-    return np.column_stack([own[0].astype(">u4"), own[1].astype(">u4")]).astype(">u4").tobytes().hex()
+def as_bytes(own: Fingerprint) -> bytes:
+    """Eight bytes for each anchor: hash and place."""
+    return np.column_stack([own[0], own[1].astype(np.uint64)]).astype(">u4").tobytes()
 
 
 def likeness(a: Fingerprint, b: Fingerprint, size: int = SIZE) -> float:
@@ -130,7 +131,7 @@ def fingerprints(docs: DataFrame, size: int = SIZE, k: int = K, s: int = S) -> D
 
 
 FIELDS = (
-    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 )
 
 
@@ -139,40 +140,42 @@ def _compared(text: str, own: Fingerprint, following: str, its: Fingerprint) ->
     edited = text[: n - n // 2] + following[: n // 2]
     mark = fingerprint(edited)
     sha = hashlib.sha256(edited.encode()).hexdigest()
-    return n, sha, as_text(own), as_text(mark), likeness(own, mark), likeness(own, its)
+    return n, sha, as_bytes(own), as_bytes(mark), likeness(own, mark), likeness(own, its)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
     """Every document against its edited text and against the next document by doc_id; the last one's next is the first.
 
     The edited text has its last floor(n / 2) code points replaced by as many from the start of the next document, or all.
-    Null texts are empty; rows with one doc_id follow each other by text; a null doc_id comes first; one document alone
-    is its own next; no documents give no rows.
+    Null texts are empty; rows with one doc_id follow each other by a hash of the text; a null doc_id comes first; one
+    document alone is its own next; no documents give no rows. Fingerprints are hexadecimal, 16 digits for each anchor.
     """
     id_type = docs.schema["doc_id"].dataType
     kinds = [T.StructField("doc_id", id_type), *T._parse_datatype_string(FIELDS).fields]
-    edge = [T.StructField("part", T.IntegerType()), T.StructField("place", T.StringType()), T.StructField("text", T.StringType())]
+    edge = [T.StructField("part", T.IntegerType()), T.StructField("place", T.StringType()), T.StructField("text", T.BinaryType())]
     schema = T.StructType(kinds + edge)
-    own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = packed(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie")))
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last = TaskContext.get().partitionId(), None
+        part, last, press = TaskContext.get().partitionId(), None, zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, small in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = press.decompress(small).decode()
                 mark = fingerprint(text)
                 if last is None:
-                    rows.append((doc_id, *[None] * 6, part, "first", text))
+                    rows.append((doc_id, *[None] * 6, part, "first", small))
                 else:
-                    rows.append((last[0], *_compared(*last[1:], text, mark), None, None, None))
-                last = doc_id, text, mark
+                    rows.append((last[0], *_compared(last[1], last[2], text, mark), None, None, None))
+                last = doc_id, text, mark, small
             yield _arrow(rows, schema, batch.schema.field(0).type)
             kind = batch.schema.field(0).type
         if last is not None:
-            yield _arrow([(last[0], *[None] * 6, part, "last", last[1])], schema, kind)
+            yield _arrow([(last[0], *[None] * 6, part, "last", last[3])], schema, kind)
 
     # The place of a row counts, so rows are dealt out once and kept as a table.
-    walked = written(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(walk, schema), "neighbours")
+    walked = written(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie").select("doc_id", "text").mapInArrow(walk, schema), "neighbours")
     parts = walked.where("place = 'first'").select("part")
     ring = parts.select("part", F.lead("part").over(Window.orderBy("part")).alias("after"))
     ring = ring.crossJoin(parts.agg(F.min("part").alias("least"))).select("part", F.coalesce("after", "least").alias("after"))
@@ -180,18 +183,21 @@ def neighbours(docs: DataFrame) -> DataFrame:
     lasts = walked.where("place = 'last'").select("doc_id", "part", "text").join(ring, "part").join(firsts, "after")
 
     def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for doc_id, text, following in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, *both in zip(*(c.to_pylist() for c in batch.columns)):
+                text, following = (press.decompress(x).decode() for x in both)
                 rows.append((doc_id, *_compared(text, fingerprint(text), following, fingerprint(following))))
             yield _arrow(rows, T.StructType(kinds), batch.schema.field(0).type)
 
     closed = lasts.select("doc_id", "text", "following").mapInArrow(close, T.StructType(kinds))
-    return walked.where("place is null").select([f.name for f in kinds]).union(closed)
+    every = walked.where("place is null").select([f.name for f in kinds]).union(closed)
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def _arrow(rows: list[tuple], schema: T.StructType, id_kind: pa.DataType) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
     types = [id_kind] + [kinds[f.dataType.simpleString()] for f in schema.fields[1:]]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=schema.names)
 
