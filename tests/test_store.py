@@ -16,13 +16,10 @@ from tokenledger.schemas import (
     SYNC_STATE,
     TARGETS,
     USAGE_DAILY,
+    USAGE_HOURLY,
 )
-from tokenledger.streaming.jobs import (
-    HOURLY_USAGE,
-    start_hourly_usage,
-    start_observation_sync,
-    start_score_sync,
-)
+from tokenledger.sources.landing import project_table
+from tokenledger.streaming.jobs import start_observation_sync, start_score_sync, start_trace_store_sync
 from tokenledger.streaming.syncs import (
     seed_reference_tables,
     sync_landing,
@@ -86,7 +83,7 @@ def test_unchanged_rows_rewrite_nothing(spark, store, monkeypatch):
     store.upsert_observations(observations(spark, rows))
     touched = []
     publish = store._publish
-    monkeypatch.setattr(store, "_publish", lambda spec, days, after: (touched.append(days), publish(spec, days, after)))
+    monkeypatch.setattr(store, "_publish", lambda spec, days: (touched.append(days), publish(spec, days)))
     assert store.upsert_observations(observations(spark, rows), skip_unchanged=True) == 30
     assert touched == []
     rows[4] = ("k4", "2024-01-02", "99", "u", 4)
@@ -123,6 +120,106 @@ def test_interrupted_upsert_is_finished_by_the_next(spark, store, monkeypatch):
     assert not store.recover(FACT_OBSERVATION)
 
 
+@pytest.mark.parametrize("cut", ["marker", "rows", "all"])
+def test_a_delete_of_the_stage_that_dies_loses_nothing(spark, store, monkeypatch, cut):
+    """The delete after publishing stops before it, after the marker, or half way through the staged rows."""
+    rows = [(f"k{i}", f"2024-01-0{i % 4 + 1}", "1", "u", i) for i in range(40)]
+    real = store._delete
+
+    def dying(path):
+        if path.endswith("_staged/fact_observation/days/_SUCCESS"):
+            if cut == "marker":
+                raise RuntimeError("lost")
+            real(path)
+            if cut == "rows":
+                real(path.replace("days/_SUCCESS", "rows/day=2024-01-02"))
+                raise RuntimeError("lost")
+        elif path.endswith("_staged/fact_observation") and cut == "all" and store._exists(store.path(FACT_OBSERVATION)):
+            raise RuntimeError("lost")
+        else:
+            real(path)
+
+    store.upsert_observations(observations(spark, rows[:1]))
+    store._discard(store._stage(FACT_OBSERVATION))
+    stage = store._discard
+    calls = []
+
+    def discard(path):
+        calls.append(path)
+        if len(calls) == 2:  # the one after publishing
+            monkeypatch.setattr(store, "_delete", dying)
+        stage(path)
+
+    monkeypatch.setattr(store, "_discard", discard)
+    with pytest.raises(RuntimeError):
+        store.upsert_observations(observations(spark, rows))
+    monkeypatch.setattr(store, "_delete", real)
+    monkeypatch.setattr(store, "_discard", stage)
+    assert len(stored(store)) == 40
+    store.recover(FACT_OBSERVATION)
+    assert len(stored(store)) == 40
+    store.upsert_observations(observations(spark, rows))
+    assert store.read(FACT_OBSERVATION).count() == 40
+
+
+def test_a_damaged_stage_is_not_published(spark, store, monkeypatch):
+    rows = [(f"k{i}", f"2024-01-0{i % 4 + 1}", "1", "u", i) for i in range(40)]
+    monkeypatch.setattr(store, "_publish", lambda spec, days: None)
+    store.upsert_observations(observations(spark, rows))
+    monkeypatch.undo()
+    store._delete(store._stage(FACT_OBSERVATION) + "/rows/day=2024-01-02")
+    with pytest.raises(RuntimeError, match="30 rows of 40"):
+        store.recover(FACT_OBSERVATION)
+    assert stored(store) == {}
+
+
+def daily(store, use_rollup=True):
+    found = mrt_org_daily(store.tables(use_rollup)).select("day", "observations", "total_cost")
+    return sorted(map(tuple, found.collect()), key=str)
+
+
+def hourly(store, use_rollup=True):
+    found = mrt_hourly_usage(store.tables(use_rollup)).select("hour", "project_name", "observations", "total_cost")
+    return sorted(map(tuple, found.collect()), key=str)
+
+
+def test_rollups_follow_every_writer(spark, store):
+    store.refresh_usage_daily()
+    store.refresh_usage_hourly()
+
+    def same():
+        assert USAGE_DAILY.name in store.tables() and USAGE_HOURLY.name in store.tables()
+        assert daily(store) == daily(store, False)
+        assert hourly(store) == hourly(store, False)
+        return len(daily(store))
+
+    rows = observations(spark, [("a", "2024-01-01 10:05:00", "1", "u", 1), ("b", "2024-01-02 11:00:00", "2", None, 1)])
+    store.upsert_observations(rows, AS_OF)
+    assert same() == 2
+    store.upsert_observations(rows, AS_OF)
+    assert same() == 2
+    store.append(FACT_OBSERVATION, observations(spark, [("c", "2024-01-03 10:00:00", "4", "u", 1)]).drop("_seq"))
+    assert same() == 3
+    store.upsert(FACT_OBSERVATION, observations(spark, [("c", None, "5", "u", 1)]))
+    assert same() == 3
+    store.truncate(FACT_OBSERVATION)
+    assert same() == 0
+
+
+def test_an_unfinished_write_is_answered_from_the_facts(spark, store, monkeypatch):
+    store.refresh_usage_daily()
+    row = observations(spark, [("a", "2024-01-01", "1", "u", 1)])
+    monkeypatch.setattr(store, "refresh_usage_daily", lambda days=None: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.append(FACT_OBSERVATION, row.drop("_seq"))
+    monkeypatch.undo()
+    assert USAGE_DAILY.name not in store.tables()
+    assert len(daily(store)) == 1
+    store.append(FACT_OBSERVATION, observations(spark, [("b", "2024-01-09", "1", "u", 1)]).drop("_seq"))
+    assert USAGE_DAILY.name in store.tables()
+    assert daily(store) == daily(store, False) and len(daily(store)) == 2
+
+
 def test_users_are_registered_once_and_keep_their_team(spark, store):
     store.append(DIM_USER, spark.createDataFrame([("known", "Platform")], "user_id string, team string"))
     rows = observations(
@@ -159,8 +256,9 @@ def test_rollup_answers_like_the_facts(spark, store):
     rows = observations(
         spark, [("a", "2024-01-01", "1", "u", 1), ("b", "2024-01-01", "2", None, 1), ("c", "2024-01-02", "4", "u", 1)]
     )
-    store.upsert_observations(rows, AS_OF, refresh_rollup=True)
-    store.upsert_observations(observations(spark, [("c", "2024-01-05", "8", "v", 1)]), AS_OF, refresh_rollup=True)
+    store.refresh_usage_daily()
+    store.upsert_observations(rows, AS_OF)
+    store.upsert_observations(observations(spark, [("c", "2024-01-05", "8", "v", 1)]), AS_OF)
     assert USAGE_DAILY.name in store.tables()
     for mart in (mrt_daily_usage, mrt_org_daily):
         from_rollup = mart(store.tables())
@@ -221,8 +319,34 @@ def test_session_log_that_grows_in_place(spark, tmp_path, store):
     assert sorted(stored(store)) == ["log-s-0", "log-s-1"]
 
 
+def test_session_sync_follows_the_rollup_and_finds_prices(spark, tmp_path, store):
+    from tests.test_session_logs import message, write_log
+
+    store.refresh_usage_daily()
+    write_log(tmp_path, "p", "s", [message(100, 10, 0)])
+    assert sync_session_logs(spark, str(tmp_path), store) == 1
+    assert store.read(MODEL_PRICES).count() == 3
+    assert daily(store) == daily(store, False) and len(daily(store)) == 1
+
+
+def test_stream_names_projects(spark, tmp_path, store):
+    land(tmp_path / "in" / "project=p", [raw("a")])
+    projects = project_table(spark, [{"id": "p", "name": "Project P"}])
+    sync = start_observation_sync(spark, str(tmp_path / "in"), store, str(tmp_path / "c"), True, projects)
+    sync.awaitTermination()
+    assert [r["project_name"] for r in store.read(FACT_OBSERVATION).collect()] == ["Project P"]
+
+
+def test_trace_store_stream_takes_context_from_traces(spark, tmp_path, store):
+    land(tmp_path / "observations", [{"id": "a", "trace_id": "t", "start_time": "2024-01-10 10:00:00"}])
+    land(tmp_path / "traces", [{"id": "t", "user_id": "u", "timestamp": "2023-12-20 10:00:00"}])
+    start_trace_store_sync(spark, str(tmp_path), store, str(tmp_path / "check"), True).awaitTermination()
+    assert store.read(FACT_OBSERVATION).first()["user_id"] == "u"
+
+
 def test_stream_replays_and_late_rows(spark, tmp_path, store):
     landing = tmp_path / "landing"
+    store.refresh_usage_daily()
 
     def run(checkpoint):
         start_observation_sync(
@@ -247,27 +371,14 @@ def test_score_stream(spark, tmp_path, store):
     assert [r["value"] for r in store.read(FACT_SCORE).collect()] == [0.75]
 
 
-def test_hourly_stream_over_several_batches_equals_the_mart(spark, tmp_path, store):
-    from tokenledger.tables import Tables
-
-    path = str(tmp_path / "facts")
-    parts = [
-        [("a", "2024-01-01 10:05:00", "1", "u", 1), ("b", "2024-01-01 10:50:00", "2", "u", 1)],
-        [("c", "2024-01-01 10:10:00", "4", "u", 1), ("d", "2024-01-01 12:10:00", "8", "u", 1)],
-    ]
-    for part in parts:
-        observations(spark, part).drop("_seq").coalesce(1).write.mode("append").parquet(path)
-        stream = spark.readStream.schema(FACT_OBSERVATION.schema).parquet(path)
-        start_hourly_usage(stream, store, str(tmp_path / "check"), available_now=True).awaitTermination()
-    facts = spark.read.schema(FACT_OBSERVATION.schema).parquet(path)
-    expected = mrt_hourly_usage(Tables(spark, {"fact_observation": facts}))
-    columns = HOURLY_USAGE.columns
-    got = store.read(HOURLY_USAGE).select(*columns)
-
-    def rows(df):
-        return sorted((r["hour"], r["project_name"], r["observations"], r["total_cost"]) for r in df.collect())
-
-    assert rows(got) == rows(expected)
+def test_rows_sent_again_are_not_counted_again(spark, tmp_path, store):
+    store.refresh_usage_hourly()
+    landing = tmp_path / "landing"
+    for name in ("1.json", "2.json"):
+        land(landing, [raw(f"k{i}", f"2024-01-10T{i % 5 + 10}:00:00Z") for i in range(50)] + [raw("none", None)], name)
+        start_observation_sync(spark, str(landing), store, str(tmp_path / "check"), available_now=True).awaitTermination()
+    assert sum(r[2] for r in hourly(store)) == 51
+    assert hourly(store) == hourly(store, False)
 
 
 def test_policies_upsert_by_rule_key(spark, store):

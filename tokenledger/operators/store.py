@@ -4,12 +4,18 @@ Fact tables are partitioned by ``day``; an upsert rewrites only the partitions
 it touches. Every write goes through a staged copy: the merged rows are written
 next to the table first and overwrite the live partitions from there. A run
 that dies half way is finished by the next one from the staged copy, so no row
-is lost between deleting a partition and writing it. One writer per table.
+is lost between deleting a partition and writing it. The marker that makes a
+staged copy count is written last and deleted first, and it is held against the
+number of staged rows. One writer per table.
+
+Stored roll-ups of the observations follow every write to them. While a write is
+under way, or after one that died, questions are answered from the facts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import date, datetime
 
@@ -29,12 +35,13 @@ from tokenledger.schemas import (
     SYNC_STATE,
     TABLES,
     USAGE_DAILY,
+    USAGE_HOURLY,
     TableSpec,
 )
 from tokenledger.session import pin_utc, scratch_dir
 from tokenledger.tables import Tables
 
-AfterPublish = Callable[[list[date | None]], None]
+ROLLUPS = (USAGE_DAILY, USAGE_HOURLY)
 
 
 def _on_days(days: Sequence[date | None]) -> Column:
@@ -49,12 +56,13 @@ def _limited(stored: DataFrame, days: Sequence[date | None] | None) -> DataFrame
 
 
 def _without_equals(rows: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows that have no stored row equal in every column."""
-    equal = F.lit(True)
-    for c in rows.columns:
-        same = rows[c] == stored[c] if c in keys else rows[c].eqNullSafe(stored[c])
-        equal = equal & same
-    return rows.join(stored, equal, "left_anti")
+    """Rows that have no stored row equal in every column, matched by the key alone."""
+    rest = [c for c in rows.columns if c not in keys]
+    other = stored.select(*keys, F.struct(*rest).alias("_stored"))
+    changed = F.col("_stored").isNull()
+    for c in rest:
+        changed = changed | ~F.col(c).eqNullSafe(F.col("_stored")[c])
+    return rows.join(other, list(keys), "left").where(changed).select(*rows.columns)
 
 
 @dataclass
@@ -94,6 +102,15 @@ class Store:
         fs, hadoop_path = self._fs(path)
         fs.delete(hadoop_path, True)
 
+    def _touch(self, path: str) -> None:
+        fs, hadoop_path = self._fs(path)
+        fs.create(hadoop_path, True).close()
+
+    def _discard(self, stage: str) -> None:
+        """Delete a staged copy, its marker first: a delete that dies half way must leave nothing to recover from."""
+        self._delete(f"{stage}/days/_SUCCESS")
+        self._delete(stage)
+
     # -- reading ----------------------------------------------------------------
 
     def read(self, spec: TableSpec) -> DataFrame:
@@ -103,10 +120,11 @@ class Store:
         return self.spark.read.schema(spec.stored_schema).parquet(self.path(spec))
 
     def tables(self, use_rollup: bool = True) -> Tables:
-        """All tables, with the stored daily roll-up when there is one."""
+        """All tables, with the stored roll-ups that there are, unless a write to the observations is unfinished."""
         specs = dict(TABLES)
-        if use_rollup and self._exists(self.path(USAGE_DAILY)):
-            specs[USAGE_DAILY.name] = USAGE_DAILY
+        staged = f"{self._stage(FACT_OBSERVATION)}/days/_SUCCESS"
+        if use_rollup and not self._exists(self._pending) and not self._exists(staged):
+            specs |= {r.name: r for r in ROLLUPS if self._exists(self.path(r))}
         return Tables(self.spark, {n: lambda spec=spec: self.read(spec) for n, spec in specs.items()})
 
     # -- plain writes -------------------------------------------------------------
@@ -138,12 +156,15 @@ class Store:
 
     def append(self, spec: TableSpec, rows: DataFrame) -> None:
         """Bulk append without looking at keys; missing columns become NULL."""
-        shaped = schema_with_nulls(rows, spec.schema)
-        self._write(self._with_day(spec, shaped), self.path(spec), "append", cluster=spec.cluster)
+        shaped = self._with_day(spec, schema_with_nulls(rows, spec.schema))
+        days = self._days(shaped) if self._rolled_up(spec) else None
+        with self._rollups_follow(spec, days):
+            self._write(shaped, self.path(spec), "append", cluster=spec.cluster)
 
     def truncate(self, spec: TableSpec) -> None:
         """Empty the table."""
-        self._write(self.spark.createDataFrame([], spec.stored_schema), self.path(spec), "overwrite")
+        with self._rollups_follow(spec):
+            self._write(self.spark.createDataFrame([], spec.stored_schema), self.path(spec), "overwrite")
 
     def replace(self, spec: TableSpec, rows: DataFrame) -> None:
         """Load a small reference table whole. ``rows`` must not read the table itself."""
@@ -178,7 +199,6 @@ class Store:
         rows: DataFrame,
         key_may_move: bool = True,
         skip_unchanged: bool = False,
-        after: AfterPublish | None = None,
     ) -> int:
         """Replace rows by key; of equal keys the last to arrive wins.
 
@@ -194,27 +214,20 @@ class Store:
         sync that re-reads weeks of data then rewrites only the days in which
         something changed.
         """
-        self.recover(spec, after)
+        self.recover(spec)
         batch = self._spool(spec, rows)
         if batch.count:
-            self._merge(spec, batch, key_may_move, skip_unchanged, after)
+            self._merge(spec, batch, key_may_move, skip_unchanged)
         self._delete(batch.path)
         return batch.count
 
-    def _merge(
-        self,
-        spec: TableSpec,
-        batch: Batch,
-        key_may_move: bool,
-        skip_unchanged: bool,
-        after: AfterPublish | None,
-    ) -> None:
+    def _merge(self, spec: TableSpec, batch: Batch, key_may_move: bool, skip_unchanged: bool) -> None:
         stored = self.read(spec)
         latest = latest_by_key(batch.rows, spec.keys, ["_seq"]).select(*stored.columns)
         if not skip_unchanged:
             # Distinct, so that copies of one key do not pile up on one side of a join.
             keys = batch.rows.select(*spec.keys).distinct()
-            self._rewrite(spec, stored, latest, keys, self._days_of(spec, batch.rows), key_may_move, after)
+            self._rewrite(spec, stored, latest, keys, self._days_of(spec, batch.rows), key_may_move)
             return
         path = scratch_dir(self.spark, f"changed-{spec.name}")
         days = self._days_of(spec, batch.rows)
@@ -222,7 +235,7 @@ class Store:
         changed = self.spark.read.schema(stored.schema).parquet(path)
         if not changed.isEmpty():
             keys = changed.select(*spec.keys)
-            self._rewrite(spec, stored, changed, keys, self._days_of(spec, changed), key_may_move, after)
+            self._rewrite(spec, stored, changed, keys, self._days_of(spec, changed), key_may_move)
         self._delete(path)
 
     def _days_of(self, spec: TableSpec, rows: DataFrame) -> list[date | None] | None:
@@ -236,7 +249,6 @@ class Store:
         keys: DataFrame,
         days: list[date | None] | None,
         key_may_move: bool,
-        after: AfterPublish | None,
     ) -> None:
         """Replace the stored rows of the keys by the latest ones, by way of the stage."""
         on = list(spec.keys)
@@ -245,11 +257,13 @@ class Store:
             days = days + self._days(elsewhere.select(*on, "day").join(keys, on, "left_semi"))
         merged = _limited(stored, days).join(keys, on, "left_anti").unionByName(latest)
         stage = self._stage(spec)
-        self._delete(stage)
+        self._discard(stage)
         self._write(merged, f"{stage}/rows", "overwrite", cluster=spec.cluster)
-        # Written last: its presence says that the staged rows are complete.
+        staged = self.spark.read.schema(spec.stored_schema).parquet(f"{stage}/rows")
+        self.spark.range(1, numPartitions=1).select(F.lit(staged.count()).alias("n")).write.parquet(f"{stage}/count")
+        # Written last: its marker says that the staged rows are complete.
         self._day_record(days or []).write.parquet(f"{stage}/days")
-        self._publish(spec, days or [], after)
+        self._publish(spec, days or [])
 
     def _day_record(self, days: list[date | None]) -> DataFrame:
         """The touched days as rows, one per partition folder; none for an unpartitioned table."""
@@ -258,34 +272,34 @@ class Store:
         listed = F.array(*(F.lit(d).cast("date") for d in days))
         return self.spark.range(1, numPartitions=1).select(F.explode(listed).alias("day"))
 
-    def _publish(
-        self, spec: TableSpec, days: list[date | None], after: AfterPublish | None
-    ) -> None:
+    def _publish(self, spec: TableSpec, days: list[date | None]) -> None:
         stage = self._stage(spec)
         staged = self.spark.read.schema(spec.stored_schema).parquet(f"{stage}/rows")
+        expected = self.spark.read.schema("n bigint").parquet(f"{stage}/count").first()["n"]
+        if (found := staged.count()) != expected:
+            raise RuntimeError(f"{stage} has {found} rows of {expected}; the table is left as it is")
         by_day = spec.event_time is not None
-        # A plain copy: the staged files are already gathered by day.
-        self._write(staged, self.path(spec), "overwrite", days_only=by_day, gather=False)
-        if by_day:
-            # Overwriting leaves alone a day that lost its last row.
-            filled = set(self._days(staged))
-            self._drop_days(spec, [d for d in days if d not in filled])
-        if after is not None:
-            after(days)
-        self._delete(stage)
+        with self._rollups_follow(spec, days):
+            # A plain copy: the staged files are already gathered by day.
+            self._write(staged, self.path(spec), "overwrite", days_only=by_day, gather=False)
+            if by_day:
+                # Overwriting leaves alone a day that lost its last row.
+                filled = set(self._days(staged))
+                self._drop_days(spec, [d for d in days if d not in filled])
+        self._discard(stage)
 
     def _drop_days(self, spec: TableSpec, days: Sequence[date | None]) -> None:
         for d in days:
             value = "__HIVE_DEFAULT_PARTITION__" if d is None else d.isoformat()
             self._delete(f"{self.path(spec)}/day={value}")
 
-    def recover(self, spec: TableSpec, after: AfterPublish | None = None) -> bool:
+    def recover(self, spec: TableSpec) -> bool:
         """Finish an interrupted upsert; true if there was one."""
         record = f"{self._stage(spec)}/days"
         if not self._exists(f"{record}/_SUCCESS"):
             return False
         days = [r["day"] for r in self.spark.read.schema("day date").parquet(record).collect()]
-        self._publish(spec, days, after)
+        self._publish(spec, days)
         return True
 
     # -- the tables -----------------------------------------------------------------
@@ -296,15 +310,13 @@ class Store:
         as_of: datetime | None = None,
         key_may_move: bool = True,
         skip_unchanged: bool = False,
-        refresh_rollup: bool = False,
     ) -> int:
         """Upsert observations, register their users and note the time of the sync."""
         spec = FACT_OBSERVATION
-        after = self.refresh_usage_daily if refresh_rollup else None
-        self.recover(spec, after)
+        self.recover(spec)
         batch = self._spool(spec, rows)
         if batch.count:
-            self._merge(spec, batch, key_may_move, skip_unchanged, after)
+            self._merge(spec, batch, key_may_move, skip_unchanged)
             self.register_users(batch.rows)
             self.mark_synced(as_of)
         self._delete(batch.path)
@@ -341,22 +353,53 @@ class Store:
         )
         self.replace(SYNC_STATE, row)
 
-    # -- stored daily roll-up -----------------------------------------------------------
+    # -- stored roll-ups ----------------------------------------------------------------
+
+    @property
+    def _pending(self) -> str:
+        """Its presence says that roll-ups may lag behind the observations."""
+        return f"{self.root}/_staged/rollups-pending"
+
+    def _rolled_up(self, spec: TableSpec) -> bool:
+        return spec.name == FACT_OBSERVATION.name and any(self._exists(self.path(r)) for r in ROLLUPS)
+
+    @contextmanager
+    def _rollups_follow(self, spec: TableSpec, days: Sequence[date | None] | None = None) -> Iterator[None]:
+        """Refresh the roll-ups that there are after a write to some days of the observations, or all of them."""
+        if not self._rolled_up(spec):
+            yield
+            return
+        if self._exists(self._pending):
+            days = None  # an earlier write died; which days it touched is not known
+        self._touch(self._pending)
+        yield
+        if self._exists(self.path(USAGE_DAILY)):
+            self.refresh_usage_daily(days)
+        if self._exists(self.path(USAGE_HOURLY)):
+            self.refresh_usage_hourly(days)
+        self._delete(self._pending)
 
     def refresh_usage_daily(self, days: Sequence[date | None] | None = None) -> None:
-        """Recompute the daily roll-up for some days, or for all of them."""
+        """Recompute the daily roll-up for some days, or for all of them. From the first time on it is kept current."""
         from tokenledger.plans.marts import usage_daily
 
-        facts = self.read(FACT_OBSERVATION)
-        if days is not None:
-            facts = facts.where(_on_days(days))
-        columns = [*USAGE_DAILY.columns[1:], "day"]
-        path = self.path(USAGE_DAILY)
-        usage = usage_daily(facts).select(*columns)
-        self._write(usage, path, "overwrite", days_only=days is not None)
+        self._refresh(USAGE_DAILY, usage_daily, [*USAGE_DAILY.columns[1:], "day"], days)
+
+    def refresh_usage_hourly(self, days: Sequence[date | None] | None = None) -> None:
+        """The same for usage by hour and project; rows without a start time are an hour of their own."""
+        from tokenledger.plans.marts import hourly_usage_of
+
+        def with_day(facts: DataFrame) -> DataFrame:
+            return hourly_usage_of(facts).withColumn("day", day_bucket(F.col("hour")))
+
+        self._refresh(USAGE_HOURLY, with_day, [*USAGE_HOURLY.columns, "day"], days)
+
+    def _refresh(self, spec: TableSpec, usage, columns: Sequence[str], days: Sequence[date | None] | None) -> None:
+        facts = _limited(self.read(FACT_OBSERVATION), days)
+        self._write(usage(facts).select(*columns), self.path(spec), "overwrite", days_only=days is not None)
         if days is not None:
             kept = set(self._days(facts))
-            self._drop_days(USAGE_DAILY, [d for d in days if d not in kept])
+            self._drop_days(spec, [d for d in days if d not in kept])
 
 
 def schema_with_nulls(rows: DataFrame, schema: T.StructType) -> DataFrame:

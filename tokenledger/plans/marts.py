@@ -179,6 +179,8 @@ def hourly_usage_of(observations: DataFrame) -> DataFrame:
 
 def mrt_hourly_usage(tables: Tables) -> DataFrame:
     """Usage per hour and project."""
+    if "usage_hourly" in tables:
+        return tables["usage_hourly"].drop("day")
     return hourly_usage_of(tables.observations())
 
 

@@ -206,6 +206,22 @@ USAGE_DAILY = TableSpec(
     ("day", "project_id", "project_name", "user_id", "model"),
 )
 
+# The stored roll-up behind the hourly mart.
+USAGE_HOURLY = TableSpec(
+    "usage_hourly",
+    struct_of(
+        hour="ts",
+        project_name="text",
+        observations="bigint",
+        input_tokens="bigint",
+        output_tokens="bigint",
+        total_tokens="bigint",
+        total_cost="money_sum",
+    ),
+    ("hour", "project_name"),
+    "hour",
+)
+
 TABLES: dict[str, TableSpec] = {
     spec.name: spec
     for spec in (

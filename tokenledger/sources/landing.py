@@ -104,9 +104,12 @@ def read_store_observations(
 
     User, session and tags live on the trace there and come from enrichment.
     """
-    rows = in_window(
-        _scan(spark, path, RAW_STORE_OBSERVATION), iso_timestamp(F.col("start_time")), window
-    )
+    rows = _scan(spark, path, RAW_STORE_OBSERVATION)
+    return store_observations(in_window(rows, iso_timestamp(F.col("start_time")), window))
+
+
+def store_observations(rows: DataFrame) -> DataFrame:
+    """Exported rows in the raw observation shape, from a scan or a stream."""
     model = F.coalesce(
         blank_to_null(F.col("provided_model_name")), F.col("internal_model_id"), F.lit("")
     )
@@ -165,6 +168,11 @@ def read_store_traces(
     return _renamed(rows, RAW_TRACE, columns)
 
 
+def named(rows: DataFrame, projects: DataFrame | None) -> DataFrame:
+    """Source project names by folder; the list of projects is configuration-sized."""
+    return rows if projects is None else rows.join(projects, "project", "left")
+
+
 def project_table(spark: SparkSession, projects: Iterable[Mapping[str, str]]) -> DataFrame:
     """Configured projects as (project, project_name).
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tokenledger.operators.enrich import enrich_from_traces
 from tokenledger.operators.governance_rows import (
     governance_divergence,
     governance_policies,
@@ -18,36 +19,25 @@ from tokenledger.operators.governance_rows import (
 )
 from tokenledger.operators.normalize import normalize_observations, normalize_scores
 from tokenledger.operators.store import Store
-from tokenledger.plans.rollup import project_label
 from tokenledger.schemas import (
     GOVERNANCE_DOCUMENT,
     RAW_OBSERVATION,
     RAW_SCORE,
-    TableSpec,
-    struct_of,
+    RAW_STORE_OBSERVATION,
 )
 from tokenledger.session import pin_utc
 from tokenledger.sources.governance import accepted
-from tokenledger.sources.landing import arrival_order, file_position, with_project_folder
-
-SYNC_INTERVAL = "300 seconds"
-LATENESS = "30 days"
-
-HOURLY_USAGE = TableSpec(
-    "hourly_usage",
-    struct_of(
-        hour="ts",
-        project_name="text",
-        observations="bigint",
-        input_tokens="bigint",
-        output_tokens="bigint",
-        total_tokens="bigint",
-        total_cost="money_sum",
-    ),
-    ("hour", "project_name"),
-    "hour",
+from tokenledger.sources.landing import (
+    arrival_order,
+    file_position,
+    named,
+    read_store_traces,
+    store_observations,
+    with_project_folder,
 )
 
+# Fixed value: the interval between syncs.
+SYNC_INTERVAL = "300 seconds"
 
 def _trigger(writer, available_now: bool):
     if available_now:
@@ -71,9 +61,12 @@ def start_observation_sync(
     store: Store,
     checkpoint: str,
     available_now: bool = False,
-    refresh_rollup: bool = True,
+    projects: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Upsert observations per micro-batch and refresh the touched days of the roll-up.
+    """Upsert observations per micro-batch. Stored roll-ups follow in the days that a batch touches, so a row that is
+    sent again is not counted again.
+
+    ``projects`` names source projects by folder, as in the batch sync.
 
     Late rows replace what is stored, so nothing is deduplicated by watermark:
     that would keep the first version of a row. A batch that is retried after a
@@ -81,19 +74,24 @@ def start_observation_sync(
     """
 
     def sync(batch: DataFrame, _batch_id: int) -> None:
-        store.upsert_observations(normalize_observations(_arrived(batch)), refresh_rollup=refresh_rollup)
+        store.upsert_observations(normalize_observations(named(_arrived(batch), projects)))
 
     writer = _landed_stream(spark, landing, RAW_OBSERVATION).writeStream.foreachBatch(sync)
     return _trigger(writer.option("checkpointLocation", checkpoint), available_now).start()
 
 
 def start_score_sync(
-    spark: SparkSession, landing: str, store: Store, checkpoint: str, available_now: bool = False
+    spark: SparkSession,
+    landing: str,
+    store: Store,
+    checkpoint: str,
+    available_now: bool = False,
+    projects: DataFrame | None = None,
 ) -> StreamingQuery:
     """Upsert scores per micro-batch."""
 
     def sync(batch: DataFrame, _batch_id: int) -> None:
-        store.upsert_scores(normalize_scores(_arrived(batch)))
+        store.upsert_scores(normalize_scores(named(_arrived(batch), projects)))
 
     writer = _landed_stream(spark, landing, RAW_SCORE).writeStream.foreachBatch(sync)
     return _trigger(writer.option("checkpointLocation", checkpoint), available_now).start()
@@ -122,49 +120,18 @@ def start_governance_sync(
     return _trigger(writer.option("checkpointLocation", checkpoint), available_now).start()
 
 
-def hourly_usage_stream(observations: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Usage per hour and project over a stream of observation facts.
-
-    For append-only input: a row sent again would be counted again. State is one
-    row per open hour and project and is dropped once the watermark passes it.
-    Rows without a start time belong to no hour.
-    """
-    return (
-        observations.withColumn("project_name", project_label())
-        .withWatermark("start_time", lateness)
-        .groupBy(F.window("start_time", "1 hour"), "project_name")
-        .agg(
-            F.count(F.lit(1)).alias("observations"),
-            F.sum("input_tokens").alias("input_tokens"),
-            F.sum("output_tokens").alias("output_tokens"),
-            F.sum("total_tokens").alias("total_tokens"),
-            F.sum("total_cost").alias("total_cost"),
-        )
-        .select(
-            F.col("window.start").alias("hour"),
-            "project_name",
-            "observations",
-            "input_tokens",
-            "output_tokens",
-            "total_tokens",
-            "total_cost",
-        )
-    )
-
-
-def start_hourly_usage(
-    observations: DataFrame,
-    store: Store,
-    checkpoint: str,
-    available_now: bool = False,
-    lateness: str = LATENESS,
+def start_trace_store_sync(
+    spark: SparkSession, landing: str, store: Store, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Keep the hourly usage table fresh: changed hours are upserted per micro-batch."""
+    """Upsert trace-store observations of ``<landing>/observations`` per micro-batch, with context from the traces that
+    ``<landing>/traces`` holds at that time. A trace that arrives later than its observations reaches them with the next
+    batch sync."""
 
     def sync(batch: DataFrame, _batch_id: int) -> None:
-        store.upsert(HOURLY_USAGE, batch, key_may_move=False)
+        rows = store_observations(_arrived(batch))
+        traces = read_store_traces(spark, f"{landing}/traces")
+        store.upsert_observations(normalize_observations(enrich_from_traces(rows, traces)))
 
-    writer = hourly_usage_stream(observations, lateness).writeStream.outputMode("update")
-    return _trigger(
-        writer.foreachBatch(sync).option("checkpointLocation", checkpoint), available_now
-    ).start()
+    rows = _landed_stream(spark, f"{landing}/observations", RAW_STORE_OBSERVATION)
+    writer = rows.writeStream.foreachBatch(sync)
+    return _trigger(writer.option("checkpointLocation", checkpoint), available_now).start()

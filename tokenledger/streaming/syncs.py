@@ -21,6 +21,7 @@ from tokenledger.sources.governance import accepted, read_governance_documents,
 from tokenledger.sources.landing import (
     LOOKBACK_DAYS,
     lookback,
+    named,
     read_observations,
     read_scores,
     read_store_observations,
@@ -30,11 +31,6 @@ from tokenledger.sources.landing import (
 from tokenledger.sources.session_logs import LOG_NAME, read_session_events
 
 
-def _named(rows: DataFrame, projects: DataFrame | None) -> DataFrame:
-    """Source project names by folder; the list of projects is configuration-sized."""
-    return rows if projects is None else rows.join(projects, "project", "left")
-
-
 def sync_landing(
     spark: SparkSession,
     landing: str,
@@ -42,19 +38,13 @@ def sync_landing(
     projects: DataFrame | None = None,
     as_of: datetime | None = None,
     days: int = LOOKBACK_DAYS,
-    refresh_rollup: bool = False,
 ) -> tuple[int, int]:
     """Observations and scores of the lookback window from ``<landing>/observations`` and ``/scores``."""
     window = lookback(as_of, days)
-    observations = _named(read_observations(spark, f"{landing}/observations", window), projects)
-    scores = _named(read_scores(spark, f"{landing}/scores", window), projects)
+    observations = named(read_observations(spark, f"{landing}/observations", window), projects)
+    scores = named(read_scores(spark, f"{landing}/scores", window), projects)
     return (
-        store.upsert_observations(
-            normalize_observations(observations),
-            as_of,
-            skip_unchanged=True,
-            refresh_rollup=refresh_rollup,
-        ),
+        store.upsert_observations(normalize_observations(observations), as_of, skip_unchanged=True),
         store.upsert_scores(normalize_scores(scores), skip_unchanged=True),
     )
 
@@ -66,7 +56,6 @@ def sync_trace_store(
     as_of: datetime | None = None,
     days: int = LOOKBACK_DAYS,
     trace_days: int | None = None,
-    refresh_rollup: bool = False,
 ) -> tuple[int, int]:
     """The same from trace-store exports, with context taken from ``<landing>/traces``.
 
@@ -79,12 +68,7 @@ def sync_trace_store(
     )
     scores = read_store_scores(spark, f"{landing}/scores", window)
     return (
-        store.upsert_observations(
-            normalize_observations(observations),
-            as_of,
-            skip_unchanged=True,
-            refresh_rollup=refresh_rollup,
-        ),
+        store.upsert_observations(normalize_observations(observations), as_of, skip_unchanged=True),
         store.upsert_scores(normalize_scores(scores), skip_unchanged=True),
     )
 
@@ -104,7 +88,12 @@ def sync_session_logs(
     as_of: datetime | None = None,
     **options,
 ) -> int:
-    """Session logs. They grow in place, so a changed log is read whole again."""
+    """Session logs. They grow in place, so a changed log is read whole again.
+
+    Calls are priced from the stored prices; a store that has none yet gets the default ones first.
+    """
+    if store.read(MODEL_PRICES).isEmpty():
+        store.replace(MODEL_PRICES, default_model_prices(spark))
     events = read_session_events(spark, root, name, changed_since)
     rows = session_observations(events, store.read(MODEL_PRICES), as_of=as_of, **options)
     return store.upsert_observations(rows, as_of, skip_unchanged=True)
