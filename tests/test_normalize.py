@@ -208,3 +208,23 @@ def test_reference_tables_from_files(spark, tmp_path, suffix):
     else:
         path.write_text('{"scope_type":"global","scope_id":"*","period":"monthly","budget_usd":100.5}\n')
     assert read_reference_table(spark, BUDGET, str(path)).first()["budget_usd"] == 100.5
+
+
+def test_amounts_far_below_a_millionth_add_up(spark):
+    from pyspark.sql import functions as F
+
+    from tokenledger.plans.rollup import usage_rollup
+    from tokenledger.schemas import RAW_OBSERVATION
+    from tokenledger.tables import Tables
+
+    raw = spark.range(1000).select(
+        *[
+            (F.concat(F.lit("o"), "id") if f.name == "id" else F.lit(4e-7) if f.name == "totalCost" else F.lit(None))
+            .cast(f.dataType)
+            .alias(f.name)
+            for f in RAW_OBSERVATION.fields
+        ]
+    )
+    facts = normalize_observations(raw)
+    total = usage_rollup(Tables(spark, {"fact_observation": facts}), ["model"], ("total_cost",)).first()["total_cost"]
+    assert float(total) == 0.0004

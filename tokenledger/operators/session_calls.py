@@ -138,7 +138,7 @@ def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
         return count.cast("decimal(12,0)")
 
     def dollars(raw: Column) -> Column:
-        return (raw * F.lit("0.000001").cast("decimal(6,6)")).cast(MONEY)
+        return (raw * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(18,6)").cast(MONEY)
 
     uncached = F.col("input_tokens") - F.col("cached_input_tokens")
     raw_input = price("input_hit_per_1m") * tokens(F.col("cached_input_tokens")) + price(

@@ -10,8 +10,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 6)
-MONEY_SUM = T.DecimalType(28, 6)
+# Cheap models cost well under a millionth of a dollar a call, so amounts keep twelve digits and are rounded only where
+# they leave a question. An amount of a trillion or more, or one that is no number, is NULL.
+MONEY = T.DecimalType(24, 12)
+MONEY_SUM = T.DecimalType(34, 12)
 
 _TYPES = {
     "text": T.StringType(),

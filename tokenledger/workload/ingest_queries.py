@@ -85,11 +85,12 @@ SELECT event_id, 'ev-' || event_id AS observation_id, 'tr-' || user_id || '-' ||
        CASE WHEN event_id % 3 = 0 THEN 250 ELSE 300 END + k * 40 + event_id % 30 * 10 AS total_tokens,
        k + 6 AS cached_input_tokens,
        CAST(CASE WHEN event_id % 4 = 0 THEN 9 ELSE 3 END AS BIGINT) AS reasoning_tokens,
-       CAST(value / 4 AS DECIMAL(18,6))::DOUBLE AS input_cost, CAST(value / 2 AS DECIMAL(18,6))::DOUBLE AS output_cost,
-       CASE WHEN event_id % 5 = 0 THEN CAST(value * 0.75 AS DECIMAL(18,6))::DOUBLE ELSE value END AS total_cost,
+       CASE WHEN tiny THEN 1E-7 ELSE cents / 400 END AS input_cost, CASE WHEN tiny THEN 2E-7 ELSE cents / 200 END AS output_cost,
+       CASE WHEN event_id % 5 <> 0 THEN CASE WHEN tiny THEN 4E-7 ELSE value END
+            WHEN tiny THEN 3E-7 ELSE cents * 3 / 400 END AS total_cost,
        'DEFAULT' AS level, CASE WHEN event_type = 'error' THEN 'failed' END AS status_message,
        CASE WHEN event_id % 6 = 0 THEN '["a","b"]' END AS tags
-FROM ev"""
+FROM (SELECT *, event_id % 11 = 3 AS tiny, round(value * 100) AS cents FROM ev)"""
 
 _FACT = f"""observation_id, trace_id, project_id, {{project_name}} AS project_name, user_id, session_id, model, type, name,
        environment, strftime(start_time, {STAMP}) AS start_time, strftime(end_time, {STAMP}) AS end_time, latency_ms,
@@ -370,9 +371,9 @@ def _corrections(facts: DataFrame) -> DataFrame:
     """Every third observation again: a stale copy, then one a day later at twice the cost."""
     number = F.substring("observation_id", 4, 20).cast("bigint")
     third = facts.where(number % 3 == 0)
-    stale = third.withColumn("total_cost", F.lit(-1).cast("decimal(18,6)")).withColumn("_seq", F.struct(F.lit(1)))
+    stale = third.withColumn("total_cost", F.lit(-1).cast(MONEY)).withColumn("_seq", F.struct(F.lit(1)))
     final = (
-        third.withColumn("total_cost", (F.col("total_cost") * 2).cast("decimal(18,6)"))
+        third.withColumn("total_cost", (F.col("total_cost") * 2).cast(MONEY))
         .withColumn("start_time", F.col("start_time") + F.expr("INTERVAL 1 DAY"))
         .withColumn("_seq", F.struct(F.lit(2)))
     )

@@ -39,8 +39,8 @@ SELECT 'ev-' || event_id AS observation_id,
        CASE WHEN event_type = 'error' THEN 0 ELSE 250 + k * 40 + (event_id % 30) * 10 END AS total_tokens,
        CASE WHEN event_type IN ('click', 'view') THEN k * 10 ELSE 0 END AS cached_input_tokens,
        CASE WHEN event_type = 'purchase' THEN (event_id % 7) * 10 ELSE 0 END AS reasoning_tokens,
-       CAST(CAST(value AS DECIMAL(18,6)) * 0.25 AS DECIMAL(18,6)) AS input_cost,
-       CAST(CAST(value AS DECIMAL(18,6)) * 0.75 AS DECIMAL(18,6)) AS output_cost,
+       CAST(CAST(value AS DECIMAL(18,6)) * 0.25 AS DECIMAL(24,12)) AS input_cost,
+       CAST(CAST(value AS DECIMAL(18,6)) * 0.75 AS DECIMAL(24,12)) AS output_cost,
        CAST(value AS DECIMAL(18,6)) AS total_cost
 FROM ev"""
 
@@ -373,7 +373,7 @@ SELECT {DAY}, project AS project_id, project AS project_name, user_id, 'Unassign
        CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
        CAST(sum(cached_input_tokens) AS BIGINT) AS cached_input_tokens, CAST(0 AS BIGINT) AS reasoning_tokens,
        CAST(NULL AS DOUBLE) AS input_cost, CAST(NULL AS DOUBLE) AS output_cost,
-       CAST(sum(CAST(raw_cost AS DECIMAL(18,6))) AS DOUBLE) AS total_cost
+       CAST(sum(CAST(raw_cost AS DECIMAL(24,12))) AS DOUBLE) AS total_cost
 FROM lines GROUP BY lines.day, project, user_id, model"""
 
 QUESTIONS["kpi_overview_mtd"] = f"SELECT {MTD_COLUMNS} FROM mtd"

@@ -80,16 +80,18 @@ EVENT_OBSERVATION = {
 }
 
 
-def with_k(events: DataFrame) -> DataFrame:
-    """Events over some four months, so that every window has rows on both sides, and with one day of high cost."""
-    spread = F.expr("ts - make_dt_interval(CAST(event_id % 5 AS INT) * 25)")
-    value = F.expr("CASE WHEN CAST(ts AS DATE) = DATE '2024-01-17' THEN value * 8 ELSE value END")
-    shifted = events.withColumn("ts", spread).withColumn("value", value)
-    return shifted.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
+def with_k(events: DataFrame, spread: bool = True) -> DataFrame:
+    """Events over some four months, so that every window has rows on both sides, and with one day of high cost;
+    without ``spread`` as they are, all within a month."""
+    if spread:
+        moved = F.expr("ts - make_dt_interval(CAST(event_id % 5 AS INT) * 25)")
+        value = F.expr("CASE WHEN CAST(ts AS DATE) = DATE '2024-01-17' THEN value * 8 ELSE value END")
+        events = events.withColumn("ts", moved).withColumn("value", value)
+    return events.withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("bigint"))
 
 
-def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _observations(with_k(table(spark, sf_dir, "events")), EVENT_OBSERVATION)
+def event_observations(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+    return _observations(with_k(table(spark, sf_dir, "events"), spread), EVENT_OBSERVATION)
 
 
 def order_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,10 +155,10 @@ def event_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_scores(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """A score for every event. Those of some users are of traces that the facts do not have."""
     return (
-        with_k(table(spark, sf_dir, "events"))
+        with_k(table(spark, sf_dir, "events"), spread)
         .selectExpr(
             "concat('sc-', event_id) AS score_id",
             f"concat(CASE user_id % 3 WHEN 0 THEN 'other-' ELSE '' END, {EVENT_OBSERVATION['trace_id']}) AS trace_id",
@@ -221,13 +223,13 @@ TARGET_ROWS = [
 ] + [("unheard_of", "gte", 1.0, "Not a known metric")]
 
 
-def event_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def event_tables(spark: SparkSession, sf_dir: str, spread: bool = True) -> Tables:
     """The standard workload."""
     return Tables(
         spark,
         {
-            "fact_observation": lambda: event_observations(spark, sf_dir),
-            "fact_score": lambda: event_scores(spark, sf_dir),
+            "fact_observation": lambda: event_observations(spark, sf_dir, spread),
+            "fact_score": lambda: event_scores(spark, sf_dir, spread),
             "dim_user": lambda: event_users(spark, sf_dir),
             "fact_governance": lambda: event_governance(spark, sf_dir),
             "dim_policy": lambda: part_policies(spark, sf_dir),
