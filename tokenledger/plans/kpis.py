@@ -36,6 +36,7 @@ from tokenledger.plans.marts import (
 from tokenledger.plans.rollup import user_label, usage_rollup, with_team
 from tokenledger.tables import Tables
 
+# The dimensions a question may be asked by, and their columns.
 DIMENSIONS = {
     "project": "project_name",
     "team": "team",
@@ -245,8 +246,8 @@ def kpi_hourly(
 
 def _recent_sessions(tables: Tables, days: int, as_of: datetime | None) -> DataFrame:
     check_range("days", days, 1, 365)
-    since = F.lit(days_before(utc(as_of), days))
-    return mrt_session(tables).where(F.col("last_seen") >= since)
+    since = days_before(utc(as_of), days)
+    return mrt_session(tables, since).where(F.col("last_seen") >= F.lit(since))
 
 
 def kpi_session_stats(tables: Tables, days: int = 30, as_of: datetime | None = None) -> DataFrame:
@@ -436,17 +437,19 @@ def _trace_outcomes(tables: Tables, score_name: str | None) -> DataFrame:
     """Cost and best score per scored trace, money still decimal.
 
     Both sides are aggregated on ``trace_id`` before the join, so the join finds
-    them already partitioned and a hot trace is one row on either side.
+    them already partitioned and a hot trace is one row on either side. Facts of
+    traces without a score, mostly nearly all, drop out before they are summed.
     """
     scores = tables["fact_score"]
     if check_name(score_name):
         scores = scores.where(F.col("name") == score_name)
+    best = scores.groupBy("trace_id").agg(F.max("value").alias("best_score"))
     costs = (
         tables["fact_observation"]
+        .join(best.select("trace_id"), "trace_id", "left_semi")
         .groupBy("trace_id")
         .agg(F.coalesce(F.sum("total_cost"), F.lit(0)).alias("cost"))
     )
-    best = scores.groupBy("trace_id").agg(F.max("value").alias("best_score"))
     return costs.join(best, "trace_id")
 
 

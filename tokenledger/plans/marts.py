@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -134,22 +136,26 @@ def mrt_org_daily(tables: Tables, exact_traces: bool = False) -> DataFrame:
     )
 
 
-def mrt_session(tables: Tables) -> DataFrame:
-    """One row per session (or lone trace), user and project."""
+def mrt_session(tables: Tables, active_since: datetime | None = None) -> DataFrame:
+    """One row per session (or lone trace), user and project.
+
+    With ``active_since`` only sessions with an observation from then on, each
+    still whole: their keys come from a pruned scan, and facts of other sessions
+    drop out before they are aggregated.
+    """
+    keys = {
+        "session_id": F.coalesce("session_id", "trace_id"),
+        "user_id": user_label(),
+        "project_name": project_label(),
+    }
+    rest = ("start_time", "trace_id", "input_tokens", "output_tokens", "total_tokens", "total_cost")
+    rows = tables.observations().select(*[c.alias(n) for n, c in keys.items()], *rest)
+    if active_since is not None:
+        recent = tables.observations(active_since).select(*[c.alias(f"_{n}") for n, c in keys.items()])
+        same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in keys]
+        rows = rows.join(recent.distinct(), same, "left_semi")
     return (
-        tables.observations()
-        .select(
-            F.coalesce("session_id", "trace_id").alias("session_id"),
-            user_label().alias("user_id"),
-            project_label().alias("project_name"),
-            "start_time",
-            "trace_id",
-            "input_tokens",
-            "output_tokens",
-            "total_tokens",
-            "total_cost",
-        )
-        .groupBy("session_id", "user_id", "project_name")
+        rows.groupBy("session_id", "user_id", "project_name")
         .agg(
             F.min("start_time").alias("first_seen"),
             F.max("start_time").alias("last_seen"),

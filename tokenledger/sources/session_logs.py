@@ -38,9 +38,6 @@ def read_session_events(
     only logs written to after that time: a log depends on no other log, so the
     ones left out would yield the same rows again.
     """
-    path = F.col("_metadata.file_path")
-    folder = r"(?:[A-Za-z_]+=)?([^/]+)"
-    event = F.from_json("value", SESSION_EVENT)
     reader = pin_utc(spark).read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
     if changed_since is not None:
         reader = reader.option("modifiedAfter", utc(changed_since).strftime("%Y-%m-%dT%H:%M:%S"))

@@ -22,7 +22,7 @@ from tokenledger.plans.marts import mrt_daily_usage, mrt_hourly_usage
 from tokenledger.reference_data import default_model_prices
 from tokenledger.schemas import DIM_USER, FACT_OBSERVATION, FACT_SCORE, MONEY
 from tokenledger.session import scratch_dir
-from tokenledger.sources.governance import accepted
+from tokenledger.sources.governance import accepted, read_governance_documents
 from tokenledger.sources.landing import (
     lookback,
     in_window,
@@ -345,18 +345,7 @@ def ingest_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tokenledger.schemas import GOVERNANCE_DOCUMENT
-
-    # The derived files are Spark text parts, so they are read without the *.json filter.
-    root = land_governance(spark, sf_dir)
-    documents = (
-        spark.read.schema(GOVERNANCE_DOCUMENT)
-        .option("multiLine", True)
-        .option("mode", "FAILFAST")
-        .json(f"{root}/*/")
-        .select("*", F.col("_metadata.file_path").alias("file"))
-    )
-    return accepted(documents)
+    return accepted(read_governance_documents(spark, f"{land_governance(spark, sf_dir)}/*/"))
 
 
 # -- store -----------------------------------------------------------------------------

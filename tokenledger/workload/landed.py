@@ -222,20 +222,19 @@ def land_governance(spark: SparkSession, sf_dir: str) -> str:
     documents = suppliers.groupBy("doc").agg(
         F.collect_list(policy).alias("policies"), F.collect_list(divergence).alias("divergence")
     )
-    line = F.to_json(
-        F.struct(
-            F.expr("CASE WHEN doc % 7 = 6 THEN 2 ELSE 1 END").alias("version"),
-            F.expr("named_struct('id', CASE WHEN doc % 4 <> 3 THEN concat('prj-', doc) END)").alias("project"),
-            F.expr("concat('2024-01-', lpad(CAST(doc % 28 + 1 AS STRING), 2, '0'), 'T12:00:00.000Z')").alias("exportedAt"),
-            F.expr(
-                "named_struct('ttrpMs', CASE WHEN doc % 5 <> 0 THEN doc * 1000 END, "
-                "'precision14', named_struct('numerator', doc % 3, 'denominator', 3, 'ratio', doc % 3 / 4.0D), "
-                "'proposals', named_struct('total', doc + 4, 'pending', doc, 'ratified', 2, 'rejected', 1, 'decayed', 1))"
-            ).alias("metrics"),
-            "policies",
-            "divergence",
-        )
+    rows = documents.select(
+        "doc",
+        F.expr("CASE WHEN doc % 7 = 6 THEN 2 ELSE 1 END").alias("version"),
+        F.expr("named_struct('id', CASE WHEN doc % 4 <> 3 THEN concat('prj-', doc) END)").alias("project"),
+        F.expr("concat('2024-01-', lpad(CAST(doc % 28 + 1 AS STRING), 2, '0'), 'T12:00:00.000Z')").alias("exportedAt"),
+        F.expr(
+            "named_struct('ttrpMs', CASE WHEN doc % 5 <> 0 THEN doc * 1000 END, "
+            "'precision14', named_struct('numerator', doc % 3, 'denominator', 3, 'ratio', doc % 3 / 4.0D), "
+            "'proposals', named_struct('total', doc + 4, 'pending', doc, 'ratified', 2, 'rejected', 1, 'decayed', 1))"
+        ).alias("metrics"),
+        "policies",
+        "divergence",
     )
     root = scratch_dir(spark, "governance")
-    documents.select("doc", line.alias("value")).write.partitionBy("doc").text(root)
+    rows.write.partitionBy("doc").json(root)
     return root
