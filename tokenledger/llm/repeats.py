@@ -40,8 +40,9 @@ ANCHOR = 32
 DIGIT = 40
 #: Windows of a text that are looked at at a time.
 CHUNK = 1 << 17
-#: Kinds of runs of one anchor that are sorted in one task; anchors with more are counted window by window.
-KINDS = 1000
+#: Kinds of runs of one anchor that are sorted in one task, six megabytes of text at most; anchors with more are counted
+#: window by window.
+KINDS = 8192
 
 MULTIPLIER = 0xD6E8FEB86659FD93
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
@@ -49,22 +50,29 @@ KEY = ["__id", "__mark"]
 
 
 class Hashes:
-    """64-bit hashes of any stretch of some bytes, from prefix sums."""
+    """64-bit hashes of any stretch of some bytes, from prefix sums.
+
+    With `place`, the place of each byte in its own text (and one more entry), many texts share small tables of powers.
+    """
 
     _up = _down = np.ones(1, np.uint64)
 
-    def __init__(self, raw: np.ndarray) -> None:
-        n = len(raw) + 1
-        if n > len(Hashes._up):
-            Hashes._up, Hashes._down = _powers(MULTIPLIER, 2 * n), _powers(INVERSE, 2 * n)
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * Hashes._up[: n - 1], out=self.sums[1:])
+    def __init__(self, raw: np.ndarray, place: np.ndarray | None = None) -> None:
+        top = len(raw) + 1 if place is None else int(place.max()) + 1
+        if top > len(Hashes._up):
+            Hashes._up, Hashes._down = _powers(MULTIPLIER, 2 * top), _powers(INVERSE, 2 * top)
+        self.place = place
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        terms = raw.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= Hashes._up[: len(raw)] if place is None else Hashes._up[place[:-1]]
+        np.cumsum(terms, out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * Hashes._down[start])
+        return mixed((self.sums[end] - self.sums[start]) * Hashes._down[start if self.place is None else self.place[start]])
 
     def all(self, n: int) -> np.ndarray:
-        """Of every stretch of n bytes."""
+        """Of every stretch of n bytes of one text."""
         return mixed((self.sums[n:] - self.sums[:-n]) * Hashes._down[: len(self.sums) - n])
 
 
@@ -107,20 +115,21 @@ def repeated_windows(kinds: list[bytes], length: int = LENGTH) -> list[np.ndarra
     """For each run of windows the places of those that occur again, in it or another run; digit by digit."""
     size = np.array([len(k) for k in kinds])
     base = np.cumsum(size) - size
-    hashes = Hashes(np.frombuffer(b"".join(kinds), np.uint8))
+    place = np.arange(size.sum() + 1, dtype=np.int32) - np.append(np.repeat(base, size), size.sum()).astype(np.int32)
+    hashes = Hashes(np.frombuffer(b"".join(kinds), np.uint8), place)
     n = size - length + 1
-    owner = np.repeat(np.arange(len(kinds)), n)
-    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + base[owner]
-    group = np.zeros(len(start), np.int64)
+    owner = np.repeat(np.arange(len(kinds), dtype=np.int32), n)
+    start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - base, n)).astype(np.int32)
+    group = np.zeros(len(start), np.int32)
     for depth in range(0, length, DIGIT):
-        digit = hashes(start + depth, start + min(length, depth + DIGIT))
-        group, _ = pd.factorize(mixed(digit + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        digit = hashes(start + np.int32(depth), start + np.int32(min(length, depth + DIGIT)))
+        group = pd.factorize(mixed(digit + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))[0].astype(np.int32)
         keep = np.bincount(group, minlength=1)[group] > 1
         owner, start, group = owner[keep], start[keep], group[keep]
         if not len(start):
             break
     bounds = np.searchsorted(owner, np.arange(len(kinds) + 1))
-    return [start[a:b] - base[i] for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
+    return [start[a:b].astype(np.int64) - base[i] for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
 
 
 def stretches(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +242,8 @@ def _counted_windows(contents: DataFrame, length: int) -> DataFrame:
 def _spans(texts: DataFrame, length: int, kinds_in_task: int) -> DataFrame:
     """The key and a list of repeated stretches (they may overlap) of the rows that have any."""
     anchors = written(_anchors(texts, length), "anchors")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high")).where("n > 1")
+    often = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"))
+    often = written(often.where("n > 1"), "often")  # as a table, so that the join below can be split at a hot anchor
     met = written(anchors.join(often.selectExpr("anchor", "low <> high AS mixed"), "anchor"), "met")
     span = [*KEY, F.col("first").alias("start"), (F.col("last") + length).alias("end")]
     mixed_ = met.where("mixed")
@@ -243,7 +253,7 @@ def _spans(texts: DataFrame, length: int, kinds_in_task: int) -> DataFrame:
     found = found.union(mixed_.join(kinds.where("n > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi").select(*span))
     sample = kinds.select("one.*", "anchor", (F.col("n") == 1).alias("alone"))
     contents = written(_kind_bytes(texts, sample, length), "runs")
-    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("n"))
+    sizes = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")), "sizes")
     few = contents.join(sizes.where(F.col("n") <= kinds_in_task).select("anchor"), "anchor", "left_semi")
     groups = few.groupBy("anchor").agg(F.collect_list(F.struct(*KEY, "first", "alone", "bytes")).alias("runs"))
     found = found.union(_sorted_groups(groups, length))
