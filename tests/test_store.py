@@ -297,6 +297,20 @@ def test_sync_from_landing(spark, tmp_path, store):
     assert set(stored(store)) == {"a"} and store.read(FACT_SCORE).count() == 1
 
 
+def test_old_files_are_not_opened(spark, tmp_path):
+    import os
+
+    from tokenledger.sources.landing import lookback, read_observations
+
+    land(tmp_path / "in", [raw("a")], "new.json")
+    land(tmp_path / "in", [raw("b", "2023-01-01T00:00:00Z")], "old.json")
+    os.utime(tmp_path / "in" / "old.json", (1672531200, 1672531200))
+    scanned = read_observations(spark, str(tmp_path / "in"), lookback(AS_OF))
+    assert [f.rsplit("/", 1)[1] for f in scanned.inputFiles()] == ["new.json"]
+    assert [r["id"] for r in scanned.collect()] == ["a"]
+    assert len(read_observations(spark, str(tmp_path / "in")).inputFiles()) == 2
+
+
 def test_sync_from_trace_store(spark, tmp_path, store):
     land(tmp_path / "observations", [{"id": "a", "trace_id": "t", "start_time": "2024-01-10 10:00:00"}])
     land(tmp_path / "scores", [{"id": "s", "trace_id": "t", "value": 1, "timestamp": "2024-01-10 10:00:00"}])

@@ -8,7 +8,7 @@ keeps the raw field names, adds ``project`` (NULL without such folders) and
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,10 @@ from tokenledger.schemas import (
 )
 from tokenledger.session import pin_utc
 
+# Fixed value: the window that syncs re-read by default.
 LOOKBACK_DAYS = 30
+#: How far the clocks of the writers of files and of events may lie apart.
+CLOCK_SLACK = timedelta(days=1)
 
 
 def file_position() -> Column:
@@ -47,8 +50,18 @@ def with_project_folder(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("project", T.StringType())])
 
 
-def _scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _scan(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    window: tuple[datetime, datetime] | None = None,
+) -> DataFrame:
+    """Rows of landed files. With a window, files last written to before it are not
+    opened: an event cannot be in a file that is older than the event."""
     reader: DataFrameReader = pin_utc(spark).read
+    if window is not None:
+        oldest = window[0] - CLOCK_SLACK
+        reader = reader.option("modifiedAfter", oldest.strftime("%Y-%m-%dT%H:%M:%S"))
     rows = reader.schema(with_project_folder(schema)).json(path)
     return rows.select("*", arrival_order(file_position()).alias("_seq"))
 
@@ -72,7 +85,7 @@ def read_observations(
     spark: SparkSession, path: str, window: tuple[datetime, datetime] | None = None
 ) -> DataFrame:
     """Landed observations. There is no row limit and no paging."""
-    rows = _scan(spark, path, RAW_OBSERVATION)
+    rows = _scan(spark, path, RAW_OBSERVATION, window)
     return in_window(rows, iso_timestamp(F.col("startTime")), window)
 
 
@@ -80,7 +93,7 @@ def read_scores(
     spark: SparkSession, path: str, window: tuple[datetime, datetime] | None = None
 ) -> DataFrame:
     """Landed scores, flat or with a nested subject."""
-    return in_window(_scan(spark, path, RAW_SCORE), iso_timestamp(F.col("timestamp")), window)
+    return in_window(_scan(spark, path, RAW_SCORE, window), iso_timestamp(F.col("timestamp")), window)
 
 
 def read_traces(
@@ -89,7 +102,7 @@ def read_traces(
     """Landed traces. The window is on the trace's own time, so give it a wider
     one than observations get: an older trace cannot enrich a newer observation
     it was not read with."""
-    return in_window(_scan(spark, path, RAW_TRACE), iso_timestamp(F.col("timestamp")), window)
+    return in_window(_scan(spark, path, RAW_TRACE, window), iso_timestamp(F.col("timestamp")), window)
 
 
 def _renamed(rows: DataFrame, schema: T.StructType, columns: Mapping[str, Column]) -> DataFrame:
@@ -104,7 +117,7 @@ def read_store_observations(
 
     User, session and tags live on the trace there and come from enrichment.
     """
-    rows = _scan(spark, path, RAW_STORE_OBSERVATION)
+    rows = _scan(spark, path, RAW_STORE_OBSERVATION, window)
     return store_observations(in_window(rows, iso_timestamp(F.col("start_time")), window))
 
 
@@ -140,7 +153,7 @@ def read_store_scores(
 ) -> DataFrame:
     """Score rows exported from a trace store, in the raw score shape."""
     rows = in_window(
-        _scan(spark, path, RAW_STORE_SCORE), iso_timestamp(F.col("timestamp")), window
+        _scan(spark, path, RAW_STORE_SCORE, window), iso_timestamp(F.col("timestamp")), window
     )
     columns = {
         "id": F.col("id"),
@@ -158,7 +171,7 @@ def read_store_traces(
 ) -> DataFrame:
     """Trace rows exported from a trace store, in the raw trace shape."""
     rows = in_window(
-        _scan(spark, path, RAW_STORE_TRACE), iso_timestamp(F.col("timestamp")), window
+        _scan(spark, path, RAW_STORE_TRACE, window), iso_timestamp(F.col("timestamp")), window
     )
     columns = {
         "userId": F.col("user_id"),
