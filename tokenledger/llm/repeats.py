@@ -191,7 +191,7 @@ def _kind_bytes(texts: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
             columns = [batch.column(n).take(owner) for n in KEY] + [inner.field(n) for n in ("first", "anchor", "alone")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], names=names)
 
-    joined = packed(texts).join(wanted, KEY)
+    joined = packed(texts).join(wanted.hint("merge"), KEY)
     return joined.mapInArrow(fetch, "__id long, __mark long, first long, anchor long, alone boolean, bytes binary")
 
 
@@ -235,7 +235,7 @@ def _counted_windows(contents: DataFrame, length: int) -> DataFrame:
 
     rows = written(contents.mapInArrow(spread, "__id long, __mark long, anchor long, window long, start long, alone boolean"), "windows")
     again = rows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    found = rows.where("alone").join(again, ["anchor", "window"], "left_semi")
+    found = rows.where("alone").join(again.hint("merge"), ["anchor", "window"], "left_semi")
     return found.select(*KEY, "start", (F.col("start") + length).alias("end"))
 
 
@@ -244,22 +244,22 @@ def _spans(texts: DataFrame, length: int, kinds_in_task: int) -> DataFrame:
     anchors = written(_anchors(texts, length), "anchors")
     often = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"))
     often = written(often.where("n > 1"), "often")  # as a table, so that the join below can be split at a hot anchor
-    met = written(anchors.join(often.selectExpr("anchor", "low <> high AS mixed"), "anchor"), "met")
+    met = written(anchors.join(often.selectExpr("anchor", "low <> high AS mixed").hint("merge"), "anchor"), "met")
     span = [*KEY, F.col("first").alias("start"), (F.col("last") + length).alias("end")]
     mixed_ = met.where("mixed")
     one = F.min(F.struct(*KEY, "first", "last")).alias("one")
     kinds = written(mixed_.groupBy("anchor", "kind").agg(F.count("*").alias("n"), one), "kinds")
     found = met.where("not mixed").select(*span)
-    found = found.union(mixed_.join(kinds.where("n > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi").select(*span))
+    found = found.union(mixed_.join(kinds.where("n > 1").select("anchor", "kind").hint("merge"), ["anchor", "kind"], "left_semi").select(*span))
     sample = kinds.select("one.*", "anchor", (F.col("n") == 1).alias("alone"))
     contents = written(_kind_bytes(texts, sample, length), "runs")
     sizes = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")), "sizes")
-    few = contents.join(sizes.where(F.col("n") <= kinds_in_task).select("anchor"), "anchor", "left_semi")
+    few = contents.join(sizes.where(F.col("n") <= kinds_in_task).select("anchor").hint("merge"), "anchor", "left_semi")
     groups = few.groupBy("anchor").agg(F.collect_list(F.struct(*KEY, "first", "alone", "bytes")).alias("runs"))
     found = found.union(_sorted_groups(groups, length))
     many = sizes.where(F.col("n") > kinds_in_task).select("anchor")
     if not many.isEmpty():
-        found = found.union(_counted_windows(contents.join(many, "anchor", "left_semi"), length))
+        found = found.union(_counted_windows(contents.join(many.hint("merge"), "anchor", "left_semi"), length))
     return found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
 
 
@@ -275,7 +275,7 @@ def with_repeats(docs: DataFrame, length: int = LENGTH, kinds_in_task: int = KIN
     spans = _spans(texts, length, kinds_in_task)
     rest = [F.col(c) for c in docs.columns if c != "text"]
     small = packed(docs.select(*key, F.col("text").cast("string").alias("text"), *rest))
-    return small.join(spans, KEY, "left").drop(*KEY)
+    return small.join(spans.hint("merge"), KEY, "left").drop(*KEY)
 
 
 def cut(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
