@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = simhash.near_duplicates(docs, shingle=simhash.SHINGLE, max_bits=simhash.MAX_BITS)
     kept = common.written(groups.where("doc_id <=> component_id").select("doc_id"), "kept")
     same = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    found = docs.join(kept.distinct(), same, "left_semi")
+    found = docs.join(kept.distinct().hint("merge"), same, "left_semi")
     if kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return found
     first = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])

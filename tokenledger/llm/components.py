@@ -2,8 +2,9 @@
 
 Every step keeps the links a node has to the smallest node it knows, so a component becomes a star around its smallest
 node after a number of steps that is logarithmic in practice. Each step is two aggregations and joins; its result is a
-written table, which survives lost executors and cuts the lineage. A node with very many links is a skewed join key whose
-other side is one row, which adaptive execution splits.
+written table, which survives lost executors and cuts the lineage. The joins are sort-merge joins by a hint: both sides
+grow with the input, and the size of a compressed table would understate what a broadcast of it takes. A node with very
+many links is a skewed join key whose other side is one row, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Each larger neighbour of a node gets a link to the node's smallest neighbour."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours get links to the smallest of them. Links go from larger (a) to smaller (b)."""
     least = links.groupBy("a").agg(F.min("b").alias("m"))
-    neighbours = links.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    neighbours = links.join(least.hint("merge"), "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return neighbours.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 

@@ -165,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, separator: int = SEP
     tasks = written(tasks.select("length", "task", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "ranks")
     runs = plan({r["length"]: r["n"] for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size)
     spread = docs.sparkSession.sparkContext.broadcast(runs)
-    ranked = cut.join(tasks.select("length", "task", "base"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("rank_in_task"))
+    ranked = cut.join(tasks.select("length", "task", "base").hint("merge"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("rank_in_task"))
     kept = ranked.drop("task", "rank_in_task", "base")
     out = T.StructType([f for f in kept.schema if f.name != "rank"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 

@@ -160,7 +160,7 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, boxes: int = BOXES, g
         keys = written(keys, "keys")
         by = ["start", "mask", "key"]
         sizes = keys.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
-        kept = keys.join(sizes.where(F.col("n") <= group), by).groupBy(*by).agg(F.collect_list("fingerprint").alias("members"))
+        kept = keys.join(sizes.where(F.col("n") <= group).hint("merge"), by).groupBy(*by).agg(F.collect_list("fingerprint").alias("members"))
         links = _links(kept, boxes, max_bits)
         out = links if out is None else out.union(links)
         large = written(sizes.where(F.col("n") > group), "large-keys")
@@ -169,7 +169,7 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, boxes: int = BOXES, g
         masks = [(s, m, longer) for s, m in masks for longer in longer_masks(m, max_bits)]
         steps = spark.createDataFrame([(s, _signed(m), _signed(x)) for s, m, x in masks], "start int, mask long, longer long")
         masks = sorted({(s, x) for s, _, x in masks})
-        again = keys.join(large.select(*by), by, "left_semi").join(F.broadcast(steps), ["start", "mask"])
+        again = keys.join(large.select(*by).hint("merge"), by, "left_semi").join(F.broadcast(steps), ["start", "mask"])
         keys = again.select("fingerprint", "start", F.col("longer").alias("mask")).distinct().selectExpr("*", "fingerprint & mask AS key")
 
 
@@ -183,12 +183,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     marks = written(fingerprints(docs, shingle), "fingerprints")
     nodes = written(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(near_links(nodes.select("fingerprint"), max_bits, boxes))
-    rooted = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left")
+    rooted = nodes.join(roots.hint("merge"), F.col("fingerprint") == F.col("node"), "left")
     rooted = rooted.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = rooted.join(named, "root").select("fingerprint", "component_id")
+    members = rooted.join(named.hint("merge"), "root").select("fingerprint", "component_id")
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
-    return marks.join(members, "fingerprint").select("doc_id", hexed, "component_id")
+    return marks.join(members.hint("merge"), "fingerprint").select("doc_id", hexed, "component_id")
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
