@@ -78,7 +78,7 @@ def fit(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarra
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
     good = target.where("doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
-    own = packed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).join(good, "doc_id", "left")
+    own = packed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).join(good.hint("merge"), "doc_id", "left")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
@@ -125,7 +125,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float, buckets: int = BU
 
     Repeated rows are rows of their own; ties are ordered by doc_id and then freely. An empty table gives an empty one.
     """
-    marked = weigh(docs, fit(docs, target, buckets), seed)
+    marked = written(weigh(docs, fit(docs, target, buckets), seed), "marks")
     order = [F.col("noisy_weight").desc(), F.col("doc_id")]
     dealt = written(marked.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "weights")
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
