@@ -3,14 +3,14 @@
 Every stage but the last returns the columns of the documents that it keeps: language identification drops what it
 rejects and fills in a missing lang, near-duplicate removal keeps the document of each group with the smallest doc_id,
 passages that stand more than once are cut out of the texts (n_chars follows), documents that hold a benchmark item are
-dropped, and the rest is packed into sequences of tokens. A null doc_id counts as one document. An empty table passes
-through all stages.
+dropped, and the rest is packed into sequences of tokens. Every row is a document, also where its doc_id is null or another
+row has it too. An empty table passes through all stages.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.llm import common, decontamination, language_id, packing, repeats, simhash
@@ -27,16 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with one doc_id are versions of one document, of which one stays."""
+    """Rows are documents of their own, whatever their doc_id: each group keeps exactly one of its rows."""
     common.bound_batches(spark)
-    groups = simhash.near_duplicates(docs, shingle=simhash.SHINGLE, max_bits=simhash.MAX_BITS)
-    kept = common.written(groups.where("doc_id <=> component_id").select("doc_id"), "kept")
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    found = docs.join(kept.distinct().hint("merge"), same, "left_semi")
-    if kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return found
-    first = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    return found.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return simhash.one_of_each(docs, shingle=simhash.SHINGLE, max_bits=simhash.MAX_BITS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,3 +94,24 @@ def test_rows_with_other_columns(spark):
     frame = docs(spark, ODD).selectExpr("*", "2 AS length", "3 AS fingerprint", "4 AS component_id", "5 AS spans")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, frame, SMALL).columns == frame.columns
+
+
+FIRST, SECOND = "one two three four five six " * 20, "red green blue white black grey " * 20
+NEAR = FIRST.upper()
+UNLIKE = [" ".join(f"{w}{i}" for w in "abcdefgh") for i in range(6)]
+
+
+@pytest.mark.parametrize(
+    "given, want",
+    [
+        ([(None, t) for t in UNLIKE], [(None, t) for t in UNLIKE]),
+        ([(5, FIRST), (5, SECOND)], [(5, FIRST), (5, SECOND)]),
+        ([(5, FIRST), (5, SECOND), (3, NEAR)], [(3, NEAR), (5, SECOND)]),
+        ([(None, FIRST), (9, NEAR)], [(9, NEAR)]),
+        ([(None, FIRST)] * 3 + [(4, SECOND)] * 2, [(None, FIRST), (4, SECOND)]),
+    ],
+    ids=["null", "repeated", "repeated-near", "null-last", "equal"],
+)
+def test_each_group_keeps_one_row(spark, given, want):
+    got = STAGES["SimHash near-dedup"](spark, docs(spark, given), SMALL).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,18 +56,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (a long) of every document; a null text counts as an empty one, which has fingerprint zero."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fingerprint", T.LongType())])
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` and fingerprint (a long) of every document; a null text counts as an empty one, which has fingerprint
+    zero."""
+    own = docs.select(F.col("text").cast("string"), *keep)
+    schema = T.StructType(own.schema.fields[1:] + [T.StructField("fingerprint", T.LongType())])
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = strings(batch.column(1))
+            data, bounds = strings(batch.column(0))
             found = [fingerprint(data[a:b].tobytes(), shingle) for a, b in zip(bounds, bounds[1:])]
             marks = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), marks], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], marks], names=schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(mark, schema)
+    return own.mapInArrow(mark, schema)
 
 
 def box_masks(boxes: int) -> list[int]:
@@ -173,6 +175,14 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, boxes: int = BOXES, g
         keys = again.select("fingerprint", "start", F.col("longer").alias("mask")).distinct().selectExpr("*", "fingerprint & mask AS key")
 
 
+def _rooted(marks: DataFrame, least: Column, max_bits: int, boxes: int) -> DataFrame:
+    """Every fingerprint in `marks`, the aggregate `least` of its rows and the root of its component."""
+    nodes = written(marks.groupBy("fingerprint").agg(least.alias("least")), "nodes")
+    roots = components(near_links(nodes.select("fingerprint"), max_bits, boxes))
+    rooted = nodes.join(roots.hint("merge"), F.col("fingerprint") == F.col("node"), "left")
+    return rooted.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, boxes: int = BOXES) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document.
 
@@ -181,15 +191,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     are documents of their own. An empty table gives an empty one.
     """
     marks = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = written(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(near_links(nodes.select("fingerprint"), max_bits, boxes))
-    rooted = nodes.join(roots.hint("merge"), F.col("fingerprint") == F.col("node"), "left")
-    rooted = rooted.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = _rooted(marks, F.min("doc_id"), max_bits, boxes)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     members = rooted.join(named.hint("merge"), "root").select("fingerprint", "component_id")
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
     return marks.join(members.hint("merge"), "fingerprint").select("doc_id", hexed, "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, boxes: int = BOXES) -> DataFrame:
+    """One row of docs, with all its columns, for every component of `near_duplicates`: that with the smallest doc_id.
+
+    A null doc_id comes last, and of rows with one doc_id the one with the smallest hash of its columns stays. Rows are
+    numbered in a table of their own, so neither null nor repeated doc_ids, nor equal rows, are mixed up.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    order = rows.withColumns({"__null": F.col("doc_id").isNull(), "__tie": F.xxhash64(*docs.columns)})
+    first = ("__null", "doc_id", "__tie", "__row")
+    marks = written(fingerprints(order, shingle, first), "fingerprints")
+    rooted = _rooted(marks, F.min(F.struct(*first)), max_bits, boxes)
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.__row")
+    return rows.join(kept.hint("merge"), "__row", "left_semi").select(docs.columns)
+
+
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
