@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -106,6 +107,20 @@ def test_likeness():
     assert likeness(fingerprint("ab"), fingerprint("ab")) == 1 and likeness(fingerprint("ab"), fingerprint("ba")) == 0
 
 
+def test_short_texts_have_an_anchor():
+    rng = random.Random(5)
+    words = "".join(rng.choice("abcdefghijklm nopqrstuvw") for _ in range(4000))
+    for n in range(1, 60):
+        own = [fingerprint(words[at : at + n]) for at in range(0, 3000, 61)]
+        assert all(len(hashes) for hashes, _ in own)
+    for n in range(24, 40):
+        parts = [words[at : at + n] for at in range(0, 3000, 61)]
+        for a, b in zip(parts, parts[1:]):
+            assert likeness(fingerprint(a), fingerprint(b)) < 1 or a == b
+            assert likeness(fingerprint(a), fingerprint(a[: n - n // 2] + b[: n // 2])) < 1
+            assert likeness(fingerprint(a), fingerprint("")) == 0
+
+
 def slow_neighbours(rows):
     tie = lambda t: int(np.array(xxhash.xxh64_intdigest(t.encode(), 42), np.uint64).view(np.int64))
     rows = sorted(((d is not None, d or 0, t or "") for d, t in rows), key=lambda r: (*r[:2], tie(r[2])))

@@ -69,7 +69,8 @@ def _window_min(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(text: str, k: int = K, s: int = S) -> Iterator[Fingerprint]:
-    """(hashes, places) of the closed syncmers of a text, part by part; a text shorter than k is its own anchor."""
+    """(hashes, places) of the closed syncmers of a text, part by part. A text shorter than k is its own anchor, and the k-mer
+    of least hash is that of a longer one without a closed syncmer; from 2 k - s code points on there always is one."""
     codes = _codes(text)
     if 0 < len(codes) < k:
         yield gram_hashes(codes, len(codes)) >> np.uint64(32), np.zeros(1, np.int64)
@@ -78,7 +79,10 @@ def anchors(text: str, k: int = K, s: int = S) -> Iterator[Fingerprint]:
         inner = gram_hashes(part, s)
         least = _window_min(inner, k - s + 1)
         place = np.flatnonzero((inner[: len(least)] == least) | (inner[k - s :] == least))
-        yield gram_hashes(part, k)[place] >> np.uint64(32), place + at
+        grams = gram_hashes(part, k)
+        if not len(place) and len(codes) < 2 * k - s:
+            place = np.array([grams.argmin()])
+        yield grams[place] >> np.uint64(32), place + at
 
 
 def fingerprint(text: str, size: int = SIZE, k: int = K, s: int = S) -> Fingerprint:
