@@ -50,6 +50,26 @@ def test_awkward_texts(spark):
     assert docs(spark, [(None, "x")]).select(held_out().alias("h")).first().h is False
 
 
+def test_long_foreign_texts_are_rejected(spark):
+    dutch = "De kat zat op de mat en keek naar buiten terwijl het regende. Wij gaan morgen met de trein naar Amsterdam om onze "
+    dutch += "vrienden te bezoeken en samen te eten in een klein restaurant aan de gracht, want daar is het altijd gezellig. "
+    swedish = "Katten satt på mattan och tittade ut medan det regnade. I morgon åker vi tåg till Stockholm för att besöka våra "
+    swedish += "vänner och äta tillsammans på en liten restaurang vid vattnet, där det alltid finns god mat och trevliga människor. "
+    rng = np.random.default_rng(3)
+    letters = lambda signs, n: "".join(rng.choice(list(signs), n))
+    random = [letters("abcdefghijklmnopqrstuvwxyz    ", n) for n in (300, 2000, 20_000)]
+    coded = [letters("0123456789abcdef", 20_000), letters("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 5000)]
+    foreign = [dutch, dutch * 5, swedish, swedish * 5, *random, *coded]
+    short = ["A.", "The thing.", "De la", "Und die der", "Que los"]
+    learned = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    # A very short text in the sample sets no bound for long ones.
+    model = fit(learned.unionByName(docs(spark, [(10**9 + i, "A.", k) for i in range(3) for k in ("en", "de", "fr", "es")])))
+    frame = docs(spark, list(enumerate(foreign + short)))
+    got = [r.rejected for r in predict(frame, model, ["doc_id"]).orderBy("doc_id").collect()]
+    assert got == [True] * len(foreign) + [False] * len(short)
+    assert not predict(learned, model, ["doc_id"]).where("rejected").count()
+
+
 def test_long_texts_count_whole(monkeypatch):
     text = ("Wörter und mehr " * 300).encode()
     data, bounds = np.frombuffer(text, np.uint8), np.array([0, len(text)])

@@ -3,8 +3,10 @@
 A text is a vector of hashed 2- and 3-grams of its lower-cased bytes (everything in ASCII that is no letter is a space):
 1 + log of the count, times the inverse document frequency, at length one. The vectors of each language's sample are
 clustered by spherical k-means, so a language has a few centroids, and a text gets the language of the centroid with the
-greatest cosine. A text is rejected if that cosine is under a quarter of the least that a sampled training text of the
-language has: short texts lie far from any centroid, and only what is much farther is another language or none.
+greatest cosine. A text is rejected if that cosine is under a bound that grows with the number of its different n-grams.
+Short texts lie far from any centroid, so of few n-grams only what has less than a quarter of the least cosine in the
+language's sample is another language or none. Of more n-grams it is what has less than 0.6 of nearly all sampled texts
+of as many; too few such texts give no bound of their own, and that of the next shorter ones holds.
 
 Document frequencies come from all training rows, summed over tasks. The centroids come from a bounded sample of at most
 about `sample` rows a language, chosen by a hash of the doc_id; that sample is all that goes to the driver.
@@ -27,8 +29,14 @@ from tokenledger.llm.common import bound_batches, strings, table
 BUCKETS = 4096
 CLUSTERS = 4
 SAMPLE = 300
-#: A cosine under this part of the least in the sample is too far.
+#: A short text's cosine under this part of the least in the sample is too far.
 REJECTED = 0.25
+#: Different n-grams from which on a text is longer than short, and from which on the next longer classes begin.
+LONGER = (128, 256, 512, 1024)
+#: A longer text's cosine under this part of the quantile of the sampled texts of its class is too far.
+FAR, QUANTILE = 0.6, 0.01
+#: Least number of sampled texts of a class, of the language or else of all, that give a bound.
+ENOUGH = 20
 #: Bytes of text that become n-grams at a time, and rows at a time.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 256
 UNKNOWN = "und"
@@ -41,7 +49,7 @@ LETTERS = re.compile(rb"[A-Za-z]")
 class Model:
     idf: np.ndarray
     centroids: np.ndarray
-    #: The language of each centroid, and the least cosine that it accepts.
+    #: The language of each centroid, and the least cosine that it accepts of short texts and those of each longer class.
     languages: list[str]
     least: np.ndarray
 
@@ -109,6 +117,20 @@ def clustered(vectors: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarra
     return centroids
 
 
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """0 for short texts, then the place in LONGER."""
+    return np.digitize((counts > 0).sum(axis=1), LONGER)
+
+
+def bounds_by_class(likeness: np.ndarray, classes: np.ndarray, every: tuple[np.ndarray, np.ndarray]) -> list[float]:
+    """The least cosine accepted in each class, from the cosines and classes of a language's sample and those of all."""
+    out = [REJECTED * float(likeness.min(initial=1))]
+    for k in range(1, len(LONGER) + 1):
+        own = next((x for x in (likeness[classes == k], every[0][every[1] == k]) if len(x) >= ENOUGH), None)
+        out.append(out[-1] if own is None else max(out[-1], FAR * float(np.quantile(own, QUANTILE))))
+    return out
+
+
 def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data, bounds = strings(batch.column(column))
     for at in range(0, len(bounds) - 1, BLOCK_ROWS):
@@ -123,7 +145,7 @@ def fit(training: DataFrame, buckets: int = BUCKETS, clusters: int = CLUSTERS, s
     rows = training.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model(np.ones(buckets, np.float32), np.zeros((0, buckets), np.float32), [], np.zeros(0))
+        return Model(np.ones(buckets, np.float32), np.zeros((0, buckets), np.float32), [], np.zeros((0, len(LONGER) + 1)))
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
@@ -153,18 +175,19 @@ def fit(training: DataFrame, buckets: int = BUCKETS, clusters: int = CLUSTERS, s
         pairs = np.frombuffer(r["counts"], "<u4").reshape(-1, 2)
         counts[pairs[:, 0]] = pairs[:, 1]
         vectors.setdefault(r["lang"], []).append(counts)
-    centroids, languages, least = [], [], []
+    centroids, languages, found = [], [], []
     for lang in sorted(vectors):
-        own = weighted(np.array(vectors[lang]), idf)
-        own = own[np.lexsort(own[:, :8].T)]
+        counts = np.array(vectors.pop(lang))
+        own = weighted(counts, idf)
+        own = own[order := np.lexsort(own[:, :8].T)]
         middle = clustered(own, clusters)
-        likeness = own @ middle.T
-        nearest, likeness = likeness.argmax(axis=1), likeness.max(axis=1)
-        worst = [likeness[nearest == k].min(initial=1) for k in range(len(middle))]
         centroids.append(middle)
         languages += [lang] * len(middle)
-        least += [REJECTED * min(worst)] * len(middle)
-    return Model(idf, np.vstack(centroids) if centroids else np.zeros((0, buckets), np.float32), languages, np.array(least))
+        found.append(((own @ middle.T).max(axis=1), length_class(counts)[order], len(middle)))
+    every = tuple(np.concatenate([x[i] for x in found]) if found else np.zeros(0) for i in (0, 1))
+    least = [bounds_by_class(likeness, classes, every) for likeness, classes, n in found for _ in range(n)]
+    middle = np.vstack(centroids) if centroids else np.zeros((0, buckets), np.float32)
+    return Model(idf, middle, languages, np.array(least).reshape(-1, len(LONGER) + 1))
 
 
 NAMES = ("lang_pred", "score", "rejected")
@@ -193,14 +216,15 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
                     n = len(bounds) - 1
                     langs, scores, rejected = langs + [UNKNOWN] * n, scores + [0.0] * n, rejected + [True] * n
                     continue
-                likeness = weighted(count_vectors(data, bounds, len(model.idf)), model.idf) @ model.centroids.T
+                counts = count_vectors(data, bounds, len(model.idf))
+                likeness, classes = weighted(counts, model.idf) @ model.centroids.T, length_class(counts)
                 best = likeness.argmax(axis=1)
                 for row, (k, a, b) in enumerate(zip(best.tolist(), bounds[:-1].tolist(), bounds[1:].tolist())):
                     known = has_letters(data[a:b].tobytes())
                     score = min(1.0, max(0.0, float(likeness[row, k]))) if known else 0.0
                     langs.append(model.languages[k] if known else UNKNOWN)
                     scores.append(score)
-                    rejected.append(not known or score < model.least[k])
+                    rejected.append(not known or score < model.least[k, classes[row]])
             marks = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             columns = [batch.column(f.name) for f in out] + marks
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
