@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tokenledger.llm import common, decontamination, language_id, packing, repeats, simhash
 
-#: Bytes of a passage that may not stand twice: fifty words of the shortest kind in the documents' languages.
+#: Bytes of a passage that may not stand twice, and words of one that may not, even in fewer bytes: more than fifty.
 REPEATED_BYTES = 250
+REPEATED_WORDS = 51
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.bound_batches(spark)
-    return repeats.without_repeats(docs, REPEATED_BYTES)
+    return repeats.without_repeats(docs, REPEATED_BYTES, REPEATED_WORDS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,3 +115,15 @@ UNLIKE = [" ".join(f"{w}{i}" for w in "abcdefgh") for i in range(6)]
 def test_each_group_keeps_one_row(spark, given, want):
     got = STAGES["SimHash near-dedup"](spark, docs(spark, given), SMALL).select("doc_id", "text").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_repeated_short_words_are_cut(spark):
+    """A passage counts from 51 words on, also in fewer than REPEATED_BYTES bytes; fifty such words stay."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(1, 4)))
+    more, fifty = " ".join(word() for _ in range(51)), " ".join(word() for _ in range(50))
+    assert len(more) < corpus_pipeline.REPEATED_BYTES
+    given = [(1, f"Xyz {more} zyx"), (2, f"Uvw \"{more}.\" wvu"), (3, f"Rst {fifty} tsr"), (4, f"Opq {fifty} qpo")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in STAGES["suffix-array dedup"](spark, docs(spark, given), SMALL).collect()}
+    want = {1: "Xyz  zyx", 2: 'Uvw "." wvu', 3: given[2][1], 4: given[3][1]}
+    assert got == {k: (t, len(t)) for k, t in want.items()}

@@ -7,7 +7,7 @@ import pytest
 
 from tests.llm.cases import SMALL, docs, texts
 from tokenledger.llm import repeats
-from tokenledger.llm.repeats import kept, op1_suffix_array_dedup, repeated_windows, stretches, whole_characters, with_repeats, without_repeats
+from tokenledger.llm.repeats import kept, op1_suffix_array_dedup, repeated_windows, stretches, whole_characters, with_repeats, without_repeats, word_windows
 
 
 def slow(rows, length):
@@ -129,3 +129,10 @@ def test_registered_query(spark):
         sha = hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
         assert got[doc_id] == (len(raw), int(gone.sum()), n_spans, sha)
     assert any(x[1] for x in got.values())
+
+
+def test_word_windows():
+    text = "-- ab 'c d' é, (e) ... ffffff g"
+    start, end = word_windows(np.frombuffer(text.encode(), np.uint8), 3, 10)
+    assert [text.encode()[a:b].decode() for a, b in zip(start, end)] == ["ab 'c d", "c d' é", "d' é, (e"]
+    assert [len(x) for x in word_windows(np.frombuffer(b"", np.uint8), 3, 9)] == [0, 0]

@@ -14,6 +14,9 @@ a text is a sequence of runs of windows, one for each anchor, at about every 140
   repeated as they are. The bytes of these runs are fetched and their suffixes sorted by the digits that follow.
 - An anchor with very many kinds of runs is not collected: its windows are counted by a hash of all their bytes instead.
 
+With `words`, passages of that many words are repeated too, however short the words are. Those that have `length` bytes are
+found as above; the few windows of so many words in fewer bytes are counted by the hash of their bytes.
+
 Every grouping that a hot passage can dominate is a count that is combined before it is shuffled, or a join with one row
 for each key on the other side, which adaptive execution splits. Texts cross the network compressed.
 """
@@ -239,7 +242,61 @@ def _counted_windows(contents: DataFrame, length: int) -> DataFrame:
     return found.select(*KEY, "start", (F.col("start") + length).alias("end"))
 
 
-def _spans(texts: DataFrame, length: int, kinds_in_task: int) -> DataFrame:
+WORD = np.array([chr(i).isalnum() if i < 0x80 else True for i in range(256)])
+SPACE = np.array([i in b" \t\n\v\f\r" for i in range(256)])
+
+
+def word_windows(raw: np.ndarray, words: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the windows of `words` words that have fewer than `length` bytes.
+
+    Words stand between ASCII white space and hold a letter or digit; a window begins and ends with one, so that quotes and
+    full stops around a passage do not hide it.
+    """
+    sign = np.flatnonzero(WORD[raw])
+    if len(sign) < words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    gaps = np.cumsum(SPACE[raw], dtype=np.int32)[sign]  # equal within a word
+    new = np.flatnonzero(gaps[1:] != gaps[:-1]) + 1
+    first, last = sign[np.append(0, new)], sign[np.append(new - 1, len(sign) - 1)] + 1
+    n = max(0, len(first) - words + 1)
+    start, end = first[:n], last[words - 1 :]
+    short = end - start < length
+    return start[short], end[short]
+
+
+def _counted_words(texts: DataFrame, words: int, length: int) -> DataFrame:
+    """The key, start and end of windows of so many words, in fewer than `length` bytes, that occur again.
+
+    Occurrences that overlap in a text, as in a word said over and over, count as one.
+    """
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = strings(batch.column(2))
+            for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                raw = data[a:b]
+                start, end = word_windows(raw, words, length)
+                free: dict[int, int] = {}  # by hash, where its last occurrence that counts ends
+                edges = np.searchsorted(start, np.arange(0, len(raw) + CHUNK, CHUNK))
+                for at, own in zip(range(0, len(raw), CHUNK), map(slice, edges[:-1], edges[1:])):
+                    if own.start == own.stop:
+                        continue
+                    found = Hashes(raw[at : at + CHUNK + length])(start[own] - at, end[own] - at)
+                    n = own.stop - own.start
+                    counts = np.zeros(n, np.int64)
+                    for i, (h, s, e) in enumerate(zip(found.tolist(), start[own].tolist(), end[own].tolist())):
+                        if free.get(h, 0) <= s:
+                            free[h], counts[i] = e, 1
+                    keys = [pa.array(np.full(n, batch.column(k)[row].as_py(), np.int64)) for k in (0, 1)]
+                    columns = [*keys, *map(pa.array, (found.astype(np.int64), start[own], end[own], counts))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "window", "start", "end", "counts"])
+
+    rows = written(texts.mapInArrow(spread, "__id long, __mark long, window long, start long, end long, counts long"), "word-windows")
+    again = written(rows.groupBy("window").agg(F.sum("counts").alias("n")).where("n > 1").select("window"), "again")
+    return rows.join(again.hint("merge"), "window", "left_semi").select(*KEY, "start", "end")
+
+
+def _spans(texts: DataFrame, length: int, kinds_in_task: int, words: int | None = None) -> DataFrame:
     """The key and a list of repeated stretches (they may overlap) of the rows that have any."""
     anchors = written(_anchors(texts, length), "anchors")
     often = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"))
@@ -260,19 +317,21 @@ def _spans(texts: DataFrame, length: int, kinds_in_task: int) -> DataFrame:
     many = sizes.where(F.col("n") > kinds_in_task).select("anchor")
     if not many.isEmpty():
         found = found.union(_counted_windows(contents.join(many.hint("merge"), "anchor", "left_semi"), length))
+    if words:
+        found = found.union(_counted_words(texts, words, length))
     return found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
 
 
-def with_repeats(docs: DataFrame, length: int = LENGTH, kinds_in_task: int = KINDS) -> DataFrame:
+def with_repeats(docs: DataFrame, length: int = LENGTH, kinds_in_task: int = KINDS, words: int | None = None) -> DataFrame:
     """The columns of docs with its text compressed (zstd), and `__spans`, stretches of repeated bytes or null.
 
     Read with `cut`. A null text is an empty one. A text that occurs twice is repeated as a whole if it is long enough;
-    equal rows are two occurrences. Texts shorter than `length` have nothing repeated, and an empty table gives an empty
-    one. Other columns may have any names that do not begin with two underscores.
+    equal rows are two occurrences. Texts shorter than `length` have nothing repeated, unless they hold `words` words, and an
+    empty table gives an empty one. Other columns may have any names that do not begin with two underscores.
     """
     key = _key(docs)
     texts = docs.select(*key, F.col("text").cast("string").alias("text"))
-    spans = _spans(texts, length, kinds_in_task)
+    spans = _spans(texts, length, kinds_in_task, words)
     rest = [F.col(c) for c in docs.columns if c != "text"]
     small = packed(docs.select(*key, F.col("text").cast("string").alias("text"), *rest))
     return small.join(spans.hint("merge"), KEY, "left").drop(*KEY)
@@ -306,8 +365,8 @@ def whole_characters(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tup
     return start[full], end[full]
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated passages taken out of text, whole code points only. A null text stays null, and a text that
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """docs with the repeated passages, of `length` bytes or, if given, of `words` words, taken out of text, whole code points only. A null text stays null, and a text that
     is repeated as a whole is left empty. n_chars, if there, is that of the new text."""
     schema = docs.schema
 
@@ -326,7 +385,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 own["n_chars"] = pc.if_else(pa.array(changed), n, own["n_chars"])
             yield pa.RecordBatch.from_arrays([own[n] for n in schema.names], names=schema.names)
 
-    return with_repeats(docs.withColumn("__null", F.col("text").isNull()), length).mapInArrow(take, schema)
+    return with_repeats(docs.withColumn("__null", F.col("text").isNull()), length, words=words).mapInArrow(take, schema)
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
