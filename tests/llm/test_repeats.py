@@ -136,3 +136,11 @@ def test_word_windows():
     start, end = word_windows(np.frombuffer(text.encode(), np.uint8), 3, 10)
     assert [text.encode()[a:b].decode() for a, b in zip(start, end)] == ["ab 'c d", "c d' é", "d' é, (e"]
     assert [len(x) for x in word_windows(np.frombuffer(b"", np.uint8), 3, 9)] == [0, 0]
+
+
+def test_a_window_in_a_long_repeat_counts_for_one_outside(spark):
+    short = " ".join("abcdefgh")
+    long = f"these words go on {short} and on to the end of it"
+    rows = [(1, f"X {long} 1"), (2, f"Y {long} 2"), (3, f"zyx {short} xyz"), (4, "q q q q q q q q q q")]
+    got = {r.doc_id: r.text for r in without_repeats(docs(spark, rows), 40, words=8).collect()}
+    assert got == {1: "X1", 2: "Y2", 3: "zyx  xyz", 4: rows[3][1]}

@@ -264,36 +264,66 @@ def word_windows(raw: np.ndarray, words: int, length: int) -> tuple[np.ndarray,
     return start[short], end[short]
 
 
-def _counted_words(texts: DataFrame, words: int, length: int) -> DataFrame:
+def _counted_words(texts: DataFrame, long: DataFrame, words: int, length: int) -> DataFrame:
     """The key, start and end of windows of so many words, in fewer than `length` bytes, that occur again.
 
-    Occurrences that overlap in a text, as in a word said over and over, count as one.
+    Occurrences that overlap in a text, as in a word said over and over, count as one. Windows inside a stretch that `long`
+    has already are counted, but not returned.
     """
+    kinds = ("window", "start", "end", "counts")
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = strings(batch.column(2))
+            rows, lists = [], {k: [] for k in kinds}
             for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                 raw = data[a:b]
                 start, end = word_windows(raw, words, length)
+                if not len(start):
+                    continue
+                hashes, edges = [], np.searchsorted(start, np.arange(0, len(raw) + CHUNK, CHUNK))
+                for at, x, y in zip(range(0, len(raw), CHUNK), edges[:-1], edges[1:]):
+                    if x < y:
+                        hashes.append(Hashes(raw[at : at + CHUNK + length])(start[x:y] - at, end[x:y] - at).astype(np.int64))
+                window, counts = np.concatenate(hashes), np.zeros(len(start), np.int64)
                 free: dict[int, int] = {}  # by hash, where its last occurrence that counts ends
-                edges = np.searchsorted(start, np.arange(0, len(raw) + CHUNK, CHUNK))
-                for at, own in zip(range(0, len(raw), CHUNK), map(slice, edges[:-1], edges[1:])):
-                    if own.start == own.stop:
-                        continue
-                    found = Hashes(raw[at : at + CHUNK + length])(start[own] - at, end[own] - at)
-                    n = own.stop - own.start
-                    counts = np.zeros(n, np.int64)
-                    for i, (h, s, e) in enumerate(zip(found.tolist(), start[own].tolist(), end[own].tolist())):
-                        if free.get(h, 0) <= s:
-                            free[h], counts[i] = e, 1
-                    keys = [pa.array(np.full(n, batch.column(k)[row].as_py(), np.int64)) for k in (0, 1)]
-                    columns = [*keys, *map(pa.array, (found.astype(np.int64), start[own], end[own], counts))]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "window", "start", "end", "counts"])
-
-    rows = written(texts.mapInArrow(spread, "__id long, __mark long, window long, start long, end long, counts long"), "word-windows")
-    again = written(rows.groupBy("window").agg(F.sum("counts").alias("n")).where("n > 1").select("window"), "again")
-    return rows.join(again.hint("merge"), "window", "left_semi").select(*KEY, "start", "end")
+                for i, (h, s, e) in enumerate(zip(window.tolist(), start.tolist(), end.tolist())):
+                    if free.get(h, 0) <= s:
+                        free[h], counts[i] = e, 1
+                rows.append(row)
+                for k, own in zip(kinds, (window, start, end, counts)):
+                    lists[k].append(own)
+            if rows:
+                offsets = pa.array(np.cumsum([0] + [len(x) for x in lists["window"]]), pa.int32())
+                columns = [batch.column(k).take(pa.array(rows)) for k in (0, 1)]
+                columns += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in lists.values()]
+                yield pa.RecordBatch.from_arrays(columns, names=[*KEY, *kinds])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([c.flatten() for c in batch.columns], names=["window", "counts"])
+
+    def uncovered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                window, start, end = (batch.column(k)[row].values.to_numpy() for k in ("window", "start", "end"))
+                spans = batch.column("spans")[row].values
+                if spans is not None:
+                    low, high = stretches(*(spans.field(k).to_numpy() for k in ("start", "end")))
+                    at = np.searchsorted(low, start, "right") - 1
+                    open_ = (at < 0) | (high[at] < end)
+                    window, start, end = window[open_], start[open_], end[open_]
+                keys = [pa.array(np.full(len(start), batch.column(k)[row].as_py(), np.int64)) for k in KEY]
+                yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, (window, start, end))], names=[*KEY, "window", "start", "end"])
+
+    lists = ", ".join(f"{k} array<long>" for k in kinds)
+    rows = written(texts.mapInArrow(spread, f"__id long, __mark long, {lists}"), "word-windows")
+    sums = rows.select("window", "counts").mapInArrow(count, "window long, counts long").groupBy("window").agg(F.sum("counts").alias("n"))
+    again = written(sums.where("n > 1").select("window"), "again")
+    covered = long.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    left = rows.drop("counts").join(covered.hint("merge"), KEY, "left")
+    left = written(left.mapInArrow(uncovered, "__id long, __mark long, window long, start long, end long"), "uncovered")
+    return left.join(again.hint("merge"), "window", "left_semi").select(*KEY, "start", "end")
 
 
 def _spans(texts: DataFrame, length: int, kinds_in_task: int, words: int | None = None) -> DataFrame:
@@ -318,7 +348,8 @@ def _spans(texts: DataFrame, length: int, kinds_in_task: int, words: int | None
     if not many.isEmpty():
         found = found.union(_counted_windows(contents.join(many.hint("merge"), "anchor", "left_semi"), length))
     if words:
-        found = found.union(_counted_words(texts, words, length))
+        found = written(found, "long")
+        found = found.union(_counted_words(texts, found, words, length))
     return found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
 
 
