@@ -43,6 +43,8 @@ ENDS, BLANKS, END = b".,;:!?\n\v\f\r", b" \t", "."
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 KIND = np.array([2 if i in ENDS else 1 if i in BLANKS else 0 for i in range(256)], np.uint8)
 LOWER = np.array([i + 32 if ord("A") <= i <= ord("Z") else i for i in range(256)], np.uint8)
+#: Bytes that are hashed at a time.
+HASHED = 1 << 19
 WORDS = [f"w{i}" for i in range(1, ORDER + 1)]
 
 
@@ -57,7 +59,13 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     kind = KIND[raw]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], kind == 0, [False]]).view(np.int8)))
     start, end = edges[::2], edges[1::2]
-    return raw, start, end, Hashes(raw)(start, end), np.cumsum(kind == 2, dtype=np.int32)[start]
+    piece = np.cumsum(kind == 2, dtype=np.int32)[start]
+    hashes = np.empty(len(start), np.uint64)
+    parts = np.unique(np.searchsorted(start, np.arange(0, len(raw) + HASHED, HASHED)))
+    for a, b in zip(parts, parts[1:]):
+        low, high = start[a], end[b - 1]
+        hashes[a:b] = Hashes(raw[low:high])(start[a:b] - low, end[a:b] - low)
+    return raw, start, end, hashes, piece
 
 
 def _langs(batch: pa.RecordBatch, raw_start: np.ndarray) -> tuple[pa.Array, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 LEAST_CELLS, MOST_CELLS = CHUNK, 1 << 28
 #: Different cells that a task holds before it passes them on.
-HELD = 1 << 23
+HELD = 1 << 21
 SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
