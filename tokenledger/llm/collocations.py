@@ -5,8 +5,8 @@ padded where its piece of text ends; only these longest windows are counted. Eve
 exactly one window, so a ROLLUP of the window counts, which sums them over ever shorter beginnings, gives the counts of
 all phrases of three, two and one words and of all words of a language.
 
-Most windows are unique, and would cross the network for nothing. So a count-min sketch of words and pairs goes first, and
-windows end before what it proves to be too rare to lie in any candidate. That changes no count of a candidate or its parts.
+Most windows are unique, and would cross the network for nothing. So a count-min sketch of words and pairs goes first, one
+of the longer phrases of such pairs follows, and windows end before what these prove to be too rare to lie in a candidate. That changes no count of a candidate or its parts.
 
 Counts are combined before every shuffle, so frequent words cost no more than rare ones there; the joins that fetch the
 counts of a phrase's parts go through `lookup`, where a frequent part is no heavy key.
@@ -20,10 +20,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenledger.llm.common import strings, table, written
+from tokenledger.llm.common import blocks, strings, table, written
 from tokenledger.llm.countmin import Sketch, sketch, width_for
 from tokenledger.llm.lookup import lookup
 from tokenledger.llm.repeats import Hashes, mixed
@@ -43,8 +44,8 @@ ENDS, BLANKS, END = b".,;:!?\n\v\f\r", b" \t", "."
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 KIND = np.array([2 if i in ENDS else 1 if i in BLANKS else 0 for i in range(256)], np.uint8)
 LOWER = np.array([i + 32 if ord("A") <= i <= ord("Z") else i for i in range(256)], np.uint8)
-#: Bytes that are hashed at a time.
-HASHED = 1 << 19
+#: Bytes of text that are taken together, and hashed at a time; a longer text is taken whole.
+TOGETHER, HASHED = 3 << 20, 1 << 19
 WORDS = [f"w{i}" for i in range(1, ORDER + 1)]
 
 
@@ -81,56 +82,86 @@ def _with_lang(hashes: np.ndarray, langs: pa.Array, lang: np.ndarray) -> np.ndar
     return mixed(hashes ^ np.array(salts, np.uint64)[lang]) if len(hashes) else hashes
 
 
-def _pairs(words: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each two neighbours, and which of them lie in one piece."""
-    return mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]), piece[:-1] == piece[1:]
+def _longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases by one word longer, from those of the phrases that begin at each word; the last ones fall short."""
+    n = len(hashes) - 1
+    return mixed(hashes[:n] * np.uint64(0x9E3779B97F4A7C15) + words[len(words) - n :]) if n > 0 else hashes[:0]
 
 
-def _screen(texts: DataFrame, least: int) -> Sketch:
-    """Which words, and which pairs of neighbours, may have `least` occurrences in their language."""
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        _, bounds = strings(batch.column(1))
+        yield from (batch.slice(a, b - a) for a, b in blocks(bounds, TOGETHER))
 
-    def find(batch: pa.RecordBatch) -> np.ndarray:
-        _, start, _, hashes, piece = _words(batch)
-        words = _with_lang(hashes, *_langs(batch, start))
-        pairs, near = _pairs(words, piece)
-        return np.concatenate([words, pairs[near]])
 
+def _follows(words: np.ndarray, piece: np.ndarray, screen: Sketch) -> tuple[np.ndarray, np.ndarray]:
+    """Which words may be frequent, and which of them the next one may follow."""
+    frequent = screen.may_reach(words)
+    near = piece[:-1] == piece[1:]
+    return frequent, near & frequent[:-1] & frequent[1:] & screen.may_reach(_longer(words, words))
+
+
+def _screens(texts: DataFrame, least: int) -> tuple[Broadcast, Broadcast]:
+    """Which words and pairs of neighbours, and which longer phrases of such pairs, may have `least` occurrences in their language."""
+    spark = texts.sparkSession.sparkContext
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    return sketch(texts, find, least, width_for(size // 3))  # about a word and a pair on six bytes
+
+    def pairs(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in _parts([batch]):
+            _, start, _, hashes, piece = _words(part)
+            words = _with_lang(hashes, *_langs(part, start))
+            yield np.concatenate([words, _longer(words, words)[piece[:-1] == piece[1:]]])
+
+    short = spark.broadcast(sketch(texts, pairs, least, width_for(size // 3)))  # about a word and a pair on six bytes
+
+    def longer(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in _parts([batch]):
+            _, start, _, hashes, piece = _words(part)
+            words = _with_lang(hashes, *_langs(part, start))
+            phrase, goes_on = words, np.ones(len(words), bool)
+            _, follows = _follows(words, piece, short.value)
+            for k in range(1, ORDER):
+                phrase = _longer(phrase, words)
+                goes_on = goes_on[: len(phrase)] & follows[k - 1 :]
+                if k > 1:
+                    yield phrase[goes_on]
+
+    return short, spark.broadcast(sketch(texts, longer, least, width_for(size // 12)))
 
 
 def windows(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, w1 to w4 and their number of occurrences: a window for each word, with the words that follow it in its piece.
 
-    A window is padded with empty strings where its piece ends. It also ends before a word or pair that the screen proves
-    to be rarer than `least`: no candidate holds one. A rare first word leaves a window of padding, so all words are counted.
+    A window is padded with empty strings where its piece ends. It also ends before it would hold a word or phrase that the
+    screens prove to be rarer than `least`: no candidate holds one. A rare first word leaves a window of padding, so all words are counted.
     """
     lang, text = (F.col(c).cast("string") for c in ("lang", "text"))
     texts = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
-    screen = texts.sparkSession.sparkContext.broadcast(_screen(texts, least))
+    short, long = _screens(texts, least)
 
     def lead(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             raw, start, end, hashes, piece = _words(batch)
             n = len(start)
             if not n:
                 continue
             langs, lang = _langs(batch, start)
             words = _with_lang(hashes, langs, lang)
-            frequent = screen.value.may_reach(words)
-            pairs, near = _pairs(words, piece)
-            follows = np.append(near & frequent[:-1] & frequent[1:] & screen.value.may_reach(pairs), False)
+            frequent, follows = _follows(words, piece, short.value)
             _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
             size = end[first] - start[first]
             offsets = np.append(0, np.cumsum(size))
             chars = raw[np.arange(offsets[-1]) + np.repeat(start[first] - offsets[:-1], size)]
             buffers = [None, pa.py_buffer(np.append(offsets, offsets[-1]).astype(np.int32)), pa.py_buffer(chars)]
             known = pa.StringArray.from_buffers(len(first) + 1, buffers[1], buffers[2])  # the last one is empty
-            lead_, goes_on = [np.where(frequent, number, len(first))], frequent
+            lead_, goes_on, phrase = [np.where(frequent, number, len(first))], frequent, words
             for k in range(1, ORDER):
-                goes_on = goes_on[: n - k] & follows[k - 1 : n - 1] if n > k else np.zeros(0, bool)
+                phrase = _longer(phrase, words)
+                goes_on = goes_on[: len(phrase)] & follows[k - 1 :]
+                if k > 1:
+                    goes_on &= long.value.may_reach(phrase)
                 column = np.full(n, len(first))
-                column[: n - k if n > k else 0] = np.where(goes_on, number[k:], len(first))
+                column[: len(phrase)] = np.where(goes_on, number[n - len(phrase) :], len(first))
                 lead_.append(column)
             kinds = lang.astype(np.uint64)
             for column in lead_:

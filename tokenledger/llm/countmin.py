@@ -49,21 +49,20 @@ class Sketch:
         return out
 
 
-def sketch(rows: DataFrame, find: Callable[[pa.RecordBatch], np.ndarray], limit: int, width: int, depth: int = 1) -> Sketch:
-    """Counts the hashes that `find` gives for the batches of `rows`, each of them as often as it is given."""
+def sketch(rows: DataFrame, find: Callable[[pa.RecordBatch], Iterable[np.ndarray]], limit: int, width: int, depth: int = 1) -> Sketch:
+    """Counts the hashes that `find` gives, in arrays, for the batches of `rows`, each of them as often as it is given."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met, times = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            hashes = find(batch)
-            for row in range(depth):
+            for hashes, row in ((hashes, row) for hashes in find(batch) for row in range(depth)):
                 new, n = np.unique(cells(hashes, row, width) + row * width, return_counts=True)
                 both = np.concatenate([met, new])
                 met, back = np.unique(both, return_inverse=True)
                 times = np.bincount(back, np.concatenate([times, n]), len(met)).astype(np.int64)
-            if len(met) > HELD:
-                yield from passed(met, times)
-                met, times = met[:0], times[:0]
+                if len(met) > HELD:
+                    yield from passed(met, times)
+                    met, times = met[:0], times[:0]
         yield from passed(met, times)
 
     def passed(met: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -112,7 +112,7 @@ def _hash(batch: pa.RecordBatch, pair: list[str]) -> np.ndarray:
 
 def _screened(rows: DataFrame) -> DataFrame:
     """`rows` with `maybe` and `q_maybe`: may the beginning, or the one before it, have two members?"""
-    counted = sketch(rows.select(*NODE), lambda batch: _hash(batch, NODE), 2, width_for(32 * rows.count()), depth=2)
+    counted = sketch(rows.select(*NODE), lambda batch: [_hash(batch, NODE)], 2, width_for(32 * rows.count()), depth=2)
     known = rows.sparkSession.sparkContext.broadcast(counted)  # two bit arrays of bounded width
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
