@@ -5,7 +5,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tokenledger.operators import key_index
+from tokenledger.operators import store as store_module
+from tokenledger.operators.key_index import KeyIndex
 from tokenledger.operators.latest import latest_by_key
+from tokenledger.operators.versions import Files, Versions, differing
 from tokenledger.plans.marts import mrt_daily_usage, mrt_hourly_usage, mrt_org_daily
 from tokenledger.schemas import (
     DIM_POLICY,
@@ -18,7 +22,8 @@ from tokenledger.schemas import (
     USAGE_DAILY,
     USAGE_HOURLY,
 )
-from tokenledger.sources.landing import project_table
+from tokenledger.sources.landing import lookback, project_table, read_observations
+from tokenledger.sources.seen_files import SeenFiles
 from tokenledger.streaming.jobs import start_observation_sync, start_score_sync, start_trace_store_sync
 from tokenledger.streaming.syncs import (
     seed_reference_tables,
@@ -78,18 +83,18 @@ def test_superseded_copy_of_a_batch_names_the_old_day(spark, store):
     assert store.read(FACT_OBSERVATION).count() == 2
 
 
-def test_unchanged_rows_rewrite_nothing(spark, store, monkeypatch):
+def test_unchanged_rows_rewrite_nothing(spark, store):
     rows = [(f"k{i}", f"2024-01-0{i % 3 + 1}", str(i), "u", i) for i in range(30)]
     store.upsert_observations(observations(spark, rows))
-    touched = []
-    publish = store._publish
-    monkeypatch.setattr(store, "_publish", lambda spec, days: (touched.append(days), publish(spec, days)))
+    table = store.versions(FACT_OBSERVATION)
+    first = table.current()
     assert store.upsert_observations(observations(spark, rows), skip_unchanged=True) == 30
-    assert touched == []
+    assert table.current() == first
     rows[4] = ("k4", "2024-01-02", "99", "u", 4)
     rows[5] = ("k5", None, "5", "u", 5)
     store.upsert_observations(observations(spark, rows), skip_unchanged=True)
-    assert sorted(map(str, touched[0])) == ["2024-01-02", "2024-01-03", "None"]
+    touched = differing(first.parts, table.current().parts)
+    assert touched == ["day=2024-01-02", "day=2024-01-03", "day=__HIVE_DEFAULT_PARTITION__"]
     expected = {key: (str(day), Decimal(cost)) for key, day, cost, _, _ in rows}
     assert stored(store) == expected
     assert store.read(FACT_OBSERVATION).count() == 30
@@ -102,75 +107,129 @@ def test_empty_batch_and_null_key(spark, store):
     assert stored(store) == {}
 
 
-def test_interrupted_upsert_is_finished_by_the_next(spark, store, monkeypatch):
-    store.upsert_observations(observations(spark, [("a", "2024-01-01", "1", "u", 1), ("b", "2024-01-01", "2", "u", 1)]))
-    real = store._drop_days
+def lost(*_, **__):
+    raise RuntimeError("executor lost")
 
-    def lose_everything(spec, days):
-        store._delete(store.path(spec) + "/day=2024-01-01")
-        raise RuntimeError("executor lost")
 
-    monkeypatch.setattr(store, "_drop_days", lose_everything)
-    with pytest.raises(RuntimeError):
-        store.upsert_observations(observations(spark, [("a", "2024-01-02", "3", "u", 1)]))
-    assert "b" not in stored(store)
-    monkeypatch.setattr(store, "_drop_days", real)
-    assert store.recover(FACT_OBSERVATION)
+@pytest.mark.parametrize("where", ["write", "index", "record"])
+def test_an_interrupted_upsert_changes_nothing_and_can_be_repeated(spark, store, monkeypatch, where):
+    before = {"a": ("2024-01-01", Decimal(1)), "b": ("2024-01-01", Decimal(2))}
+    store.upsert_observations(observations(spark, [("a", "2024-01-01", "1", "u", 1), ("b", "2024-01-01", "2", "u", 1)]))
+    owner, name = {"write": (Versions, "write"), "index": (KeyIndex, "moved"), "record": (Files, "create")}[where]
+    monkeypatch.setattr(owner, name, lost)
+    moved = observations(spark, [("a", "2024-01-02", "3", "u", 1)])
+    with pytest.raises(RuntimeError, match="executor lost"):
+        store.upsert_observations(moved)
+    monkeypatch.undo()
+    assert stored(store) == before
+    if where == "record":
+        assert store.recover(FACT_OBSERVATION)
+    assert not store.recover(FACT_OBSERVATION) and stored(store) == before
+    store.upsert_observations(moved)
     assert stored(store) == {"a": ("2024-01-02", Decimal(3)), "b": ("2024-01-01", Decimal(2))}
-    assert not store.recover(FACT_OBSERVATION)
+    assert store.read(FACT_OBSERVATION).count() == 2
+
+
+def test_a_record_that_was_cut_off_does_not_count(spark, store):
+    store.upsert_observations(observations(spark, [("a", "2024-01-01", "1", "u", 1)]))
+    table = store.versions(FACT_OBSERVATION)
+    number = table.current().number
+    Files(spark).create(f"{table.path}/_records/{number + 1:012d}", '{"number": 2, "par')
+    assert table.current().number == number and len(stored(store)) == 1
+    store.upsert_observations(observations(spark, [("b", "2024-01-01", "1", "u", 1)]))
+    assert table.current().number == number + 2 and len(stored(store)) == 2
+
+
+def test_a_second_writer_is_refused(spark, store):
+    store.append(DIM_USER, spark.createDataFrame([("a",)], "user_id string"))
+    table = store.versions(DIM_USER)
+    base = table.current()
+    store.append(DIM_USER, spark.createDataFrame([("b",)], "user_id string"))
+    with pytest.raises(RuntimeError, match="one writer"):
+        table.publish(base, {})
+    assert store.read(DIM_USER).count() == 2
 
 
-@pytest.mark.parametrize("cut", ["marker", "rows", "all"])
-def test_a_delete_of_the_stage_that_dies_loses_nothing(spark, store, monkeypatch, cut):
-    """The delete after publishing stops before it, after the marker, or half way through the staged rows."""
+def test_each_touched_day_is_written_once_and_old_files_go(spark, store):
     rows = [(f"k{i}", f"2024-01-0{i % 4 + 1}", "1", "u", i) for i in range(40)]
-    real = store._delete
-
-    def dying(path):
-        if path.endswith("_staged/fact_observation/days/_SUCCESS"):
-            if cut == "marker":
-                raise RuntimeError("lost")
-            real(path)
-            if cut == "rows":
-                real(path.replace("days/_SUCCESS", "rows/day=2024-01-02"))
-                raise RuntimeError("lost")
-        elif path.endswith("_staged/fact_observation") and cut == "all" and store._exists(store.path(FACT_OBSERVATION)):
-            raise RuntimeError("lost")
-        else:
-            real(path)
-
-    store.upsert_observations(observations(spark, rows[:1]))
-    store._discard(store._stage(FACT_OBSERVATION))
-    stage = store._discard
-    calls = []
-
-    def discard(path):
-        calls.append(path)
-        if len(calls) == 2:  # the one after publishing
-            monkeypatch.setattr(store, "_delete", dying)
-        stage(path)
-
-    monkeypatch.setattr(store, "_discard", discard)
-    with pytest.raises(RuntimeError):
-        store.upsert_observations(observations(spark, rows))
-    monkeypatch.setattr(store, "_delete", real)
-    monkeypatch.setattr(store, "_discard", stage)
-    assert len(stored(store)) == 40
-    store.recover(FACT_OBSERVATION)
-    assert len(stored(store)) == 40
     store.upsert_observations(observations(spark, rows))
+    table = store.versions(FACT_OBSERVATION)
+    folders = lambda: {n for n in Files(spark).names(table.path) if n.startswith("version=")}
+    first, one = folders(), table.current()
+    store.upsert_observations(observations(spark, [("k0", "2024-01-01", "5", "u", 1)]))
+    (new,) = folders() - first
+    assert Files(spark).names(f"{table.path}/{new}")[1:] == ["day=2024-01-01"]
+    assert differing(one.parts, table.current().parts) == ["day=2024-01-01"]
+    store.upsert_observations(observations(spark, [("k0", "2024-01-01", "6", "u", 1)]))
+    old = f"{table.path}/version={one.parts['day=2024-01-01'][0]}"
+    assert "day=2024-01-01" not in Files(spark).names(old) and "day=2024-01-02" in Files(spark).names(old)
     assert store.read(FACT_OBSERVATION).count() == 40
 
 
-def test_a_damaged_stage_is_not_published(spark, store, monkeypatch):
-    rows = [(f"k{i}", f"2024-01-0{i % 4 + 1}", "1", "u", i) for i in range(40)]
-    monkeypatch.setattr(store, "_publish", lambda spec, days: None)
+def test_moved_keys_are_found_in_the_buckets_of_the_batch(spark, store, monkeypatch):
+    rows = [(f"k{i}", f"2024-01-0{i % 4 + 1}", "1", "u", i) for i in range(400)]
     store.upsert_observations(observations(spark, rows))
+    read = []
+    real = Versions.read
+
+    def spy(self, schema, parts):
+        found = real(self, schema, parts)
+        read.append((self.by, [f.split("/")[-2] for f in found.inputFiles()]))
+        return found
+
+    monkeypatch.setattr(Versions, "read", spy)
+    store.upsert_observations(observations(spark, [("k7", "2024-01-01", "5", "u", 1)]))
     monkeypatch.undo()
-    store._delete(store._stage(FACT_OBSERVATION) + "/rows/day=2024-01-02")
-    with pytest.raises(RuntimeError, match="30 rows of 40"):
-        store.recover(FACT_OBSERVATION)
-    assert stored(store) == {}
+    assert len({f for by, files in read for f in files if by == "bucket"}) == 1
+    # k7 was on the fourth day and is on the first now; no other day's files are opened.
+    assert {f for by, files in read for f in files if by == "day"} == {"day=2024-01-01", "day=2024-01-04"}
+    assert stored(store)["k7"] == ("2024-01-01", Decimal(5)) and store.read(FACT_OBSERVATION).count() == 400
+
+
+def test_the_key_index_follows_appends_truncates_and_many_moves(spark, store, monkeypatch):
+    monkeypatch.setattr(key_index, "GATHER", 3)
+    row = lambda day, cost: observations(spark, [("a", day, cost, "u", 1)])
+    store.upsert_observations(row("2024-01-01", "1"))
+    store.append(FACT_OBSERVATION, row("2024-01-02", "2").drop("_seq"))
+    store.append(FACT_OBSERVATION, row("2024-01-03", "2").drop("_seq"))
+    store.upsert_observations(row("2024-01-04", "3"))
+    assert stored(store) == {"a": ("2024-01-04", Decimal(3))} and store.read(FACT_OBSERVATION).count() == 1
+    store.truncate(FACT_OBSERVATION)
+    store.append(FACT_OBSERVATION, row("2024-01-05", "4").drop("_seq"))
+    for i in range(5):
+        store.upsert_observations(row(f"2024-02-{i + 1:02d}", str(i)))
+    assert store.read(FACT_OBSERVATION).count() == 1
+    keys = store.versions(FACT_OBSERVATION).current().keys
+    assert all(len(v) <= 3 for v in keys.values())
+
+
+def test_scores_move_between_days_too(spark, store):
+    score = lambda day: spark.createDataFrame([("s", day)], "score_id string, t string").select(
+        *[F.col("score_id") if f.name == "score_id" else F.col("t").cast("timestamp").alias(f.name) if f.name == "timestamp"
+          else F.lit(None).cast(f.dataType).alias(f.name) for f in FACT_SCORE.schema.fields]
+    )
+    for day in ("2024-01-01", "2024-01-05", "2024-01-03"):
+        store.upsert_scores(score(day))
+    assert [str(r["day"]) for r in store.read(FACT_SCORE).collect()] == ["2024-01-03"]
+
+
+def test_a_table_without_records_is_taken_over(spark, store):
+    rows = observations(spark, [("a", "2024-01-01", "1", "u", 1), ("b", "2024-01-02", "2", "u", 1)]).drop("_seq")
+    rows.withColumn("day", F.to_date("start_time")).write.partitionBy("day").parquet(store.path(FACT_OBSERVATION))
+    spark.createDataFrame([("u", "team")], "user_id string, team string").write.parquet(store.path(DIM_USER))
+    assert len(stored(store)) == 2 and store.read(DIM_USER).count() == 1
+    store.upsert_observations(observations(spark, [("a", "2024-01-03", "5", "v", 1)]))
+    assert stored(store) == {"a": ("2024-01-03", Decimal(5)), "b": ("2024-01-02", Decimal(2))}
+    assert {r["user_id"]: r["team"] for r in store.read(DIM_USER).collect()} == {"u": "team", "v": None}
+
+
+def test_many_small_appends_leave_few_files(spark, store, monkeypatch):
+    monkeypatch.setattr(store_module, "GATHER", 4)
+    for i in range(13):
+        store.append(DIM_USER, spark.createDataFrame([(f"u{i}",)], "user_id string").coalesce(1))
+    assert store.read(DIM_USER).count() == 13
+    assert len(store.read(DIM_USER).inputFiles()) <= 4
+    assert len([n for n in Files(spark).names(store.path(DIM_USER)) if n.startswith("version=")]) <= 2 * 4 + 1
 
 
 def daily(store, use_rollup=True):
@@ -209,7 +268,7 @@ def test_rollups_follow_every_writer(spark, store):
 def test_an_unfinished_write_is_answered_from_the_facts(spark, store, monkeypatch):
     store.refresh_usage_daily()
     row = observations(spark, [("a", "2024-01-01", "1", "u", 1)])
-    monkeypatch.setattr(store, "refresh_usage_daily", lambda days=None: (_ for _ in ()).throw(RuntimeError("lost")))
+    monkeypatch.setattr(store, "refresh_usage_daily", lost)
     with pytest.raises(RuntimeError):
         store.append(FACT_OBSERVATION, row.drop("_seq"))
     monkeypatch.undo()
@@ -297,18 +356,39 @@ def test_sync_from_landing(spark, tmp_path, store):
     assert set(stored(store)) == {"a"} and store.read(FACT_SCORE).count() == 1
 
 
-def test_old_files_are_not_opened(spark, tmp_path):
+@pytest.mark.parametrize("time", [0, 1672531200, 4102444800])
+def test_a_false_time_of_writing_loses_no_row(spark, tmp_path, store, time):
     import os
 
-    from tokenledger.sources.landing import lookback, read_observations
-
-    land(tmp_path / "in", [raw("a")], "new.json")
-    land(tmp_path / "in", [raw("b", "2023-01-01T00:00:00Z")], "old.json")
-    os.utime(tmp_path / "in" / "old.json", (1672531200, 1672531200))
-    scanned = read_observations(spark, str(tmp_path / "in"), lookback(AS_OF))
-    assert [f.rsplit("/", 1)[1] for f in scanned.inputFiles()] == ["new.json"]
-    assert [r["id"] for r in scanned.collect()] == ["a"]
-    assert len(read_observations(spark, str(tmp_path / "in")).inputFiles()) == 2
+    land(tmp_path / "observations", [raw("a"), raw("old", "2023-01-01T00:00:00Z")], "one.json")
+    land(tmp_path / "observations", [raw("b", "2024-01-30T23:00:00Z"), raw("c", None), raw("d", "2024-02-01T00:00:00Z")], "two.json")
+    for name in ("one.json", "two.json"):
+        os.utime(tmp_path / "observations" / name, (time, time))
+    land(tmp_path / "scores", [])
+    assert sync_landing(spark, str(tmp_path), store, as_of=AS_OF) == (2, 0)
+    assert set(stored(store)) == {"a", "b"}
+    assert read_observations(spark, str(tmp_path / "observations"), lookback(AS_OF)).count() == 2
+
+
+def test_unchanged_files_outside_the_window_are_not_opened_again(spark, tmp_path, store, monkeypatch):
+    folder = tmp_path / "observations" / "project=a b"
+    land(folder, [raw("a")], "in.json")
+    land(folder, [raw("b", "2023-01-01T00:00:00Z")], "out.json")
+    land(folder, [], "empty.json")
+    seen = SeenFiles(store)
+
+    def opened(rows):
+        return sorted({f.rsplit("/", 1)[1] for f in rows.inputFiles()})
+
+    noted = []
+    real = seen._note
+    monkeypatch.setattr(seen, "_note", lambda files, *rest: (noted.append(files.count()), real(files, *rest)))
+    scan = lambda: read_observations(spark, str(tmp_path / "observations"), lookback(AS_OF), seen)
+    assert opened(scan()) == ["in.json"] and [(r["id"], r["project"]) for r in scan().collect()] == [("a", "a b")]
+    land(folder, [raw("b", "2023-01-01T00:00:00Z"), raw("late", "2024-01-29T00:00:00Z")], "out.json")
+    assert opened(scan()) == ["in.json", "out.json"] and {r["id"] for r in scan().collect()} == {"a", "late"}
+    assert noted == [2, 0, 1, 0]  # an empty file is not even listed
+    assert read_observations(spark, str(tmp_path / "observations"), lookback(AS_OF.replace(year=2020)), seen).count() == 0
 
 
 def test_sync_from_trace_store(spark, tmp_path, store):

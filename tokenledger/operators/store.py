@@ -1,21 +1,18 @@
 """Idempotent upserts over Parquet tables, without a table format.
 
-Fact tables are partitioned by ``day``; an upsert rewrites only the partitions
-it touches. Every write goes through a staged copy: the merged rows are written
-next to the table first and overwrite the live partitions from there. A run
-that dies half way is finished by the next one from the staged copy, so no row
-is lost between deleting a partition and writing it. The marker that makes a
-staged copy count is written last and deleted first, and it is held against the
-number of staged rows. One writer per table.
-
-Stored roll-ups of the observations follow every write to them. While a write is
-under way, or after one that died, questions are answered from the facts.
+Fact tables are partitioned by ``day``. An upsert writes the days it touches once, as a new version, and takes them live
+with one small record (see ``versions``): a run that dies before it has changed nothing, and readers never see half a
+write. Which days hold older rows of the batch's keys is read from a key index (see ``key_index``), in the buckets of
+the batch alone. One writer per table; a second one is refused.
+
+Stored roll-ups of the observations follow every write to them. A roll-up notes which record of the facts it was computed
+from; while that is not the newest one, questions are answered from the facts, and the next write brings the roll-up up to
+date in just the days that differ.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
 
@@ -24,7 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenledger.functions.scalars import day_bucket, utc
+from tokenledger.operators.key_index import KeyIndex
 from tokenledger.operators.latest import latest_by_key
+from tokenledger.operators.versions import GATHER, Files, Record, Versions, differing
 from tokenledger.schemas import (
     DIM_POLICY,
     DIM_USER,
@@ -42,17 +41,19 @@ from tokenledger.session import pin_utc, scratch_dir
 from tokenledger.tables import Tables
 
 ROLLUPS = (USAGE_DAILY, USAGE_HOURLY)
+KEY_BUCKETS = 64
 
 
-def _on_days(days: Sequence[date | None]) -> Column:
-    """Partition filter; the NULL day holds rows without an event time."""
-    known = [d for d in days if d is not None]
-    condition = F.col("day").isin(known)
-    return condition | F.col("day").isNull() if None in days else condition
+#: Folder of the day of rows without an event time.
+NO_DAY = "day=__HIVE_DEFAULT_PARTITION__"
 
 
-def _limited(stored: DataFrame, days: Sequence[date | None] | None) -> DataFrame:
-    return stored if days is None else stored.where(_on_days(days))
+def _folder(day: date | None) -> str:
+    return NO_DAY if day is None else f"day={day.isoformat()}"
+
+
+def _folder_of(day: Column) -> Column:
+    return F.when(day.isNull(), NO_DAY).otherwise(F.concat(F.lit("day="), day.cast("string")))
 
 
 def _without_equals(rows: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -77,54 +78,44 @@ class Batch:
 class Store:
     """Tables under one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, key_buckets: int = KEY_BUCKETS):
+        """``key_buckets`` is fixed for the life of the tables; choose it so that a bucket of all keys is some 128 MB."""
         self.spark = pin_utc(spark)
         self.root = root.rstrip("/")
+        self.key_buckets = key_buckets
+        self._files = Files(self.spark)
 
     # -- paths ----------------------------------------------------------------
 
     def path(self, spec: TableSpec) -> str:
         return f"{self.root}/{spec.name}"
 
-    def _stage(self, spec: TableSpec) -> str:
-        return f"{self.root}/_staged/{spec.name}"
-
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop_path
+    def versions(self, spec: TableSpec) -> Versions:
+        return Versions(self.spark, self.path(spec), "day" if "day" in spec.stored_schema.fieldNames() else None)
 
-    def _exists(self, path: str) -> bool:
-        fs, hadoop_path = self._fs(path)
-        return fs.exists(hadoop_path)
+    def _index(self, spec: TableSpec) -> KeyIndex:
+        return KeyIndex(self.spark, f"{self.root}/_keys/{spec.name}", spec, self.key_buckets)
 
-    def _delete(self, path: str) -> None:
-        fs, hadoop_path = self._fs(path)
-        fs.delete(hadoop_path, True)
+    # -- reading ----------------------------------------------------------------
 
-    def _touch(self, path: str) -> None:
-        fs, hadoop_path = self._fs(path)
-        fs.create(hadoop_path, True).close()
+    def read(self, spec: TableSpec, days: Sequence[str] | None = None) -> DataFrame:
+        """The table with its fixed schema, or some of its day folders; columns newer than a file are NULL in it."""
+        return self._read(spec, self.versions(spec).current(), days)
 
-    def _discard(self, stage: str) -> None:
-        """Delete a staged copy, its marker first: a delete that dies half way must leave nothing to recover from."""
-        self._delete(f"{stage}/days/_SUCCESS")
-        self._delete(stage)
+    def _read(self, spec: TableSpec, record: Record, days: Sequence[str] | None = None) -> DataFrame:
+        parts = record.parts if days is None else {d: record.parts.get(d, []) for d in days}
+        return self.versions(spec).read(spec.stored_schema, parts)
 
-    # -- reading ----------------------------------------------------------------
-
-    def read(self, spec: TableSpec) -> DataFrame:
-        """The table with its fixed schema; columns newer than a file are NULL in it."""
-        if not self._exists(self.path(spec)):
-            return self.spark.createDataFrame([], spec.stored_schema)
-        return self.spark.read.schema(spec.stored_schema).parquet(self.path(spec))
+    def _rollups(self) -> list[TableSpec]:
+        """Those that have been made; a record says so, also where they have no rows."""
+        return [r for r in ROLLUPS if self.versions(r).current().of is not None]
 
     def tables(self, use_rollup: bool = True) -> Tables:
-        """All tables, with the stored roll-ups that there are, unless a write to the observations is unfinished."""
+        """All tables, with the stored roll-ups that are up to date with the observations."""
         specs = dict(TABLES)
-        staged = f"{self._stage(FACT_OBSERVATION)}/days/_SUCCESS"
-        if use_rollup and not self._exists(self._pending) and not self._exists(staged):
-            specs |= {r.name: r for r in ROLLUPS if self._exists(self.path(r))}
+        if use_rollup and (rollups := self._rollups()):
+            number = self.versions(FACT_OBSERVATION).current().number
+            specs |= {r.name: r for r in rollups if self.versions(r).current().of == number}
         return Tables(self.spark, {n: lambda spec=spec: self.read(spec) for n, spec in specs.items()})
 
     # -- plain writes -------------------------------------------------------------
@@ -134,41 +125,42 @@ class Store:
             return rows
         return rows.withColumn("day", day_bucket(F.col(spec.event_time)))
 
-    def _write(
-        self,
-        rows: DataFrame,
-        path: str,
-        mode: str,
-        days_only: bool = False,
-        gather: bool = True,
-        cluster: Sequence[str] = (),
-    ) -> None:
-        """Write by day where there is one; ``days_only`` leaves other days as they are."""
-        partitioned = "day" in rows.columns
-        if partitioned and gather:
-            # Gathers each day into few files and splits a day that is too large for one task.
-            rows = rows.hint("rebalance", "day").sortWithinPartitions("day", *cluster)
-        writer = rows.write.mode(mode)
-        writer = writer.option("partitionOverwriteMode", "dynamic" if days_only else "static")
-        if partitioned:
-            writer = writer.partitionBy("day")
-        writer.parquet(path)
-
     def append(self, spec: TableSpec, rows: DataFrame) -> None:
-        """Bulk append without looking at keys; missing columns become NULL."""
-        shaped = self._with_day(spec, schema_with_nulls(rows, spec.schema))
-        days = self._days(shaped) if self._rolled_up(spec) else None
-        with self._rollups_follow(spec, days):
-            self._write(shaped, self.path(spec), "append", cluster=spec.cluster)
+        """Bulk append without looking at keys; missing columns become NULL.
+
+        A day, or an undivided table, that has come to GATHER versions is gathered in one, so that many small appends
+        leave few files.
+        """
+        table = self.versions(spec)
+        base = table.current()
+        shaped = self._with_day(spec, schema_with_nulls(rows, spec.schema)).select(*spec.stored_schema.fieldNames())
+        version, filled = table.write(shaped, base.number + 1, spec.cluster)
+        changed = {p: [*base.parts.get(p, []), version] for p in filled}
+        if many := {p: v for p, v in changed.items() if len(v) > GATHER}:
+            gathered = table.read(spec.stored_schema, many)
+            gathered = gathered if table.by else gathered.hint("rebalance")
+            version, filled = table.write(gathered, base.number + 1, spec.cluster)
+            changed |= {p: [version] for p in filled}
+        keys = base.keys
+        if keys is not None:
+            new = table.read(spec.stored_schema, {p: [version_] for p, (*_, version_) in changed.items()})
+            keys = self._index(spec).added(keys, new.select(*spec.keys, _folder_of(F.col("day")).alias("part")), base.number + 1)
+        table.publish(base, changed, self._index(spec).files, keys=keys)
+        self._follow(spec)
 
     def truncate(self, spec: TableSpec) -> None:
         """Empty the table."""
-        with self._rollups_follow(spec):
-            self._write(self.spark.createDataFrame([], spec.stored_schema), self.path(spec), "overwrite")
+        table = self.versions(spec)
+        base = table.current()
+        table.publish(base, {p: [] for p in base.parts}, self._index(spec).files, keys=None)
+        self._follow(spec)
 
     def replace(self, spec: TableSpec, rows: DataFrame) -> None:
-        """Load a small reference table whole. ``rows`` must not read the table itself."""
-        rows.select(*spec.columns).write.mode("overwrite").parquet(self.path(spec))
+        """Load a small reference table whole."""
+        table = self.versions(spec)
+        base = table.current()
+        version, filled = table.write(rows.select(*spec.columns), base.number + 1)
+        table.publish(base, {p: [] for p in base.parts} | {p: [version] for p in filled})
 
     # -- upsert -------------------------------------------------------------------
 
@@ -189,9 +181,9 @@ class Store:
         spooled = self.spark.read.parquet(path)
         return Batch(spooled, spooled.count(), path)
 
-    def _days(self, rows: DataFrame) -> list[date | None]:
-        """Distinct days: one small value per partition, whatever the row count."""
-        return [r["day"] for r in rows.select("day").distinct().collect()]
+    def _days(self, rows: DataFrame) -> list[str]:
+        """Day folders of some rows: one small value per partition, whatever the row count."""
+        return [_folder(r["day"]) for r in rows.select("day").distinct().collect()]
 
     def upsert(
         self,
@@ -205,102 +197,64 @@ class Store:
         ``rows`` may carry ``_seq``, the order of arrival; without it the order
         is that of the plan. Returns the number of rows given.
 
-        A row whose event time moved to another day leaves its old partition.
-        Finding that partition reads the key column of the days outside the
-        batch. Pass ``key_may_move=False`` only when the source guarantees that
-        a key keeps its day.
+        A row whose event time moved to another day leaves its old partition, which the key index knows.
+        ``key_may_move=False`` spares reading the index; pass it only when the source guarantees that a key keeps
+        its day.
 
         ``skip_unchanged`` first leaves out rows that are stored as they are. A
         sync that re-reads weeks of data then rewrites only the days in which
         something changed.
         """
-        self.recover(spec)
         batch = self._spool(spec, rows)
         if batch.count:
             self._merge(spec, batch, key_may_move, skip_unchanged)
-        self._delete(batch.path)
+        self._files.delete(batch.path)
         return batch.count
 
     def _merge(self, spec: TableSpec, batch: Batch, key_may_move: bool, skip_unchanged: bool) -> None:
-        stored = self.read(spec)
-        latest = latest_by_key(batch.rows, spec.keys, ["_seq"]).select(*stored.columns)
+        base = self.versions(spec).current()
+        latest = latest_by_key(batch.rows, spec.keys, ["_seq"]).select(*spec.stored_schema.fieldNames())
         if not skip_unchanged:
-            # Distinct, so that copies of one key do not pile up on one side of a join.
-            keys = batch.rows.select(*spec.keys).distinct()
-            self._rewrite(spec, stored, latest, keys, self._days_of(spec, batch.rows), key_may_move)
+            self._rewrite(spec, base, latest, key_may_move)
             return
         path = scratch_dir(self.spark, f"changed-{spec.name}")
-        days = self._days_of(spec, batch.rows)
-        _without_equals(latest, _limited(stored, days), spec.keys).write.parquet(path)
-        changed = self.spark.read.schema(stored.schema).parquet(path)
+        days = None if spec.event_time is None else self._days(batch.rows)
+        _without_equals(latest, self._read(spec, base, days), spec.keys).write.parquet(path)
+        changed = self.spark.read.schema(spec.stored_schema).parquet(path)
         if not changed.isEmpty():
-            keys = changed.select(*spec.keys)
-            self._rewrite(spec, stored, changed, keys, self._days_of(spec, changed), key_may_move)
-        self._delete(path)
+            self._rewrite(spec, base, changed, key_may_move)
+        self._files.delete(path)
 
-    def _days_of(self, spec: TableSpec, rows: DataFrame) -> list[date | None] | None:
-        return None if spec.event_time is None else self._days(rows)
-
-    def _rewrite(
-        self,
-        spec: TableSpec,
-        stored: DataFrame,
-        latest: DataFrame,
-        keys: DataFrame,
-        days: list[date | None] | None,
-        key_may_move: bool,
-    ) -> None:
-        """Replace the stored rows of the keys by the latest ones, by way of the stage."""
-        on = list(spec.keys)
-        if days is not None and key_may_move and self._exists(self.path(spec)):
-            elsewhere = stored.where(~F.coalesce(_on_days(days), F.lit(False)))
-            days = days + self._days(elsewhere.select(*on, "day").join(keys, on, "left_semi"))
-        merged = _limited(stored, days).join(keys, on, "left_anti").unionByName(latest)
-        stage = self._stage(spec)
-        self._discard(stage)
-        self._write(merged, f"{stage}/rows", "overwrite", cluster=spec.cluster)
-        staged = self.spark.read.schema(spec.stored_schema).parquet(f"{stage}/rows")
-        self.spark.range(1, numPartitions=1).select(F.lit(staged.count()).alias("n")).write.parquet(f"{stage}/count")
-        # Written last: its marker says that the staged rows are complete.
-        self._day_record(days or []).write.parquet(f"{stage}/days")
-        self._publish(spec, days or [])
-
-    def _day_record(self, days: list[date | None]) -> DataFrame:
-        """The touched days as rows, one per partition folder; none for an unpartitioned table."""
-        if not days:
-            return self.spark.createDataFrame([], "day date")
-        listed = F.array(*(F.lit(d).cast("date") for d in days))
-        return self.spark.range(1, numPartitions=1).select(F.explode(listed).alias("day"))
-
-    def _publish(self, spec: TableSpec, days: list[date | None]) -> None:
-        stage = self._stage(spec)
-        staged = self.spark.read.schema(spec.stored_schema).parquet(f"{stage}/rows")
-        expected = self.spark.read.schema("n bigint").parquet(f"{stage}/count").first()["n"]
-        if (found := staged.count()) != expected:
-            raise RuntimeError(f"{stage} has {found} rows of {expected}; the table is left as it is")
-        by_day = spec.event_time is not None
-        with self._rollups_follow(spec, days):
-            # A plain copy: the staged files are already gathered by day.
-            self._write(staged, self.path(spec), "overwrite", days_only=by_day, gather=False)
-            if by_day:
-                # Overwriting leaves alone a day that lost its last row.
-                filled = set(self._days(staged))
-                self._drop_days(spec, [d for d in days if d not in filled])
-        self._discard(stage)
-
-    def _drop_days(self, spec: TableSpec, days: Sequence[date | None]) -> None:
-        for d in days:
-            value = "__HIVE_DEFAULT_PARTITION__" if d is None else d.isoformat()
-            self._delete(f"{self.path(spec)}/day={value}")
+    def _rewrite(self, spec: TableSpec, base: Record, latest: DataFrame, key_may_move: bool) -> None:
+        """Replace the stored rows of the keys of `latest`, which has one row a key."""
+        table, keys, on = self.versions(spec), base.keys, list(spec.keys)
+        if spec.event_time is None:
+            touched = list(base.parts)
+        else:
+            touched, number, index = self._days(latest), base.number + 1, self._index(spec)
+            parts = latest.select(*on, _folder_of(F.col("day")).alias("part"))
+            if keys is None and key_may_move:
+                # The first upsert: once, the keys of all days.
+                stored = self._read(spec, base).select(*on, _folder_of(F.col("day")).alias("part"))
+                keys = index.added({}, stored, base.number) if base.parts else {}
+            if key_may_move:
+                keys, left = index.moved(keys, parts, number)
+                touched = sorted({*touched, *left})
+            elif keys is not None:
+                keys = index.added(keys, parts, number, reset=True)
+        stored = self._read(spec, base, touched)
+        merged = stored.join(latest.select(*on), on, "left_anti").unionByName(latest) if base.parts else latest
+        version, filled = table.write(merged, base.number + 1, spec.cluster)
+        changed = {p: [version] if p in filled else [] for p in {*touched, *filled}}
+        table.publish(base, changed, self._index(spec).files, keys=keys)
+        self._follow(spec)
 
     def recover(self, spec: TableSpec) -> bool:
-        """Finish an interrupted upsert; true if there was one."""
-        record = f"{self._stage(spec)}/days"
-        if not self._exists(f"{record}/_SUCCESS"):
-            return False
-        days = [r["day"] for r in self.spark.read.schema("day date").parquet(record).collect()]
-        self._publish(spec, days)
-        return True
+        """Delete what runs that died have left behind; true if there was anything. Answers never depend on it."""
+        table = self.versions(spec)
+        records = table.records()
+        left = table.vacuum([r.parts for r in records])
+        return left + self._index(spec).files.vacuum([r.keys or {} for r in records]) > 0
 
     # -- the tables -----------------------------------------------------------------
 
@@ -313,13 +267,12 @@ class Store:
     ) -> int:
         """Upsert observations, register their users and note the time of the sync."""
         spec = FACT_OBSERVATION
-        self.recover(spec)
         batch = self._spool(spec, rows)
         if batch.count:
             self._merge(spec, batch, key_may_move, skip_unchanged)
             self.register_users(batch.rows)
             self.mark_synced(as_of)
-        self._delete(batch.path)
+        self._files.delete(batch.path)
         return batch.count
 
     def upsert_scores(self, rows: DataFrame, skip_unchanged: bool = False) -> int:
@@ -355,37 +308,27 @@ class Store:
 
     # -- stored roll-ups ----------------------------------------------------------------
 
-    @property
-    def _pending(self) -> str:
-        """Its presence says that roll-ups may lag behind the observations."""
-        return f"{self.root}/_staged/rollups-pending"
-
-    def _rolled_up(self, spec: TableSpec) -> bool:
-        return spec.name == FACT_OBSERVATION.name and any(self._exists(self.path(r)) for r in ROLLUPS)
-
-    @contextmanager
-    def _rollups_follow(self, spec: TableSpec, days: Sequence[date | None] | None = None) -> Iterator[None]:
-        """Refresh the roll-ups that there are after a write to some days of the observations, or all of them."""
-        if not self._rolled_up(spec):
-            yield
+    def _follow(self, spec: TableSpec) -> None:
+        """Bring the roll-ups that there are up to date with the newest record of the observations."""
+        if spec.name != FACT_OBSERVATION.name:
             return
-        if self._exists(self._pending):
-            days = None  # an earlier write died; which days it touched is not known
-        self._touch(self._pending)
-        yield
-        if self._exists(self.path(USAGE_DAILY)):
-            self.refresh_usage_daily(days)
-        if self._exists(self.path(USAGE_HOURLY)):
-            self.refresh_usage_hourly(days)
-        self._delete(self._pending)
-
-    def refresh_usage_daily(self, days: Sequence[date | None] | None = None) -> None:
-        """Recompute the daily roll-up for some days, or for all of them. From the first time on it is kept current."""
+        facts = self.versions(spec)
+        now = facts.current()
+        for rollup in self._rollups():
+            then = facts.record(self.versions(rollup).current().of)
+            days = None if then is None else differing(then.parts, now.parts)
+            if rollup is USAGE_DAILY:
+                self.refresh_usage_daily(days)
+            else:
+                self.refresh_usage_hourly(days)
+
+    def refresh_usage_daily(self, days: Sequence[str] | None = None) -> None:
+        """Recompute the daily roll-up for some day folders, or for all. From the first time on it is kept current."""
         from tokenledger.plans.marts import usage_daily
 
         self._refresh(USAGE_DAILY, usage_daily, [*USAGE_DAILY.columns[1:], "day"], days)
 
-    def refresh_usage_hourly(self, days: Sequence[date | None] | None = None) -> None:
+    def refresh_usage_hourly(self, days: Sequence[str] | None = None) -> None:
         """The same for usage by hour and project; rows without a start time are an hour of their own."""
         from tokenledger.plans.marts import hourly_usage_of
 
@@ -394,12 +337,17 @@ class Store:
 
         self._refresh(USAGE_HOURLY, with_day, [*USAGE_HOURLY.columns, "day"], days)
 
-    def _refresh(self, spec: TableSpec, usage, columns: Sequence[str], days: Sequence[date | None] | None) -> None:
-        facts = _limited(self.read(FACT_OBSERVATION), days)
-        self._write(usage(facts).select(*columns), self.path(spec), "overwrite", days_only=days is not None)
-        if days is not None:
-            kept = set(self._days(facts))
-            self._drop_days(spec, [d for d in days if d not in kept])
+    def _refresh(self, spec: TableSpec, usage, columns: Sequence[str], days: Sequence[str] | None) -> None:
+        facts = self.versions(FACT_OBSERVATION).current()
+        table = self.versions(spec)
+        base = table.current()
+        dropped = {p: [] for p in (base.parts if days is None else days)}
+        filled = {}
+        if facts.parts and (days is None or days):
+            rows = usage(self._read(FACT_OBSERVATION, facts, days)).select(*columns)
+            version, parts = table.write(rows, base.number + 1, gather=False)
+            filled = {p: [version] for p in parts}
+        table.publish(base, dropped | filled, of=facts.number)
 
 
 def schema_with_nulls(rows: DataFrame, schema: T.StructType) -> DataFrame:

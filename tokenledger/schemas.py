@@ -224,6 +224,13 @@ USAGE_HOURLY = TableSpec(
     "hour",
 )
 
+# Landed files that syncs have seen, with the event times they hold.
+LANDED_FILE = TableSpec(
+    "landed_file",
+    struct_of(file="text", length="bigint", modified="ts", least="ts", greatest="ts", rows="bigint"),
+    ("file", "length", "modified"),
+)
+
 TABLES: dict[str, TableSpec] = {
     spec.name: spec
     for spec in (

@@ -8,12 +8,11 @@ keeps the raw field names, adds ``project`` (NULL without such folders) and
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.readwriter import DataFrameReader
 
 from tokenledger.functions.scalars import blank_to_null, days_before, iso_timestamp, utc
 from tokenledger.schemas import (
@@ -25,11 +24,11 @@ from tokenledger.schemas import (
     RAW_TRACE,
 )
 from tokenledger.session import pin_utc
+from tokenledger.sources.seen_files import SeenFiles
 
 # Fixed value: the window that syncs re-read by default.
 LOOKBACK_DAYS = 30
-#: How far the clocks of the writers of files and of events may lie apart.
-CLOCK_SLACK = timedelta(days=1)
+ARRIVAL = "struct<position:struct<file_time:timestamp,file:string,block:bigint>,line:bigint>"
 
 
 def file_position() -> Column:
@@ -50,20 +49,27 @@ def with_project_folder(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("project", T.StringType())])
 
 
+Window = tuple[datetime, datetime]
+
+
 def _scan(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType,
-    window: tuple[datetime, datetime] | None = None,
+    spark: SparkSession, path: str, schema: T.StructType, time: str, window: Window | None, seen: SeenFiles | None
 ) -> DataFrame:
-    """Rows of landed files. With a window, files last written to before it are not
-    opened: an event cannot be in a file that is older than the event."""
-    reader: DataFrameReader = pin_utc(spark).read
-    if window is not None:
-        oldest = window[0] - CLOCK_SLACK
-        reader = reader.option("modifiedAfter", oldest.strftime("%Y-%m-%dT%H:%M:%S"))
-    rows = reader.schema(with_project_folder(schema)).json(path)
-    return rows.select("*", arrival_order(file_position()).alias("_seq"))
+    """Rows of landed files, of the window if there is one.
+
+    With a ledger of seen files, those that hold no event of the window are not opened; without one all files are.
+    """
+    reader = pin_utc(spark).read.schema(with_project_folder(schema))
+    if window is None or seen is None:
+        rows = reader.json(path)
+    else:
+        paths = seen.to_open(path, schema[time], iso_timestamp, window)
+        if not paths:
+            empty = T.StructType([*with_project_folder(schema).fields, T.StructField("_seq", T._parse_datatype_string(ARRIVAL))])
+            return spark.createDataFrame([], empty)
+        rows = reader.option("basePath", path).json(paths)
+    rows = rows.select("*", arrival_order(file_position()).alias("_seq"))
+    return in_window(rows, iso_timestamp(F.col(time)), window)
 
 
 def lookback(as_of: datetime | None = None, days: int = LOOKBACK_DAYS) -> tuple[datetime, datetime]:
@@ -82,27 +88,26 @@ def in_window(
 
 
 def read_observations(
-    spark: SparkSession, path: str, window: tuple[datetime, datetime] | None = None
+    spark: SparkSession, path: str, window: Window | None = None, seen: SeenFiles | None = None
 ) -> DataFrame:
     """Landed observations. There is no row limit and no paging."""
-    rows = _scan(spark, path, RAW_OBSERVATION, window)
-    return in_window(rows, iso_timestamp(F.col("startTime")), window)
+    return _scan(spark, path, RAW_OBSERVATION, "startTime", window, seen)
 
 
 def read_scores(
-    spark: SparkSession, path: str, window: tuple[datetime, datetime] | None = None
+    spark: SparkSession, path: str, window: Window | None = None, seen: SeenFiles | None = None
 ) -> DataFrame:
     """Landed scores, flat or with a nested subject."""
-    return in_window(_scan(spark, path, RAW_SCORE, window), iso_timestamp(F.col("timestamp")), window)
+    return _scan(spark, path, RAW_SCORE, "timestamp", window, seen)
 
 
 def read_traces(
-    spark: SparkSession, path: str, window: tuple[datetime, datetime] | None = None
+    spark: SparkSession, path: str, window: Window | None = None, seen: SeenFiles | None = None
 ) -> DataFrame:
     """Landed traces. The window is on the trace's own time, so give it a wider
     one than observations get: an older trace cannot enrich a newer observation
     it was not read with."""
-    return in_window(_scan(spark, path, RAW_TRACE, window), iso_timestamp(F.col("timestamp")), window)
+    return _scan(spark, path, RAW_TRACE, "timestamp", window, seen)
 
 
 def _renamed(rows: DataFrame, schema: T.StructType, columns: Mapping[str, Column]) -> DataFrame:
@@ -111,14 +116,13 @@ def _renamed(rows: DataFrame, schema: T.StructType, columns: Mapping[str, Column
 
 
 def read_store_observations(
-    spark: SparkSession, path: str, window: tuple[datetime, datetime] | None = None
+    spark: SparkSession, path: str, window: Window | None = None, seen: SeenFiles | None = None
 ) -> DataFrame:
     """Observation rows exported from a trace store, in the raw observation shape.
 
     User, session and tags live on the trace there and come from enrichment.
     """
-    rows = _scan(spark, path, RAW_STORE_OBSERVATION, window)
-    return store_observations(in_window(rows, iso_timestamp(F.col("start_time")), window))
+    return store_observations(_scan(spark, path, RAW_STORE_OBSERVATION, "start_time", window, seen))
 
 
 def store_observations(rows: DataFrame) -> DataFrame:
@@ -149,12 +153,10 @@ def store_observations(rows: DataFrame) -> DataFrame:
 
 
 def read_store_scores(
-    spark: SparkSession, path: str, window: tuple[datetime, datetime] | None = None
+    spark: SparkSession, path: str, window: Window | None = None, seen: SeenFiles | None = None
 ) -> DataFrame:
     """Score rows exported from a trace store, in the raw score shape."""
-    rows = in_window(
-        _scan(spark, path, RAW_STORE_SCORE, window), iso_timestamp(F.col("timestamp")), window
-    )
+    rows = _scan(spark, path, RAW_STORE_SCORE, "timestamp", window, seen)
     columns = {
         "id": F.col("id"),
         "traceId": F.col("trace_id"),
@@ -167,12 +169,10 @@ def read_store_scores(
 
 
 def read_store_traces(
-    spark: SparkSession, path: str, window: tuple[datetime, datetime] | None = None
+    spark: SparkSession, path: str, window: Window | None = None, seen: SeenFiles | None = None
 ) -> DataFrame:
     """Trace rows exported from a trace store, in the raw trace shape."""
-    rows = in_window(
-        _scan(spark, path, RAW_STORE_TRACE, window), iso_timestamp(F.col("timestamp")), window
-    )
+    rows = _scan(spark, path, RAW_STORE_TRACE, "timestamp", window, seen)
     columns = {
         "userId": F.col("user_id"),
         "sessionId": F.col("session_id"),

@@ -28,6 +28,7 @@ from tokenledger.sources.landing import (
     read_store_scores,
     read_store_traces,
 )
+from tokenledger.sources.seen_files import SeenFiles
 from tokenledger.sources.session_logs import LOG_NAME, read_session_events
 
 
@@ -40,9 +41,9 @@ def sync_landing(
     days: int = LOOKBACK_DAYS,
 ) -> tuple[int, int]:
     """Observations and scores of the lookback window from ``<landing>/observations`` and ``/scores``."""
-    window = lookback(as_of, days)
-    observations = named(read_observations(spark, f"{landing}/observations", window), projects)
-    scores = named(read_scores(spark, f"{landing}/scores", window), projects)
+    window, seen = lookback(as_of, days), SeenFiles(store)
+    observations = named(read_observations(spark, f"{landing}/observations", window, seen), projects)
+    scores = named(read_scores(spark, f"{landing}/scores", window, seen), projects)
     return (
         store.upsert_observations(normalize_observations(observations), as_of, skip_unchanged=True),
         store.upsert_scores(normalize_scores(scores), skip_unchanged=True),
@@ -61,12 +62,12 @@ def sync_trace_store(
 
     ``trace_days`` reads traces over a wider window than observations.
     """
-    window = lookback(as_of, days)
-    traces = read_store_traces(spark, f"{landing}/traces", lookback(as_of, trace_days or days))
+    window, seen = lookback(as_of, days), SeenFiles(store)
+    traces = read_store_traces(spark, f"{landing}/traces", lookback(as_of, trace_days or days), seen)
     observations = enrich_from_traces(
-        read_store_observations(spark, f"{landing}/observations", window), traces
+        read_store_observations(spark, f"{landing}/observations", window, seen), traces
     )
-    scores = read_store_scores(spark, f"{landing}/scores", window)
+    scores = read_store_scores(spark, f"{landing}/scores", window, seen)
     return (
         store.upsert_observations(normalize_observations(observations), as_of, skip_unchanged=True),
         store.upsert_scores(normalize_scores(scores), skip_unchanged=True),
