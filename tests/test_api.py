@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 """The whole API on the smallest tables, down to JSON."""
 
 import json
@@ -24,3 +27,13 @@ def test_answers_are_json(spark, question):
         rows = [json.loads(r["json"]) for r in json_lines(part).collect()]
         assert rows or name in MAY_BE_EMPTY
         assert all(set(row) == set(part.columns) for row in rows)
+
+
+@pytest.mark.parametrize("missing", ["corpus_pipeline", "tokenledger.llm", "tokenledger.llm.registry", "zstandard", "xxhash"])
+def test_the_entry_works_without_the_operators(missing):
+    """In a fresh process in which one of the modules cannot be imported."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), sorted(n for n in q if n[:2] == 'op'))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split(" ", 1)
+    assert int(out[0]) > 100
+    if missing.startswith("tokenledger"):
+        assert out[1].strip() == "[]"

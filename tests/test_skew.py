@@ -1,3 +1,5 @@
+import re
+
 """Hot keys: a third of the rows on one key, joins forced to shuffle, results against plain loops."""
 
 import pytest
@@ -80,7 +82,13 @@ def test_outcomes_of_one_hot_trace(shuffled):
         )
 
     tables = Tables(shuffled, {"fact_observation": shaped(facts, FACT_OBSERVATION), "fact_score": shaped(scores, FACT_SCORE)})
-    got = {r["trace_id"]: (r["cost"], r["best_score"]) for r in kpis.kpi_trace_outcomes(tables).collect()}
+    outcomes = kpis.kpi_trace_outcomes(tables)
+    got = {r["trace_id"]: (r["cost"], r["best_score"]) for r in outcomes.collect()}
+    # Facts and scores are summed in their tasks before they cross, and nothing crosses again for the join.
+    plan = outcomes._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    lines = [line.strip(" :+-") for line in plan.splitlines()]
+    below = [lines[i + 1] for i, line in enumerate(lines) if line.startswith("Exchange hashpartitioning(trace_id")]
+    assert len(below) == 2 and all(re.match(r"(Sort|Hash)Aggregate\(keys=\[trace_id#\d+L?\], functions=\[partial_", x) for x in below), plan
     cost, best = {}, {}
     for k in range(n):
         if trace_of(k) is not None:

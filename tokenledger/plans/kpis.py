@@ -436,20 +436,15 @@ def kpi_targets(tables: Tables, as_of: datetime | None = None) -> DataFrame:
 def _trace_outcomes(tables: Tables, score_name: str | None) -> DataFrame:
     """Cost and best score per scored trace, money still decimal.
 
-    Both sides are aggregated on ``trace_id`` before the join, so the join finds
-    them already partitioned and a hot trace is one row on either side. Facts of
-    traces without a score, mostly nearly all, drop out before they are summed.
+    Both sides are summed on ``trace_id`` before anything is joined: each task sums its own facts first, so a hot trace
+    crosses the shuffle as one row a task, and the join finds both sides partitioned by the trace already.
     """
-    scores = tables["fact_score"]
+    scores = tables["fact_score"].where(F.col("trace_id").isNotNull())
     if check_name(score_name):
         scores = scores.where(F.col("name") == score_name)
     best = scores.groupBy("trace_id").agg(F.max("value").alias("best_score"))
-    costs = (
-        tables["fact_observation"]
-        .join(best.select("trace_id"), "trace_id", "left_semi")
-        .groupBy("trace_id")
-        .agg(F.coalesce(F.sum("total_cost"), F.lit(0)).alias("cost"))
-    )
+    facts = tables["fact_observation"].where(F.col("trace_id").isNotNull())
+    costs = facts.groupBy("trace_id").agg(F.coalesce(F.sum("total_cost"), F.lit(0)).alias("cost"))
     return costs.join(best, "trace_id")
 
 
