@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 import pytest
 from tokenizers import Tokenizer
 
@@ -105,7 +106,7 @@ ROWS = [(5, "alpha beta"), (1, None), (2, ""), (5, "alpha beta"), (None, "gamma,
 
 
 def test_packing(spark, library):
-    got = pack(docs(spark, ROWS).withColumn("length", docs(spark, ROWS).n_chars), PATH, size=16, with_ids=True).collect()
+    got = pack(docs(spark, ROWS).withColumn("length", F.col("n_chars")), PATH, size=16, with_ids=True).collect()
     want = Counter()
     for doc_id, text in ROWS:
         ids = library.encode(text or "", add_special_tokens=False).ids + [1]

@@ -18,7 +18,7 @@ With `words`, passages of that many words are repeated too, however short the wo
 found as above; the few windows of so many words in fewer bytes are counted by the hash of their bytes.
 
 Every grouping that a hot passage can dominate is a count that is combined before it is shuffled, or a join with one row
-for each key on the other side, which adaptive execution splits. Texts cross the network compressed.
+for each key on the other side, in which the rows of heavy keys stay where they are (`lookup`). Texts cross the network compressed.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenledger.llm.common import packed, strings, table, written
+from tokenledger.llm.lookup import lookup
 
 LENGTH = 400
 ANCHOR = 32
@@ -143,15 +144,16 @@ def stretches(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)] if len(starts) else ends
 
 
-def _key(docs: DataFrame) -> tuple[Column, Column]:
-    """Columns by which rows are known. Rows that are equal have equal keys and fare alike; the mark is only
-    filled where doc_ids do not tell rows apart."""
+def _key(docs: DataFrame) -> tuple[list[Column], bool]:
+    """Columns by which rows are known, and whether several rows may have one key. Rows that are equal have equal keys and
+    fare alike; the mark is only filled where doc_ids do not tell rows apart."""
     kind = docs.schema["doc_id"].dataType
     whole = isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if whole else F.xxhash64("doc_id")
     unclear = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    mark = F.lit(0) if whole and unclear.isEmpty() else F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string"))
-    return own.cast("long").alias(KEY[0]), mark.cast("long").alias(KEY[1])
+    clear = whole and unclear.isEmpty()
+    mark = F.lit(0) if clear else F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string"))
+    return [own.cast("long").alias(KEY[0]), mark.cast("long").alias(KEY[1])], not clear
 
 
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
@@ -174,8 +176,8 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(find, ", ".join(f"{n} long" for n in names))
 
 
-def _kind_bytes(texts: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
-    """The bytes of one run of each kind: the key, first, anchor, alone, bytes."""
+def _kind_bytes(texts: DataFrame, kinds: DataFrame, length: int, repeated: bool) -> DataFrame:
+    """The bytes of one run of each kind: the key, first, anchor, alone, bytes; also where `repeated` keys have many rows."""
     wanted = kinds.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "anchor", "alone")).alias("runs"))
     names = [*KEY, "first", "anchor", "alone", "bytes"]
 
@@ -195,7 +197,8 @@ def _kind_bytes(texts: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], names=names)
 
     joined = packed(texts).join(wanted.hint("merge"), KEY)
-    return joined.mapInArrow(fetch, "__id long, __mark long, first long, anchor long, alone boolean, bytes binary")
+    found = joined.mapInArrow(fetch, "__id long, __mark long, first long, anchor long, alone boolean, bytes binary")
+    return found.dropDuplicates([*KEY, "first", "anchor"]) if repeated else found
 
 
 SPANS = "__id long, __mark long, start long, end long"
@@ -326,20 +329,22 @@ def _counted_words(texts: DataFrame, long: DataFrame, words: int, length: int) -
     return left.join(again.hint("merge"), "window", "left_semi").select(*KEY, "start", "end")
 
 
-def _spans(texts: DataFrame, length: int, kinds_in_task: int, words: int | None = None) -> DataFrame:
+def _spans(texts: DataFrame, length: int, kinds_in_task: int, repeated: bool, words: int | None = None) -> DataFrame:
     """The key and a list of repeated stretches (they may overlap) of the rows that have any."""
     anchors = written(_anchors(texts, length), "anchors")
     often = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"))
-    often = written(often.where("n > 1"), "often")  # as a table, so that the join below can be split at a hot anchor
-    met = written(anchors.join(often.selectExpr("anchor", "low <> high AS mixed").hint("merge"), "anchor"), "met")
+    often = written(often.where("n > 1"), "often")
+    mixture = often.selectExpr("anchor", "low <> high AS mixed")
+    met = written(lookup(anchors, mixture, ["anchor"], counts=often).select(*anchors.columns, "mixed"), "met")
     span = [*KEY, F.col("first").alias("start"), (F.col("last") + length).alias("end")]
     mixed_ = met.where("mixed")
     one = F.min(F.struct(*KEY, "first", "last")).alias("one")
     kinds = written(mixed_.groupBy("anchor", "kind").agg(F.count("*").alias("n"), one), "kinds")
     found = met.where("not mixed").select(*span)
-    found = found.union(mixed_.join(kinds.where("n > 1").select("anchor", "kind").hint("merge"), ["anchor", "kind"], "left_semi").select(*span))
+    twice = kinds.where("n > 1").select("anchor", "kind", "n")
+    found = found.union(lookup(mixed_, twice.drop("n"), ["anchor", "kind"], counts=twice).select(*span))
     sample = kinds.select("one.*", "anchor", (F.col("n") == 1).alias("alone"))
-    contents = written(_kind_bytes(texts, sample, length), "runs")
+    contents = written(_kind_bytes(texts, sample, length, repeated), "runs")
     sizes = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")), "sizes")
     few = contents.join(sizes.where(F.col("n") <= kinds_in_task).select("anchor").hint("merge"), "anchor", "left_semi")
     groups = few.groupBy("anchor").agg(F.collect_list(F.struct(*KEY, "first", "alone", "bytes")).alias("runs"))
@@ -360,9 +365,9 @@ def with_repeats(docs: DataFrame, length: int = LENGTH, kinds_in_task: int = KIN
     equal rows are two occurrences. Texts shorter than `length` have nothing repeated, unless they hold `words` words, and an
     empty table gives an empty one. Other columns may have any names that do not begin with two underscores.
     """
-    key = _key(docs)
+    key, repeated = _key(docs)
     texts = docs.select(*key, F.col("text").cast("string").alias("text"))
-    spans = _spans(texts, length, kinds_in_task, words)
+    spans = _spans(texts, length, kinds_in_task, repeated, words)
     rest = [F.col(c) for c in docs.columns if c != "text"]
     small = packed(docs.select(*key, F.col("text").cast("string").alias("text"), *rest))
     return small.join(spans.hint("merge"), KEY, "left").drop(*KEY)
@@ -420,17 +425,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = N
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
+    """The digests, and `text`, what is left of each document in whole characters."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(fields).fields])
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (len(raw), int((end - start).sum()), len(start), hashlib.sha256(kept(raw, start, end)).hexdigest())
-                for raw, start, end in cut(batch)
-            ]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            rows = []
+            for raw, start, end in cut(batch):
+                text = kept(raw, *whole_characters(raw, start, end)).decode("utf-8", "replace")
+                digest = hashlib.sha256(kept(raw, start, end)).hexdigest()
+                rows.append((len(raw), int((end - start).sum()), len(start), digest, text))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=schema.names)
 

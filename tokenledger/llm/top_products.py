@@ -9,7 +9,7 @@ A query is not its own candidate, but an equal row is. So one entry more than as
 the entry that looks like the query's own row (its id and its product with itself) goes, or else the last one.
 
 Components are whole numbers. They are multiplied as doubles if no sum can pass 2^53, as 64-bit integers if none can
-pass 2^63, and else as Python integers, so products are exact; scores outside 64 bits are reported as its ends.
+pass 2^63, and else as Python integers, so products are exact; a score outside 64 bits counts as the end that it passed.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def _largest(data: np.ndarray) -> int:
 
 
 def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """All inner products, exactly; components that one side lacks count as zero."""
+    """All inner products, exactly or as an end of 64 bits; components that one side lacks count as zero."""
     width = min(queries.shape[1], rows.shape[1])
     queries, rows = queries[:, :width], rows[:, :width]
     bound = width * _largest(queries) * _largest(rows)
@@ -104,7 +104,7 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     if bound < 1 << 63:
         return queries.astype(np.int64) @ rows.T.astype(np.int64)
     whole = [[[int(x) for x in row] for row in side.tolist()] for side in (queries, rows)]
-    return np.array([[sum(map(int.__mul__, q, r)) for r in whole[1]] for q in whole[0]], object)
+    return np.array([[min(HIGH, max(LOW, sum(map(int.__mul__, q, r)))) for r in whole[1]] for q in whole[0]], np.int64)
 
 
 def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,11 +114,11 @@ def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         row, column = np.divmod(np.arange(scores.size), n)
         return row, column
     bits = (n - 1).bit_length()
-    if scores.dtype != object and max(abs(int(scores.max())), abs(int(scores.min()))) < 1 << (62 - bits):
+    if max(abs(int(scores.max())), abs(int(scores.min()))) < 1 << (62 - bits):
         ranked = (scores << bits) + (n - 1 - np.arange(n))
         column = np.argpartition(ranked, n - k, axis=1)[:, n - k :]
         return np.repeat(np.arange(len(scores)), k), column.ravel()
-    order = np.argsort(-scores, axis=1, kind="stable")[:, :k] if scores.dtype == object else np.argsort(~scores, axis=1, kind="stable")[:, :k]
+    order = np.argsort(~scores, axis=1, kind="stable")[:, :k]
     return np.repeat(np.arange(len(scores)), k), order.ravel()
 
 
@@ -150,18 +150,14 @@ def _tiles(queries: DataFrame, shards: DataFrame, k: int) -> DataFrame:
                             own_.append(more)
                     query, column, score = (np.concatenate(x) for x in found)
                     if len(rows) > BLOCK_ROWS:  # the lists of the blocks to one for the tile
-                        score_order = [-int(x) for x in score] if score.dtype == object else ~score
-                        order = np.lexsort((column, score_order, query)) if score.dtype != object else np.array(
-                            sorted(range(len(query)), key=lambda i: (query[i], score_order[i], column[i]))
-                        )
+                        order = np.lexsort((column, ~score, query))
                         rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
                         order = order[rank < k]
                         query, column, score = query[order], column[order], score[order]
-                    clipped = np.array([min(HIGH, max(LOW, int(x))) for x in score], np.int64) if score.dtype == object else score
                     self_ = np.array([min(HIGH, x) for x in selves], np.int64)[query]
                     arrays = [pa.array(own[at:][query]), pa.array(query_ids[at:][query]), pa.array(self_)]
                     arrays += [pa.array(np.full(len(query), cells["shard"])), pa.array(ids[column], mask=nulls[column] == 1)]
-                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(clipped)], names=out)
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(score)], names=out)
 
     pairs = right.join(left.hint("merge"), "bucket").drop("bucket")
     return pairs.mapInArrow(multiply, ", ".join(f"{n} long" for n in out))
