@@ -1,9 +1,8 @@
-import subprocess
-import sys
-
 """The whole API on the smallest tables, down to JSON."""
 
 import json
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import DataFrame
