@@ -20,7 +20,16 @@ from tokenledger.operators.session_calls import price_calls, session_calls, sess
 from tokenledger.operators.store import Store, schema_with_nulls
 from tokenledger.plans.marts import mrt_daily_usage, mrt_hourly_usage
 from tokenledger.reference_data import default_model_prices
-from tokenledger.schemas import DIM_USER, FACT_OBSERVATION, FACT_SCORE, MONEY
+from tokenledger.schemas import (
+    DIM_POLICY,
+    DIM_USER,
+    FACT_GOVERNANCE,
+    FACT_GOVERNANCE_DIVERGENCE,
+    FACT_OBSERVATION,
+    FACT_SCORE,
+    MONEY,
+    RAW_SCORE,
+)
 from tokenledger.session import scratch_dir
 from tokenledger.sources.governance import accepted, read_governance_documents
 from tokenledger.sources.landing import (
@@ -30,16 +39,20 @@ from tokenledger.sources.landing import (
     read_observations,
     read_scores,
     read_store_observations,
+    read_store_scores,
     read_store_traces,
 )
+from tokenledger.sources.seen_files import SeenFiles
 from tokenledger.sources.session_logs import read_session_events
-from tokenledger.streaming.jobs import start_observation_sync
+from tokenledger.streaming.jobs import start_observation_sync, start_score_sync
+from tokenledger.streaming.syncs import sync_governance, sync_session_logs
 from tokenledger.workload.landed import (
     land_governance,
     land_observations,
     land_scores,
     land_session_logs,
     land_store_export,
+    land_store_scores,
 )
 from tokenledger.workload.projections import (
     AS_OF,
@@ -124,6 +137,23 @@ def ingest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_scores(read_scores(spark, land_scores(spark, sf_dir))).drop("_seq")
 
 
+@query(
+    "ingest_store_scores",
+    f"""
+SELECT 'sc-' || event_id AS score_id, trace_id, CASE WHEN event_id % 4 = 1 THEN 'ev-' || event_id END AS observation_id,
+       'src-' || (user_id % 3) AS project_id, CAST(NULL AS VARCHAR) AS project_name, name, value, source,
+       strftime(timestamp, {STAMP}) AS timestamp
+FROM (SELECT ev.event_id, ev.user_id, s.* FROM ev JOIN raw_score s ON s.score_id = 'sc-' || ev.event_id)
+WHERE timestamp >= TIMESTAMP '2024-01-14 12:00:00' AND timestamp < TIMESTAMP '2024-01-28 12:00:00'""",
+)
+def ingest_store_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice through a ledger of files; the second scan only lists them."""
+    path = land_store_scores(spark, sf_dir)
+    seen = SeenFiles(Store(spark, scratch_dir(spark, "store")))
+    read_store_scores(spark, path, lookback(AS_OF, 14), seen)
+    return normalize_scores(read_store_scores(spark, path, lookback(AS_OF, 14), seen)).drop("_seq")
+
+
 CTE["store_raw"] = """
 SELECT * REPLACE (CASE WHEN event_id % 11 = 0 THEN '' ELSE trace_id END AS trace_id, folder AS project_id,
          CASE WHEN event_id % 3 <> 0 THEN model WHEN event_id % 6 <> 0 THEN 'internal-' || model ELSE '' END AS model)
@@ -397,6 +427,100 @@ def upsert_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(FACT_SCORE).select("score_id", "trace_id", "name", "value")
 
 
+@query(
+    "upsert_policies",
+    """
+SELECT 'rule-' || s_suppkey AS rule_key, CASE WHEN s_suppkey % 2 = 0 THEN 'moved' ELSE project_id END AS project_id,
+       CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 2 = 0 THEN 'ratified' ELSE 'proposed' END AS status FROM doc""",
+)
+def upsert_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule key alone is the key: a rule that comes back from another project replaces the first."""
+    store = Store(spark, scratch_dir(spark, "store"))
+    policies = governance_policies(_documents(spark, sf_dir)).drop("_seq")
+    store.upsert_policies(policies)
+    even = policies.where(F.substring("rule_key", 6, 20).cast("bigint") % 2 == 0)
+    store.upsert_policies(even.withColumn("project_id", F.lit("moved")).withColumn("status", F.lit("ratified")))
+    return store.read(DIM_POLICY).select("rule_key", "project_id", "status")
+
+
+@query(
+    "upsert_governance",
+    f"""
+SELECT project_id || ':2024-01-' || lpad(CAST(doc % 28 + 1 AS VARCHAR), 2, '0') || 'T12:00:00+00:00' AS snapshot_id,
+       CASE WHEN doc % 2 = 0 THEN '2024-02-01' ELSE '2024-01-' || lpad(CAST(doc % 28 + 1 AS VARCHAR), 2, '0') END AS day,
+       doc + 4 + CASE WHEN doc % 2 = 0 THEN 100 ELSE 0 END AS proposals_total
+FROM (SELECT DISTINCT doc, project_id FROM doc WHERE project_id <> '(unknown)')""",
+)
+def upsert_governance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots that are sent again are replaced, their time of export too."""
+    store = Store(spark, scratch_dir(spark, "store"))
+    snapshots = governance_snapshots(_documents(spark, sf_dir), AS_OF).drop("_seq").where("project_id <> '(unknown)'")
+    store.upsert_governance(snapshots)
+    again = snapshots.where("proposals_total % 2 = 0").withColumn("proposals_total", F.col("proposals_total") + 100)
+    store.upsert_governance(again.withColumn("exported_at", F.lit("2024-02-01 00:00:00").cast("timestamp")))
+    day = F.to_date("exported_at").alias("day")
+    return store.read(FACT_GOVERNANCE).select("snapshot_id", day, "proposals_total")
+
+
+@query(
+    "upsert_divergence",
+    """
+SELECT project_id, 'model-' || s_nationkey AS model, s_name AS task_key,
+       CASE WHEN s_nationkey % 2 = 0 THEN 99 ELSE s_suppkey % 4 END AS divergent_traces, s_suppkey + 5 AS total_traces FROM doc""",
+)
+def upsert_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, scratch_dir(spark, "store"))
+    rows = governance_divergence(_documents(spark, sf_dir)).drop("_seq")
+    store.upsert_governance_divergence(rows)
+    even = rows.where(F.substring("model", 7, 20).cast("bigint") % 2 == 0)
+    store.upsert_governance_divergence(even.withColumn("divergent_traces", F.lit(99).cast("bigint")))
+    columns = ["project_id", "model", "task_key", "divergent_traces", "total_traces"]
+    return store.read(FACT_GOVERNANCE_DIVERGENCE).select(*columns)
+
+
+@query(
+    "truncate_and_append",
+    """
+SELECT observation_id, strftime(start_time, '%Y-%m-%d') AS day, user_id
+FROM (SELECT CAST(replace(observation_id, 'ev-', '') AS BIGINT) AS event_id, * FROM fact) WHERE event_id % 2 = 0""",
+)
+def truncate_and_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All observations, then none, then those with even numbers."""
+    store = Store(spark, scratch_dir(spark, "store"))
+    facts = event_observations(spark, sf_dir)
+    store.append(FACT_OBSERVATION, facts)
+    store.truncate(FACT_OBSERVATION)
+    store.append(FACT_OBSERVATION, facts.where(F.substring("observation_id", 4, 20).cast("bigint") % 2 == 0))
+    return store.read(FACT_OBSERVATION).select("observation_id", "day", "user_id")
+
+
+@query("sync_session_logs", QUESTIONS["ingest_session_logs"])
+def synced_session_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs through the batch sync, twice; the second run finds every call stored as it is."""
+    root = land_session_logs(spark, sf_dir)
+    store = Store(spark, scratch_dir(spark, "store"))
+    for _ in range(2):
+        sync_session_logs(spark, root, store, "part-*", as_of=AS_OF)
+    return store.read(FACT_OBSERVATION).drop("day")
+
+
+@query(
+    "sync_governance",
+    """
+SELECT 'rule-' || s_suppkey AS rule_key, project_id, CASE WHEN s_suppkey % 3 = 0 THEN 'ratified' ELSE 'proposed' END AS status,
+       'model-' || s_nationkey AS model, s_suppkey % 4 AS divergent_traces FROM doc""",
+)
+def synced_governance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through the batch sync, twice: policies beside the divergence rows of their task."""
+    folder = f"{land_governance(spark, sf_dir)}/*/"
+    store = Store(spark, scratch_dir(spark, "store"))
+    for _ in range(2):
+        sync_governance(spark, folder, store, AS_OF)
+    policies = store.read(DIM_POLICY).select("rule_key", "project_id", "status", F.col("operator").alias("task_key"))
+    rows = store.read(FACT_GOVERNANCE_DIVERGENCE).select("task_key", "model", "divergent_traces")
+    return policies.join(rows, "task_key").drop("task_key")
+
+
 @query(
     "register_users",
     """
@@ -462,6 +586,24 @@ def stream_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(FACT_OBSERVATION).drop("day")
 
 
+@query(
+    "stream_late_scores",
+    """
+SELECT score_id, trace_id, name, CASE WHEN CAST(replace(score_id, 'sc-', '') AS BIGINT) % 3 = 0 THEN 0.5 ELSE value END::DOUBLE AS value
+FROM raw_score""",
+)
+def stream_late_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores through the stream; every third comes again later, in a new file, and replaces the first."""
+    landing = land_scores(spark, sf_dir)
+    store = Store(spark, scratch_dir(spark, "store"))
+    checkpoint = scratch_dir(spark, "stream")
+    start_score_sync(spark, landing, store, checkpoint, available_now=True).awaitTermination()
+    late = spark.read.schema(RAW_SCORE).json(landing).where(F.substring("id", 4, 20).cast("bigint") % 3 == 0)
+    late.withColumn("value", F.lit("0.5")).write.mode("append").json(landing)
+    start_score_sync(spark, landing, store, checkpoint, available_now=True).awaitTermination()
+    return store.read(FACT_SCORE).select("score_id", "trace_id", "name", "value")
+
+
 @query(
     "stream_hourly_usage",
     f"""

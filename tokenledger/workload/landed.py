@@ -107,6 +107,23 @@ def land_scores(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def land_store_scores(spark: SparkSession, sf_dir: str) -> str:
+    """Scores as a trace store exports them: flat, in snake case."""
+    path = scratch_dir(spark, "landed-store-scores")
+    _columns(
+        with_k(table(spark, sf_dir, "events")),
+        id="concat('sc-', event_id)",
+        trace_id=EVENT_OBSERVATION["trace_id"],
+        observation_id="CASE WHEN event_id % 4 = 1 THEN concat('ev-', event_id) WHEN event_id % 4 = 3 THEN '' END",
+        project_id="concat('src-', user_id % 3)",
+        name="CASE event_id % 2 WHEN 0 THEN 'correctness' ELSE 'helpfulness' END",
+        value="CASE WHEN k = 13 THEN NULL ELSE k / 100.0D END",
+        source="'API'",
+        timestamp=F.date_format("ts", ISO),
+    ).write.json(path)
+    return path
+
+
 def land_store_export(spark: SparkSession, sf_dir: str) -> str:
     """A trace-store export: observations in snake case, and their traces.
 
