@@ -49,6 +49,11 @@ class KeyIndex:
         live = F.filter("all", lambda e: F.col("since").isNull() | (e["seq"] >= F.col("since")))
         return seen.select(*self.keys, F.array_distinct(F.transform(live, lambda e: e["part"])).alias("parts"))
 
+    def holding(self, versions: Parts, rows: DataFrame) -> list[str]:
+        """The parts that may hold rows of the keys of `rows`: at most as many values as the table has parts."""
+        entries = self.entries(versions, self.touched(rows)).join(rows.select(*self.keys).distinct(), self.keys, "left_semi")
+        return [r[0] for r in self.where(entries).select(F.explode("parts")).distinct().collect()]
+
     def _shaped(self, rows: DataFrame, seq: int, reset: bool, before: Column) -> DataFrame:
         columns = [F.lit(seq).cast("long").alias("seq"), F.lit(reset).alias("reset"), before.cast("array<string>").alias("before")]
         return rows.select(*self.keys, "part", *columns, self.bucket().alias(BUCKET))

@@ -106,6 +106,12 @@ class Store:
         parts = record.parts if days is None else {d: record.parts.get(d, []) for d in days}
         return self.versions(spec).read(spec.stored_schema, parts)
 
+    def of_keys(self, spec: TableSpec, wanted: DataFrame) -> DataFrame:
+        """The stored rows of some keys. Where there is a key index, only days that may hold them are read."""
+        base = self.versions(spec).current()
+        days = None if base.keys is None else self._index(spec).holding(base.keys, wanted)
+        return self._read(spec, base, days).join(wanted.select(*spec.keys).distinct(), list(spec.keys), "left_semi")
+
     def _rollups(self) -> list[TableSpec]:
         """Those that have been made; a record says so, also where they have no rows."""
         return [r for r in ROLLUPS if self.versions(r).current().of is not None]
@@ -118,6 +124,10 @@ class Store:
             specs |= {r.name: r for r in rollups if self.versions(r).current().of == number}
         return Tables(self.spark, {n: lambda spec=spec: self.read(spec) for n, spec in specs.items()})
 
+    def delete(self, path: str) -> None:
+        """Delete a scratch folder."""
+        self._files.delete(path)
+
     # -- plain writes -------------------------------------------------------------
 
     def _with_day(self, spec: TableSpec, rows: DataFrame) -> DataFrame:

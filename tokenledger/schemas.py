@@ -225,6 +225,14 @@ USAGE_HOURLY = TableSpec(
 )
 
 # Landed files that syncs have seen, with the event times they hold.
+#: Traces as landed, the newest row of each, for streams to take context from.
+STORED_TRACE = TableSpec(
+    "stored_trace",
+    struct_of(id="text", userId="text", sessionId="text", environment="text", tags="text", timestamp="text", at="ts"),
+    ("id",),
+    event_time="at",
+    cluster=("id",),
+)
 LANDED_FILE = TableSpec(
     "landed_file",
     struct_of(file="text", length="bigint", modified="ts", least="ts", greatest="ts", rows="bigint"),

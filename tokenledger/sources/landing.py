@@ -172,7 +172,11 @@ def read_store_traces(
     spark: SparkSession, path: str, window: Window | None = None, seen: SeenFiles | None = None
 ) -> DataFrame:
     """Trace rows exported from a trace store, in the raw trace shape."""
-    rows = _scan(spark, path, RAW_STORE_TRACE, "timestamp", window, seen)
+    return store_traces(_scan(spark, path, RAW_STORE_TRACE, "timestamp", window, seen))
+
+
+def store_traces(rows: DataFrame) -> DataFrame:
+    """Exported traces in the raw trace shape, from a scan or a stream."""
     columns = {
         "userId": F.col("user_id"),
         "sessionId": F.col("session_id"),

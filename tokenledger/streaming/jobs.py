@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tokenledger.operators.enrich import enrich_from_traces
 from tokenledger.operators.governance_rows import (
     governance_divergence,
     governance_policies,
@@ -19,20 +18,22 @@ from tokenledger.operators.governance_rows import (
 )
 from tokenledger.operators.normalize import normalize_observations, normalize_scores
 from tokenledger.operators.store import Store
+from tokenledger.operators.trace_context import TraceContext
 from tokenledger.schemas import (
     GOVERNANCE_DOCUMENT,
     RAW_OBSERVATION,
     RAW_SCORE,
     RAW_STORE_OBSERVATION,
+    RAW_STORE_TRACE,
 )
-from tokenledger.session import pin_utc
+from tokenledger.session import pin_utc, scratch_dir
 from tokenledger.sources.governance import accepted
 from tokenledger.sources.landing import (
     arrival_order,
     file_position,
     named,
-    read_store_traces,
     store_observations,
+    store_traces,
     with_project_folder,
 )
 
@@ -121,17 +122,33 @@ def start_governance_sync(
 
 
 def start_trace_store_sync(
-    spark: SparkSession, landing: str, store: Store, checkpoint: str, available_now: bool = False
+    spark: SparkSession,
+    landing: str,
+    store: Store,
+    checkpoint: str,
+    available_now: bool = False,
+    keep_days: int | None = None,
 ) -> StreamingQuery:
-    """Upsert trace-store observations of ``<landing>/observations`` per micro-batch, with context from the traces that
-    ``<landing>/traces`` holds at that time. A trace that arrives later than its observations reaches them with the next
-    batch sync."""
+    """Upsert trace-store observations of ``<landing>/observations`` per micro-batch, with context from the traces of
+    ``<landing>/traces``, in whatever order the two arrive (see ``TraceContext``, also for ``keep_days``).
 
-    def sync(batch: DataFrame, _batch_id: int) -> None:
-        rows = store_observations(_arrived(batch))
-        traces = read_store_traces(spark, f"{landing}/traces")
-        store.upsert_observations(normalize_observations(enrich_from_traces(rows, traces)))
+    Both folders are sources of one query, so there is one writer. A batch that is retried repeats upserts that change nothing.
+    Checkpoints of the time when observations were the only source cannot be continued; begin a new one.
+    """
+    observations = _landed_stream(spark, f"{landing}/observations", RAW_STORE_OBSERVATION)
+    traces = _landed_stream(spark, f"{landing}/traces", RAW_STORE_TRACE)
+    both = observations.withColumn("_kind", F.lit("observation")).unionByName(
+        traces.withColumn("_kind", F.lit("trace")), allowMissingColumns=True
+    )
 
-    rows = _landed_stream(spark, f"{landing}/observations", RAW_STORE_OBSERVATION)
-    writer = rows.writeStream.foreachBatch(sync)
+    def sync(batch: DataFrame, _batch_id: int) -> None:
+        path = scratch_dir(spark, "batch-trace-store")
+        _arrived(batch).write.partitionBy("_kind").parquet(path)
+        rows = batch.sparkSession.read.parquet(path)
+        context = TraceContext(store, keep_days)
+        context.take_traces(store_traces(rows.where(F.col("_kind") == "trace")))
+        context.take_observations(store_observations(rows.where(F.col("_kind") == "observation")))
+        store.delete(path)
+
+    writer = both.writeStream.foreachBatch(sync)
     return _trigger(writer.option("checkpointLocation", checkpoint), available_now).start()

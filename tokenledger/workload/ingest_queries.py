@@ -44,7 +44,7 @@ from tokenledger.sources.landing import (
 )
 from tokenledger.sources.seen_files import SeenFiles
 from tokenledger.sources.session_logs import read_session_events
-from tokenledger.streaming.jobs import start_observation_sync, start_score_sync
+from tokenledger.streaming.jobs import start_observation_sync, start_score_sync, start_trace_store_sync
 from tokenledger.streaming.syncs import sync_governance, sync_session_logs
 from tokenledger.workload.landed import (
     land_governance,
@@ -176,14 +176,14 @@ def ingest_store_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_observations(raw).drop("_seq")
 
 
-@query(
-    "enrich_traces",
-    """
+_ENRICHED = """
 SELECT observation_id, nullif(t_user, '') AS user_id, t_session AS session_id,
        CASE WHEN environment <> '' THEN environment WHEN t.id IS NOT NULL THEN 'from-trace' ELSE environment END AS environment,
        CASE WHEN t.id IS NOT NULL THEN '["' || t.id || '"]' END AS tags
-FROM store_raw s LEFT JOIN trace t ON t.id = s.trace_id""",
-)
+FROM store_raw s LEFT JOIN trace t ON t.id = s.trace_id"""
+
+
+@query("enrich_traces", _ENRICHED)
 def enrich_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = land_store_export(spark, sf_dir)
     traces = read_store_traces(spark, f"{root}/traces/*")
@@ -604,6 +604,22 @@ def stream_late_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(FACT_SCORE).select("score_id", "trace_id", "name", "value")
 
 
+@query("stream_late_traces", _ENRICHED)
+def stream_late_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations through the stream with older rows of half the traces; the rest and the newer row of each come later."""
+    export = land_store_export(spark, sf_dir)
+    landing, checkpoint = scratch_dir(spark, "landed-late"), scratch_dir(spark, "stream")
+    store = Store(spark, scratch_dir(spark, "store"))
+    older = spark.read.text(f"{export}/traces/first")
+    spark.read.text(f"{export}/observations").write.text(f"{landing}/observations")
+    older.where(F.xxhash64("value") % 2 == 0).write.text(f"{landing}/traces")
+    start_trace_store_sync(spark, landing, store, checkpoint, available_now=True).awaitTermination()
+    older.where(F.xxhash64("value") % 2 != 0).write.mode("append").text(f"{landing}/traces")
+    spark.read.text(f"{export}/traces/second").write.mode("append").text(f"{landing}/traces")
+    start_trace_store_sync(spark, landing, store, checkpoint, available_now=True).awaitTermination()
+    return store.read(FACT_OBSERVATION).select("observation_id", "user_id", "session_id", "environment", "tags")
+
+
 @query(
     "stream_hourly_usage",
     f"""
