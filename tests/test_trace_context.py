@@ -169,3 +169,22 @@ def test_stream_fills_observations_that_came_first(spark, tmp_path, store):
     land("observations", "2.json", [{"id": "b", "trace_id": "t", "start_time": "2024-01-11 10:00:00"}])
     run()
     assert facts(store)["b"][1] == "u"
+
+
+@pytest.mark.parametrize("broken", ["_note", "_refill"])
+def test_a_batch_that_failed_half_way_is_made_good_by_its_retry(spark, store, monkeypatch, broken):
+    def fail(*_):
+        raise OSError("executor lost")
+
+    def step(take, rows):
+        with monkeypatch.context() as m:
+            m.setattr(TraceContext, broken, fail)
+            try:
+                take(TraceContext(store), rows)
+            except OSError:
+                pass
+        take(TraceContext(store), rows)
+
+    step(TraceContext.take_observations, raw(spark, RAW_OBSERVATION, [call("a"), call("b", userId="own")]))
+    step(TraceContext.take_traces, raw(spark, RAW_TRACE, [trace("t", userId="u", sessionId="s")]))
+    assert {k: v[1:3] for k, v in facts(store).items()} == {"a": ("u", "s"), "b": ("own", "s")}
