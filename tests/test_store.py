@@ -1,5 +1,5 @@
 import json
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 from decimal import Decimal
 
 import pytest
@@ -10,7 +10,17 @@ from tokenledger.operators import store as store_module
 from tokenledger.operators.key_index import KeyIndex
 from tokenledger.operators.latest import latest_by_key
 from tokenledger.operators.versions import Files, Versions, differing
-from tokenledger.plans.marts import mrt_daily_usage, mrt_hourly_usage, mrt_org_daily
+from tokenledger.plans import kpis
+from tokenledger.plans.dashboards import dash_model_metric
+from tokenledger.plans.marts import (
+    mrt_daily_usage,
+    mrt_hourly_usage,
+    mrt_model_daily,
+    mrt_model_efficiency,
+    mrt_org_daily,
+    mrt_policy_coverage,
+    mrt_session,
+)
 from tokenledger.schemas import (
     DIM_POLICY,
     DIM_USER,
@@ -326,6 +336,59 @@ def test_rollup_answers_like_the_facts(spark, store):
     assert {str(r["day"]) for r in store.read(USAGE_DAILY).collect()} == {"2024-01-01", "2024-01-05"}
 
 
+def calls(spark, rows):
+    """Rows of (id, start, session, trace, user, model, latency)."""
+    frame = spark.createDataFrame(rows, "id string, start string, session string, trace string, user string, model string, ms double")
+    given = {"observation_id": F.col("id"), "trace_id": F.col("trace"), "session_id": F.col("session"), "user_id": F.col("user"),
+             "model": F.col("model"), "latency_ms": F.col("ms"), "start_time": F.col("start").cast("timestamp"),
+             "input_tokens": F.length("id") * 7, "total_cost": F.lit("0.25").cast("decimal(18,6)")}
+    return frame.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FACT_OBSERVATION.schema.fields))
+
+
+QUESTIONS = {
+    "sessions": mrt_session,
+    "active": lambda t: kpis.kpi_session_stats(t, 20, AS_OF),
+    "top": lambda t: kpis.kpi_sessions_top(t, 20, as_of=AS_OF),
+    "exact traces": lambda t: mrt_org_daily(t, exact_traces=True),
+    "coverage": mrt_policy_coverage,
+    "efficiency": mrt_model_efficiency,
+    "model by day": mrt_model_daily,
+    "model by day, window": lambda t: kpis.kpi_model_daily(t, 20, as_of=AS_OF),
+    "model metric": lambda t: dash_model_metric(t, "cost_per_1k_tokens", date(2024, 1, 10), date(2024, 1, 20)),
+    "hours": lambda t: kpis.kpi_hourly(t, 20, as_of=AS_OF),
+}
+
+
+def test_sessions_traces_and_latencies_are_answered_from_rollups(spark, store):
+    """A session over days and users, a trace in two sessions, rows without time, trace, session, user, model or latency."""
+    first = [
+        ("a", "2023-12-01 10:00:00", "s", "t1", "u", "m", 10.0), ("b", "2024-01-15 10:00:00", "s", "t1", "u", "m", 20.0),
+        ("c", "2024-01-15 11:00:00", "s", "t2", "v", "m", None), ("d", "2024-01-15 12:00:00", "q", "t2", "u", None, 30.0),
+        ("e", None, "s", "t3", "u", "n", 50.0), ("f", "2024-01-16 00:00:00", None, "t4", None, "n", 60.0),
+        ("g", "2024-01-17 00:00:00", None, None, "u", "n", None), ("h", "2023-11-01 00:00:00", "old", "t5", "u", "n", 5.0),
+        ("i", "2024-01-11 00:00:00", "edge", "t6", "u", "n", 5.0), ("j", "2024-01-10 23:59:59", "early", "t7", "u", "n", 5.0),
+    ]
+    store.refresh_rollups()
+
+    def same():
+        stored, facts = store.tables(), store.tables(use_rollup=False)
+        for name, question in QUESTIONS.items():
+            answer = question(stored)
+            assert not any("fact_observation" in path for path in answer.inputFiles()), name
+            assert sorted(map(str, answer.collect())) == sorted(map(str, question(facts).collect())), name
+
+    same()
+    store.upsert_observations(calls(spark, first), AS_OF)
+    same()
+    # A call moves to another day and session, another is the last of its session that is left.
+    store.upsert_observations(calls(spark, [("b", "2024-01-20 10:00:00", "old", "t5", "u", "m", 21.0)]), AS_OF)
+    same()
+    store.append(FACT_OBSERVATION, calls(spark, [(f"x{i}", "2024-01-20 11:00:00", "old", f"t{i % 3}", "u", "m", float(i)) for i in range(9)]))
+    same()
+    store.truncate(FACT_OBSERVATION)
+    same()
+
+
 def test_latest_by_key_with_a_hot_key(spark):
     """A third of all rows share one key; its latest row is found, the rest kept whole."""
     rows = spark.range(30_000).select(

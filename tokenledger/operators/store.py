@@ -31,16 +31,18 @@ from tokenledger.schemas import (
     FACT_GOVERNANCE_DIVERGENCE,
     FACT_OBSERVATION,
     FACT_SCORE,
+    ROLLUPS,
     SYNC_STATE,
     TABLES,
     USAGE_DAILY,
     USAGE_HOURLY,
+    USAGE_MODELS,
+    USAGE_TRACES,
     TableSpec,
 )
 from tokenledger.session import pin_utc, scratch_dir
 from tokenledger.tables import Tables
 
-ROLLUPS = (USAGE_DAILY, USAGE_HOURLY)
 KEY_BUCKETS = 64
 
 
@@ -327,10 +329,7 @@ class Store:
         for rollup in self._rollups():
             then = facts.record(self.versions(rollup).current().of)
             days = None if then is None else differing(then.parts, now.parts)
-            if rollup is USAGE_DAILY:
-                self.refresh_usage_daily(days)
-            else:
-                self.refresh_usage_hourly(days)
+            getattr(self, f"refresh_{rollup.name}")(days)
 
     def refresh_usage_daily(self, days: Sequence[str] | None = None) -> None:
         """Recompute the daily roll-up for some day folders, or for all. From the first time on it is kept current."""
@@ -347,6 +346,23 @@ class Store:
 
         self._refresh(USAGE_HOURLY, with_day, [*USAGE_HOURLY.columns, "day"], days)
 
+    def refresh_usage_traces(self, days: Sequence[str] | None = None) -> None:
+        """The same for usage by session, user, project and trace of a day."""
+        from tokenledger.plans.marts import usage_traces
+
+        self._refresh(USAGE_TRACES, usage_traces, [*USAGE_TRACES.columns[1:], "day"], days)
+
+    def refresh_usage_models(self, days: Sequence[str] | None = None) -> None:
+        """The same for tokens, cost and latency by model and day."""
+        from tokenledger.plans.marts import usage_models
+
+        self._refresh(USAGE_MODELS, usage_models, [*USAGE_MODELS.columns[1:], "day"], days)
+
+    def refresh_rollups(self) -> None:
+        """Make all roll-ups, or make them anew."""
+        for rollup in ROLLUPS:
+            getattr(self, f"refresh_{rollup.name}")()
+
     def _refresh(self, spec: TableSpec, usage, columns: Sequence[str], days: Sequence[str] | None) -> None:
         facts = self.versions(FACT_OBSERVATION).current()
         table = self.versions(spec)

@@ -15,7 +15,7 @@ from tokenledger.plans.kpis import (
     kpi_hourly,
     kpi_policies,
 )
-from tokenledger.plans.marts import model_daily_of, mrt_governance_daily, mrt_policy_coverage
+from tokenledger.plans.marts import mrt_governance_daily, mrt_model_daily, mrt_policy_coverage
 from tokenledger.plans.rollup import usage_rollup
 from tokenledger.tables import Tables
 
@@ -75,7 +75,7 @@ def dash_model_metric(
     tables: Tables, metric: str, first: date, last: date, bucket: str = "day"
 ) -> DataFrame:
     """Mean of a daily efficiency ratio per model; days without the ratio do not count."""
-    series = _in_range(model_daily_of(tables.observations(midnight(first))), first, last)
+    series = _in_range(mrt_model_daily(tables, midnight(first)), first, last)
     return (
         series.groupBy(_time(bucket), F.col("model").alias("metric"))
         .agg(F.avg(metric).alias("value"))
@@ -214,7 +214,7 @@ def pivot_model(
 ) -> DataFrame:
     """A daily efficiency metric of the five costliest models."""
     since = midnight(date_before(utc(as_of), days))
-    rows = model_daily_of(tables.observations(since)).withColumnRenamed("model", "label")
+    rows = mrt_model_daily(tables, since).withColumnRenamed("model", "label")
     return _pivot_top(rows, metric, 5)
 
 

@@ -29,7 +29,7 @@ from tokenledger.functions.scalars import (
 )
 from tokenledger.plans.marts import (
     hourly_usage_of,
-    model_daily_of,
+    mrt_model_daily,
     mrt_model_efficiency,
     mrt_session,
 )
@@ -209,7 +209,7 @@ def kpi_model_daily(
     """Model efficiency as a daily series, for one model or all."""
     check_range("days", days, 1, 365)
     since = midnight(date_before(utc(as_of), days))
-    series = model_daily_of(tables.observations(since))
+    series = mrt_model_daily(tables, since)
     if check_name(model):
         series = series.where(F.col("model") == model)
     return series.select(
@@ -235,7 +235,11 @@ def kpi_hourly(
     """
     check_range("days", days, 1, 90)
     since = next_full_hour(days_before(utc(as_of), days))
-    usage = hourly_usage_of(tables.observations(since))
+    if "usage_hourly" in tables:
+        stored = tables["usage_hourly"].where((F.col("day") >= F.lit(since.date())) & (F.col("hour") >= F.lit(since)))
+        usage = stored.drop("day")
+    else:
+        usage = hourly_usage_of(tables.observations(since))
     if check_name(project):
         usage = usage.where(F.col("project_name") == project)
     return usage.withColumn("total_cost", usd(F.col("total_cost"))).orderBy("hour", "project_name")

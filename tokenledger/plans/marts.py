@@ -65,13 +65,33 @@ def _efficiency_ratios() -> dict:
     }
 
 
-def _model_usage(observations: DataFrame, *by: str) -> DataFrame:
+def usage_models(observations: DataFrame) -> DataFrame:
+    """Tokens, cost and latency by day and model, as sums that can be added up over days."""
     return (
         observations.withColumn("model", model_label())
-        .groupBy(*by, "model")
+        .groupBy("day", "model")
         .agg(
             *measure_sums((*TOKEN_MEASURES, "total_cost"), counted=True),
-            F.avg("latency_ms").alias("avg_latency_ms"),
+            F.sum("latency_ms").alias("latency_sum"),
+            F.count("latency_ms").alias("latency_count"),
+        )
+    )
+
+
+def _model_usage(tables: Tables, *by: str, since: datetime | None = None) -> DataFrame:
+    """Usage by model, from a midnight on; from the stored sums where there are any."""
+    if "usage_models" in tables:
+        rows = tables["usage_models"]
+        rows = rows if since is None else rows.where(F.col("day") >= F.lit(since.date()))
+        latency = F.try_divide(F.sum("latency_sum"), F.sum("latency_count"))
+    else:
+        rows = tables.observations(since).withColumn("model", model_label())
+        latency = F.avg("latency_ms")
+    return (
+        rows.groupBy(*by, "model")
+        .agg(
+            *measure_sums((*TOKEN_MEASURES, "total_cost"), counted=True),
+            latency.alias("avg_latency_ms"),
         )
         .withColumns(_efficiency_ratios())
     )
@@ -79,7 +99,7 @@ def _model_usage(observations: DataFrame, *by: str) -> DataFrame:
 
 def mrt_model_efficiency(tables: Tables) -> DataFrame:
     """Efficiency per model over all time, rows without a start time included."""
-    return _model_usage(tables.observations()).select(
+    return _model_usage(tables).select(
         "model",
         "input_tokens",
         "output_tokens",
@@ -94,8 +114,9 @@ def mrt_model_efficiency(tables: Tables) -> DataFrame:
     )
 
 
-def model_daily_of(observations: DataFrame) -> DataFrame:
-    return _model_usage(observations, "day").select(
+def mrt_model_daily(tables: Tables, since: datetime | None = None) -> DataFrame:
+    """Efficiency per day and model, from a midnight on; latency is left unrounded here."""
+    return _model_usage(tables, "day", since=since).select(
         "day",
         "model",
         *TOKEN_MEASURES,
@@ -108,11 +129,6 @@ def model_daily_of(observations: DataFrame) -> DataFrame:
     )
 
 
-def mrt_model_daily(tables: Tables) -> DataFrame:
-    """Efficiency per day and model; latency is left unrounded here."""
-    return model_daily_of(tables.observations())
-
-
 def mrt_org_daily(tables: Tables, exact_traces: bool = False) -> DataFrame:
     """Whole-organisation usage per day.
 
@@ -128,26 +144,63 @@ def mrt_org_daily(tables: Tables, exact_traces: bool = False) -> DataFrame:
     daily = usage.groupBy("day").agg(*(F.sum(c).alias(c) for c in columns))
     if not exact_traces:
         return daily
-    true_counts = (
-        tables.observations().groupBy("day").agg(F.count_distinct("trace_id").alias("traces_distinct"))
-    )
+    traces = tables["usage_traces"] if "usage_traces" in tables else tables.observations()
+    true_counts = traces.groupBy("day").agg(F.count_distinct("trace_id").alias("traces_distinct"))
     return daily.join(true_counts, daily["day"].eqNullSafe(true_counts["day"]), "left").select(
         *(daily[c] for c in daily.columns), "traces_distinct"
     )
 
 
+SESSION_MEASURES = ("observations", "input_tokens", "output_tokens", "total_tokens", "total_cost")
+
+
+def _session_keys() -> dict:
+    return {
+        "session_id": F.coalesce("session_id", "trace_id"),
+        "user_id": user_label(),
+        "project_name": project_label(),
+    }
+
+
+def usage_traces(observations: DataFrame) -> DataFrame:
+    """Usage of a day by session (or lone trace), user, project and trace; sessions and trace counts merge over days."""
+    return (
+        observations.withColumns(_session_keys())
+        .groupBy("day", "session_id", "user_id", "project_name", "trace_id")
+        .agg(
+            F.min("start_time").alias("first_seen"),
+            F.max("start_time").alias("last_seen"),
+            *measure_sums(SESSION_MEASURES, counted=True),
+        )
+    )
+
+
+def _stored_sessions(traces: DataFrame, active_since: datetime | None) -> DataFrame:
+    keys = ["session_id", "user_id", "project_name"]
+    rows = traces
+    if active_since is not None:
+        recent = traces.where((F.col("day") >= F.lit(active_since.date())) & (F.col("last_seen") >= F.lit(active_since)))
+        recent = recent.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        rows = rows.join(recent, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
+    return rows.groupBy(*keys).agg(
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.count_distinct("trace_id").alias("turns"),
+        *measure_sums(SESSION_MEASURES, counted=False),
+    )
+
+
 def mrt_session(tables: Tables, active_since: datetime | None = None) -> DataFrame:
     """One row per session (or lone trace), user and project.
 
     With ``active_since`` only sessions with an observation from then on, each
     still whole: their keys come from a pruned scan, and facts of other sessions
-    drop out before they are aggregated.
+    drop out before they are aggregated. With the stored usage by trace no fact
+    is read at all.
     """
-    keys = {
-        "session_id": F.coalesce("session_id", "trace_id"),
-        "user_id": user_label(),
-        "project_name": project_label(),
-    }
+    if "usage_traces" in tables:
+        return _stored_sessions(tables["usage_traces"], active_since)
+    keys = _session_keys()
     rest = ("start_time", "trace_id", "input_tokens", "output_tokens", "total_tokens", "total_cost")
     rows = tables.observations().select(*[c.alias(n) for n, c in keys.items()], *rest)
     if active_since is not None:
@@ -160,10 +213,7 @@ def mrt_session(tables: Tables, active_since: datetime | None = None) -> DataFra
             F.min("start_time").alias("first_seen"),
             F.max("start_time").alias("last_seen"),
             F.count_distinct("trace_id").alias("turns"),
-            *measure_sums(
-                ("observations", "input_tokens", "output_tokens", "total_tokens", "total_cost"),
-                counted=True,
-            ),
+            *measure_sums(SESSION_MEASURES, counted=True),
         )
     )
 
@@ -175,10 +225,7 @@ def hourly_usage_of(observations: DataFrame) -> DataFrame:
         )
         .groupBy("hour", "project_name")
         .agg(
-            *measure_sums(
-                ("observations", "input_tokens", "output_tokens", "total_tokens", "total_cost"),
-                counted=True,
-            )
+            *measure_sums(SESSION_MEASURES, counted=True)
         )
     )
 
@@ -217,7 +264,8 @@ def mrt_policy_coverage(tables: Tables) -> DataFrame:
     Evidence is a count per policy, not a set of traces, so the ratio is an
     upper bound and may exceed 1.
     """
-    traces = tables["fact_observation"].agg(F.count_distinct("trace_id").alias("n"))
+    traces = tables["usage_traces" if "usage_traces" in tables else "fact_observation"]
+    traces = traces.agg(F.count_distinct("trace_id").alias("n"))
     return (
         tables["dim_policy"]
         .agg(

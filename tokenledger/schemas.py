@@ -224,6 +224,47 @@ USAGE_HOURLY = TableSpec(
     "hour",
 )
 
+# The stored roll-up behind sessions and exact trace counts: a session is merged over its days, and a trace counts once
+# however many days and users it spans.
+USAGE_TRACES = TableSpec(
+    "usage_traces",
+    struct_of(
+        day="date",
+        session_id="text",
+        user_id="text",
+        project_name="text",
+        trace_id="text",
+        first_seen="ts",
+        last_seen="ts",
+        observations="bigint",
+        input_tokens="bigint",
+        output_tokens="bigint",
+        total_tokens="bigint",
+        total_cost="money_sum",
+    ),
+    ("day", "session_id", "user_id", "project_name", "trace_id"),
+)
+
+# The stored roll-up behind model efficiency; the mean latency is the quotient of two sums.
+USAGE_MODELS = TableSpec(
+    "usage_models",
+    struct_of(
+        day="date",
+        model="text",
+        input_tokens="bigint",
+        output_tokens="bigint",
+        total_tokens="bigint",
+        cached_input_tokens="bigint",
+        reasoning_tokens="bigint",
+        total_cost="money_sum",
+        latency_sum="double",
+        latency_count="bigint",
+    ),
+    ("day", "model"),
+)
+
+ROLLUPS = (USAGE_DAILY, USAGE_HOURLY, USAGE_TRACES, USAGE_MODELS)
+
 # Landed files that syncs have seen, with the event times they hold.
 #: Traces as landed, the newest row of each, for streams to take context from.
 STORED_TRACE = TableSpec(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.functions.scalars import day_bucket
-from tokenledger.schemas import TABLES, USAGE_DAILY, USAGE_HOURLY
+from tokenledger.schemas import ROLLUPS, TABLES
 
 
 Source = DataFrame | Callable[[], DataFrame]
@@ -19,10 +19,9 @@ class Tables:
     """Tables by name; one that was never written is empty, not an error.
 
     A table may be given as a function that opens it, which is called on first
-    use only. ``usage_daily`` and ``usage_hourly`` are special: when present they
-    are stored roll-ups, and what adds up by day (or by hour) is answered from
-    them instead of from the fact table. Questions about sessions, traces and
-    latencies always read the facts.
+    use only. ``usage_daily``, ``usage_hourly``, ``usage_traces`` and ``usage_models``
+    are special: when present they are stored roll-ups, and what adds up by day,
+    hour, trace or model is answered from them instead of from the fact table.
     """
 
     def __init__(self, spark: SparkSession, sources: Mapping[str, Source]):
@@ -32,7 +31,7 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         source = self._sources.get(name)
         if source is None:
-            spec = {r.name: r for r in (USAGE_DAILY, USAGE_HOURLY)}.get(name) or TABLES[name]
+            spec = {r.name: r for r in ROLLUPS}.get(name) or TABLES[name]
             return self.spark.createDataFrame([], spec.stored_schema)
         if not isinstance(source, DataFrame):
             source = self._sources[name] = source()

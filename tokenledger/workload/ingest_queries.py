@@ -18,7 +18,8 @@ from tokenledger.operators.latest import latest_by_key
 from tokenledger.operators.normalize import normalize_observations, normalize_scores
 from tokenledger.operators.session_calls import price_calls, session_calls, session_observations
 from tokenledger.operators.store import Store, schema_with_nulls
-from tokenledger.plans.marts import mrt_daily_usage, mrt_hourly_usage
+from tokenledger.plans.kpis import kpi_session_stats
+from tokenledger.plans.marts import mrt_daily_usage, mrt_hourly_usage, mrt_model_daily, mrt_org_daily, mrt_session
 from tokenledger.reference_data import default_model_prices
 from tokenledger.schemas import (
     DIM_POLICY,
@@ -670,3 +671,75 @@ def stream_daily_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("total_cost").alias("total_cost"),
         )
     )
+
+
+# -- stored roll-ups -----------------------------------------------------------------------
+
+CTE["stored_sessions"] = """
+SELECT coalesce(session_id, trace_id) AS session_id, coalesce(user_id, '(unattributed)') AS user_id,
+       coalesce(project_name, project_id, '(unknown)') AS project_name, min(start_time) AS first_seen, max(start_time) AS last_seen,
+       count(DISTINCT trace_id) AS turns, count(*) AS observations, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+       CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
+       sum(total_cost) AS total_cost
+FROM stored GROUP BY 1, 2, 3"""
+
+
+def _corrected_store(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with all roll-ups, filled by a first load and by late corrections that move days."""
+    store = Store(spark, scratch_dir(spark, "store"))
+    facts = event_observations(spark, sf_dir)
+    store.refresh_rollups()
+    store.upsert_observations(facts, AS_OF)
+    store.upsert_observations(_corrections(facts), AS_OF)
+    return store
+
+
+@query(
+    "rollup_session",
+    f"""
+SELECT * REPLACE (strftime(first_seen, {STAMP}) AS first_seen, strftime(last_seen, {STAMP}) AS last_seen,
+                  CAST(total_cost AS DOUBLE) AS total_cost) FROM stored_sessions""",
+)
+def rollup_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions from the stored usage by trace."""
+    return mrt_session(_corrected_store(spark, sf_dir).tables())
+
+
+@query(
+    "rollup_session_stats",
+    f"""
+SELECT count(*) AS sessions, round(sum(input_tokens)::DOUBLE / count(input_tokens), 1) AS avg_context_tokens,
+       round(sum(turns)::DOUBLE / count(turns), 1) AS avg_turns, round(sum(total_cost)::DOUBLE / count(total_cost), 4) AS avg_cost,
+       round(sum(input_tokens)::DOUBLE / nullif(sum(turns), 0)::DOUBLE, 1) AS avg_input_per_turn
+FROM stored_sessions WHERE last_seen >= TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}' - INTERVAL 30 DAY""",
+)
+def rollup_session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages over recent sessions from the stored usage by trace; no fact is read."""
+    return kpi_session_stats(_corrected_store(spark, sf_dir).tables(), 30, AS_OF)
+
+
+@query(
+    "rollup_exact_traces",
+    """
+SELECT strftime(CAST(start_time AS DATE), '%Y-%m-%d') AS day, count(*) AS observations, count(DISTINCT trace_id) AS traces_distinct
+FROM stored GROUP BY CAST(start_time AS DATE)""",
+)
+def rollup_exact_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days with their true numbers of traces, from two stored roll-ups."""
+    daily = mrt_org_daily(_corrected_store(spark, sf_dir).tables(), exact_traces=True)
+    return daily.select("day", "observations", "traces_distinct")
+
+
+@query(
+    "rollup_model_daily",
+    """
+SELECT strftime(CAST(start_time AS DATE), '%Y-%m-%d') AS day, coalesce(model, '(unknown)') AS model,
+       CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(total_cost) AS DOUBLE) AS total_cost,
+       avg(latency_ms) AS avg_latency_ms,
+       round(sum(cached_input_tokens)::DOUBLE / nullif(sum(input_tokens), 0)::DOUBLE, 4) AS cache_hit_rate
+FROM stored GROUP BY CAST(start_time AS DATE), 2""",
+)
+def rollup_model_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Efficiency by day and model from the stored sums."""
+    daily = mrt_model_daily(_corrected_store(spark, sf_dir).tables())
+    return daily.select("day", "model", "total_tokens", "total_cost", "avg_latency_ms", "cache_hit_rate")
