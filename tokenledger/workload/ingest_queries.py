@@ -684,11 +684,12 @@ SELECT coalesce(session_id, trace_id) AS session_id, coalesce(user_id, '(unattri
 FROM stored GROUP BY 1, 2, 3"""
 
 
-def _corrected_store(spark: SparkSession, sf_dir: str) -> Store:
-    """A store with all roll-ups, filled by a first load and by late corrections that move days."""
+def _corrected_store(spark: SparkSession, sf_dir: str, *rollups: str) -> Store:
+    """A store with some roll-ups, filled by a first load and by late corrections that move days."""
     store = Store(spark, scratch_dir(spark, "store"))
     facts = event_observations(spark, sf_dir)
-    store.refresh_rollups()
+    for rollup in rollups:
+        getattr(store, f"refresh_{rollup}")()
     store.upsert_observations(facts, AS_OF)
     store.upsert_observations(_corrections(facts), AS_OF)
     return store
@@ -702,7 +703,7 @@ SELECT * REPLACE (strftime(first_seen, {STAMP}) AS first_seen, strftime(last_see
 )
 def rollup_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions from the stored usage by trace."""
-    return mrt_session(_corrected_store(spark, sf_dir).tables())
+    return mrt_session(_corrected_store(spark, sf_dir, "usage_traces").tables())
 
 
 @query(
@@ -715,7 +716,7 @@ FROM stored_sessions WHERE last_seen >= TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}' -
 )
 def rollup_session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Averages over recent sessions from the stored usage by trace; no fact is read."""
-    return kpi_session_stats(_corrected_store(spark, sf_dir).tables(), 30, AS_OF)
+    return kpi_session_stats(_corrected_store(spark, sf_dir, "usage_traces").tables(), 30, AS_OF)
 
 
 @query(
@@ -726,7 +727,8 @@ FROM stored GROUP BY CAST(start_time AS DATE)""",
 )
 def rollup_exact_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days with their true numbers of traces, from two stored roll-ups."""
-    daily = mrt_org_daily(_corrected_store(spark, sf_dir).tables(), exact_traces=True)
+    store = _corrected_store(spark, sf_dir, "usage_daily", "usage_traces")
+    daily = mrt_org_daily(store.tables(), exact_traces=True)
     return daily.select("day", "observations", "traces_distinct")
 
 
@@ -741,5 +743,5 @@ FROM stored GROUP BY CAST(start_time AS DATE), 2""",
 )
 def rollup_model_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Efficiency by day and model from the stored sums."""
-    daily = mrt_model_daily(_corrected_store(spark, sf_dir).tables())
+    daily = mrt_model_daily(_corrected_store(spark, sf_dir, "usage_models").tables())
     return daily.select("day", "model", "total_tokens", "total_cost", "avg_latency_ms", "cache_hit_rate")
