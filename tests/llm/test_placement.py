@@ -57,12 +57,53 @@ def test_no_range_is_overfull(spark):
     frame = docs(spark, hot(6000)).selectExpr("doc_id", "text", "octet_length(coalesce(text, '')) + 1L AS size")
     rows = frame.selectExpr("size", "xxhash64(coalesce(text, '')) AS hash", "monotonically_increasing_id() AS row").cache()
     total, n = rows.agg({"size": "sum"}).first()[0], rows.count()
-    bounds = sharding.splitters(rows, 64, total, n)
-    placed = rows.withColumn("range", sharding.range_of(sharding.F.struct("hash", "row"), bounds))
-    for r in placed.groupBy("range").agg({"size": "sum", "*": "count"}).collect():
-        assert r["count(1)"] <= 5 * n / 64 and r["sum(size)"] <= 5 * total / 64
-    keys = placed.select("hash", "row", "range").collect()
-    assert all(r.range == sum((r.hash, r.row) >= b for b in bounds) for r in keys[::97])
+    placed, sums = sharding.subdivided(rows, 64, total, n)
+    for r in sums.collect():
+        assert (r.range_rows / n + r.range_size / total) / 2 <= sharding.OVERFULL / 64
+    keys = sorted(placed.select("hash", "range", "head").collect())
+    assert len(keys) == n and all(a.range <= b.range for a, b in zip(keys, keys[1:]) if a.hash != b.hash)
+    assert all(r.head is None or r.head <= r.range for r in keys)
+
+
+def test_ranges_of_given_splitters(spark):
+    """Splitters anywhere among the hashes, against a count one by one."""
+    marks = {-(1 << 63): 1, -5: 3, 0: 1, 1: 2, 7 << 40: 1, (1 << 63) - 1: 2}
+    values = sorted({h + d for h in marks for d in (-1, 0, 1) if -(1 << 63) <= h + d < 1 << 63})
+    rows = spark.createDataFrame([(h, i) for h in values for i in range(20)], "hash long, row long")
+    got = defaultdict(set)
+    for r in sharding.placed_in(rows, marks).collect():
+        got[r.hash].add((r.range, r.head))
+    at, firsts = 0, {}
+    for h in values:
+        if (pieces := marks.get(h, 0)) > 1:
+            firsts[h] = at + 1
+            assert {x for x, _ in got[h]} == set(range(at + 1, at + 1 + pieces)) and {x for _, x in got[h]} == {at + 1}
+            at += pieces + 1
+        else:
+            at += pieces
+            assert got[h] == {(at, None)}
+
+
+def test_a_skewed_sample_is_made_up_for(spark, monkeypatch):
+    """With hardly any splitters at first the overfull ranges are found by count and subdivided."""
+    rows = hot(3000)
+    first, draw = [], sharding.drawn
+
+    def few(*args):
+        first.append(draw(*args))
+        return first[-1] if len(first) > 1 else {}
+
+    monkeypatch.setattr(sharding, "drawn", few)
+    check_shards(rows, shard(docs(spark, rows), ranges=40).collect())
+    assert len(first) > 1 and len(first[1]) > 5
+
+
+def test_groups_stay_whole_in_any_number_of_ranges(spark):
+    rows = [(i, f"text number {i // 9}") for i in range(9000)]
+    where = defaultdict(set)
+    for r in shard(docs(spark, rows), ranges=4000).collect():
+        where[r.doc_id // 9].add(r.shard)
+    assert all(len(s) == 1 for s in where.values())
 
 
 def test_few_or_no_rows(spark):

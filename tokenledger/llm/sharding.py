@@ -1,20 +1,19 @@
 """Sharding by sampled splitters, in DataFrame operations only.
 
-Rows are ordered by (hash of the text, row number), so equal texts lie next to each other. A sample that prefers large
-rows gives splitters that cut this order into many ranges of about equal weight; a group of equal texts that is heavier
-than a range is cut inside, because the row number is part of the key. Each range is counted exactly and sorted on its
-own, prefix sums over the ranges give every row its exact place among all bytes, and a shard is a stretch of total /
-shards bytes of that. So the sample decides how the work is spread, and never how the shards come out.
+Rows are ordered by (hash of the text, range, row number), so equal texts lie next to each other. A sample that prefers large
+rows gives splitters that cut this order into many ranges of about equal weight; a group of equal texts that takes several
+splitters is dealt over as many ranges of its own by a hash of the row number. Ranges are counted exactly, and those that
+came out overfull are subdivided by a sample of their own. Each range is sorted on its own, and prefix sums over the ranges
+give every row its exact place among all bytes; a shard is a stretch of total / shards bytes of that. So the sample decides
+how the work is spread, and never how the shards come out.
 
 A shard boundary that falls into a group of equal texts moves to the nearer end of the group if the group is small
-against a shard (`whole_share`); a larger group is subdivided at the boundary.
+against a shard (`whole_share`), however many ranges the group takes; a larger group is subdivided at the boundary.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenledger.llm.common import table, written
@@ -26,39 +25,73 @@ WHOLE_SHARE = 0.02
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 50_000, 256, 65_536
 #: Sampled rows for each range.
 OVERSAMPLE = 16
+#: Ranges of more than this many times the mean weight are subdivided, in at most so many rounds.
+OVERFULL, ROUNDS = 3, 3
 
 
-def splitters(rows: DataFrame, ranges: int, total: int, n: int) -> list[tuple[int, int]]:
+def drawn(rows: DataFrame, ranges: int, total: int, n: int, seed: str = "sample") -> dict[int, int]:
     """Quantiles of a sample of keys, each row drawn in proportion to its part of all bytes and of all rows.
 
-    The sample has about ranges * OVERSAMPLE keys whatever the number of rows.
+    Gives the hashes that a range starts at, and how many quantiles fall on each. The sample has about ranges * OVERSAMPLE
+    keys for the whole table, whatever the number of rows, and as much less for a part of it.
     """
     weight = (F.col("size") / F.lit(total) + F.lit(1 / n)) / 2 * ranges * OVERSAMPLE
-    uniform = F.pmod(F.xxhash64("row", F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = rows.select("hash", "row", F.floor(weight + uniform).alias("times")).where("times > 0")
-    keys = sorted((r["hash"], r["row"], r["times"]) for r in drawn.collect())
-    step, at, out = sum(k[2] for k in keys) / ranges, 0, []
-    for hash_, row, times in keys:
-        if at + times >= (len(out) + 1) * step and len(out) < ranges - 1:
-            again = bool(out) and out[-1][0] == hash_
-            out.append((hash_, row if again else -1))
-            while at + times >= (len(out) + 1) * step and len(out) < ranges - 1:
-                out.append((hash_, row))
+    uniform = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = rows.select("hash", F.floor(weight + uniform).alias("times")).where("times > 0")
+    marks, at = {}, 0
+    for hash_, times in sorted((r["hash"], r["times"]) for r in sample.collect()):
+        if passed := (at + times) // OVERSAMPLE - at // OVERSAMPLE:
+            marks[hash_] = marks.get(hash_, 0) + passed
         at += times
-    return sorted(set(out))
+    return marks
+
 
+def lookup(spark: SparkSession, marks: dict[int, int]) -> DataFrame:
+    """The splitters as a table: for each stretch of hashes, the range it starts in and the splitters inside.
 
-def range_of(key: Column, bounds: list[tuple[int, int]]) -> Column:
-    """How many of `bounds` are not above the key, found in two steps of a square root of their number."""
-    if not bounds:
-        return F.lit(0)
-    literal = lambda part: F.array(*[F.struct(F.lit(h).cast("long").alias("hash"), F.lit(r).cast("long").alias("row")) for h, r in part])
-    step = math.isqrt(len(bounds) - 1) + 1
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    below = lambda part: F.size(F.filter(part, lambda x: x <= key))
-    coarse = below(literal([g[0] for g in groups]))
-    inner = F.element_at(F.array(*[literal(g) for g in groups]), coarse)
-    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + below(inner)).cast("int")
+    A splitter has a hash, its first range, the number of ranges its own group takes, and the range of what follows. The
+    table has about as many rows as there are splitters, so it may be broadcast.
+    """
+    bits = max(1, len(marks).bit_length())
+    inside: list[list[tuple[int, int, int, int]]] = [[] for _ in range(1 << bits)]
+    starts, following = [0] * (1 << bits), 0
+    for hash_ in sorted(marks):
+        pieces = marks[hash_]
+        first, following = following + 1, following + (1 if pieces == 1 else pieces + 1)
+        inside[(hash_ >> (64 - bits)) + (1 << (bits - 1))].append((hash_, first, pieces, following))
+    for i in range(1, 1 << bits):
+        starts[i] = inside[i - 1][-1][3] if inside[i - 1] else starts[i - 1]
+    schema = "stretch long, start int, splitters array<struct<hash: long, first: int, pieces: int, following: int>>"
+    return spark.createDataFrame([(i, starts[i], inside[i]) for i in range(1 << bits)], schema)
+
+
+def placed_in(rows: DataFrame, marks: dict[int, int]) -> DataFrame:
+    """Rows with their `range` and, for a group that is dealt over several ranges, the first of these as `head`."""
+    bits = max(1, len(marks).bit_length())
+    stretch = F.shiftright("hash", 64 - bits) + F.lit(1 << (bits - 1))
+    found = rows.withColumn("stretch", stretch.cast("long")).join(F.broadcast(lookup(rows.sparkSession, marks)), "stretch")
+    last = F.try_element_at(F.filter("splitters", lambda x: x["hash"] <= F.col("hash")), F.lit(-1))
+    found = found.withColumn("last", last)
+    own = (F.col("last.hash") == F.col("hash")) & (F.col("last.pieces") > 1)
+    piece = F.col("last.first") + F.pmod(F.xxhash64("row", F.lit("piece")), F.col("last.pieces"))
+    range_ = F.when(F.col("last").isNull(), F.col("start")).when(own, piece).otherwise(F.col("last.following"))
+    return found.select(*rows.columns, range_.cast("int").alias("range"), F.when(own, F.col("last.first")).alias("head"))
+
+
+def subdivided(rows: DataFrame, ranges: int, total: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows in ranges of at most OVERFULL times the mean weight, as far as single rows allow, and the sums of the ranges."""
+    marks = drawn(rows, ranges, total, n)
+    weight = (F.col("range_size") / F.lit(total) + F.col("range_rows") / F.lit(n)) / 2 * ranges
+    for again in range(ROUNDS + 1):
+        placed = placed_in(rows, marks)
+        sums = placed.groupBy("range", "head").agg(F.sum("size").alias("range_size"), F.count("*").alias("range_rows"))
+        sums = written(sums, "ranges")
+        overfull = sums.where((weight > OVERFULL) & (F.col("range_rows") > 1)).select("range")
+        if again == ROUNDS or overfull.isEmpty():
+            return placed, sums
+        crowded = placed.join(F.broadcast(overfull), "range", "left_semi")  # at most ranges / OVERFULL rows
+        for hash_, more in drawn(crowded, ranges, total, n, f"again {again}").items():
+            marks[hash_] = marks.get(hash_, 0) + more
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, whole_share: float = WHOLE_SHARE, ranges: int | None = None) -> DataFrame:
@@ -79,15 +112,23 @@ def shard(docs: DataFrame, shards: int = SHARDS, whole_share: float = WHOLE_SHAR
     of_all = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
     n, total = of_all["n"], of_all["total"]
     ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, n // RANGE_ROWS))
-    bounds = splitters(rows, ranges, total, n) if n else []
-    placed = rows.withColumn("range", range_of(F.struct("hash", "row"), bounds))
-    sums = placed.groupBy("range").agg(F.sum("size").alias("range_size"), F.count("*").alias("range_rows"))
+    if not n:
+        placed = rows.select("*", F.lit(0).alias("range"), F.lit(None).cast("int").alias("head"))
+        sums = placed.groupBy("range", "head").agg(F.sum("size").alias("range_size"), F.count("*").alias("range_rows"))
+    else:
+        placed, sums = subdivided(rows, ranges, total, n)
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     bases = sums.select(
         "range",
         F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("size_before"),
         F.coalesce(F.sum("range_rows").over(before), F.lit(0)).alias("rows_before"),
+        "range_size",
+        F.col("head").alias("of"),
     )
+    # Size and start of a group that is dealt over several ranges, of which some may be empty.
+    dealt = Window.partitionBy("of")
+    for name, value in (("dealt_size", F.sum("range_size")), ("dealt_before", F.min("size_before"))):
+        bases = bases.withColumn(name, F.when(F.col("of").isNotNull(), value.over(dealt)))
     inside = Window.partitionBy("range").orderBy("hash", "row")
     group = Window.partitionBy("range", "hash")
     running = placed.select(
@@ -96,9 +137,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, whole_share: float = WHOLE_SHAR
         (F.row_number().over(inside) - 1).alias("rank"),
     )
     grouped = running.select("*", F.min("ahead").over(group).alias("group_ahead"), F.sum("size").over(group).alias("group_size"))
-    whole = F.col("group_size") <= F.lit(whole_share * total / shards)
-    middle = F.when(whole, 2 * F.col("group_ahead") + F.col("group_size")).otherwise(2 * F.col("ahead") + F.col("size"))
-    middle = (2 * F.col("size_before") + middle).cast("decimal(38,0)")  # twice the middle's place
+    group_size = F.coalesce("dealt_size", "group_size")
+    group_before = F.coalesce("dealt_before", F.col("size_before") + F.col("group_ahead"))
+    whole = group_size <= F.lit(whole_share * total / shards)
+    own = 2 * (F.col("size_before") + F.col("ahead")) + F.col("size")
+    middle = F.when(whole, 2 * group_before + group_size).otherwise(own).cast("decimal(38,0)")  # twice the middle's place
     number = F.floor(middle * shards / F.lit(2 * max(total, 1)).cast("decimal(38,0)")).cast("int")
     spread = grouped.join(F.broadcast(bases), "range").select(  # at most MOST_RANGES rows
         "doc_id", "size", "text_crc32", number.alias("shard"), (F.col("rows_before") + F.col("rank")).alias("at")
