@@ -160,3 +160,12 @@ def test_weights_tell_good_from_bad(spark):
     kept = [got[r.doc_id].selected for r in labels if r.quality == 1]
     assert np.mean(kept) > 0.93
     assert texts(spark).count() == op10_quality_classifier(spark, SMALL).count()
+
+
+def test_rows_of_one_id_are_drawn_independently(spark):
+    rows = [(None, f"text {i}") for i in range(40)] + [(7, f"text {i}") for i in range(40)] + [(7, None), (None, None)]
+    got = weigh(docs(spark, rows), np.zeros(16)).collect()
+    noise = [r.noisy_weight - r.log_weight for r in got]
+    assert len(got) == len(rows) and len(set(noise)) == len(rows)
+    again = weigh(docs(spark, rows), np.zeros(16)).collect()
+    assert sorted(noise) == sorted(r.noisy_weight - r.log_weight for r in again)

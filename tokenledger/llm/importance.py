@@ -4,7 +4,8 @@ Texts are bags of hashed grams: runs of letters and digits or of other signs bet
 pairs of such runs that follow each other. Two models give each gram a probability, one from the target (documents labelled as good), one
 from all raw documents, both with one added to every count. A document's weight is the product of the ratios of the two
 over its grams; its logarithm tells good from bad text. Documents are drawn without replacement in proportion to the weights by
-adding Gumbel noise to the logarithms and keeping the k greatest. The noise is a hash of the doc_id, so a draw can be repeated.
+adding Gumbel noise to the logarithms and keeping the k greatest. The noise is a hash of the doc_id and the text, so a draw can
+be repeated, and rows that share a doc_id, or have none, are drawn independently unless their texts are equal too.
 
 The counts cover all documents and cross the network as one vector for each task. The k greatest are found exactly: rows
 are dealt out by ranges of the noisy weight, and a row's rank is the number of rows in the ranges above plus its rank within
@@ -114,8 +115,9 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
                 weight[first:size] += np.bincount(rows - first, ratios[found], size - first)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(weight)], names=schema.names)
 
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 48)) + 0.5) / float(1 << 48)
-    rows = docs.select("doc_id", uniform.alias("uniform"), F.col("text").cast("string").alias("text")).mapInArrow(score, schema)
+    text = F.col("text").cast("string")
+    uniform = (F.pmod(F.xxhash64("doc_id", text, F.lit(seed)), F.lit(1 << 48)) + 0.5) / float(1 << 48)
+    rows = docs.select("doc_id", uniform.alias("uniform"), text.alias("text")).mapInArrow(score, schema)
     noise = -F.log(-F.log("uniform"))
     return rows.select("doc_id", "n_grams", "log_weight", (F.col("log_weight") + noise).alias("noisy_weight"))
 
