@@ -191,8 +191,10 @@ def word_runs(raw: np.ndarray, words: int, length: int) -> Iterator[tuple[np.nda
         yield start, end - length, grams[place] ^ SALT, hashes(start - at, end - at)
 
 
-def repeated_word_windows(kinds: list[bytes], words: int, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each run of windows of words where those begin and end that occur again, in it or another run."""
+def repeated_word_windows(
+    kinds: list[bytes], anchor: np.ndarray, words: int, length: int
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each run of windows of words where those begin and end that occur again, in it or another run with that anchor."""
     size = np.array([len(k) + 1 for k in kinds])
     base = np.cumsum(size) - size
     raw = np.frombuffer(b"\n".join(kinds), np.uint8)
@@ -201,7 +203,8 @@ def repeated_word_windows(kinds: list[bytes], words: int, length: int) -> list[t
     inside = end < (base + size)[owner]
     start, end, owner = start[inside], end[inside], owner[inside]
     place = (np.arange(size.sum()) - np.repeat(base, size)).astype(np.int32)
-    group = pd.factorize(Hashes(raw, place)(start, end))[0]
+    salt = mixed(anchor.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    group = pd.factorize(mixed(Hashes(raw, place)(start, end) + salt[owner]))[0]
     again = np.bincount(group, minlength=1)[group] > 1
     start, end, owner = start[again], end[again], owner[again]
     bounds = np.searchsorted(owner, np.arange(len(kinds) + 1))
@@ -285,23 +288,26 @@ def _sorted_groups(groups: DataFrame, length: int, passages: int | None = None)
 
     def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for runs_ in batch.column("runs"):
-                own = runs_.values
-                ids, marks, firsts, alone = (own.field(n).to_pylist() for n in (*KEY, "first", "alone"))
-                short, raw = own.field("short")[0].as_py(), own.field("bytes").to_pylist()
-                if short:  # an anchor of words has no runs of bytes
-                    found = repeated_word_windows(raw, passages, length)
-                else:
-                    found = [(w, w + length) for w in repeated_windows(raw, length)]
-                rows = [(i, m, f, *w) for i, m, f, a, w in zip(ids, marks, firsts, alone, found) if a and len(w[0])]
-                columns = [[], [], [], []]
-                for i, m, f, start, end in rows:
-                    start, end = stretches(start + f, end + f)
-                    for column, more in zip(columns, ([i] * len(start), [m] * len(start), start.tolist(), end.tolist())):
-                        column += more
-                if columns[0]:
-                    marked = [pa.array(c, pa.int64()) for c in columns] + [pa.array([short] * len(columns[0]))]
-                    yield pa.RecordBatch.from_arrays(marked, names=[*KEY, "start", "end", "short"])
+            lists = [r.values for r in batch.column("runs")]
+            by_words = [r for r in lists if r.field("short")[0].as_py()]  # an anchor of words has no runs of bytes
+            for own in lists:
+                if not own.field("short")[0].as_py():
+                    yield from spans(own, [(w, w + length) for w in repeated_windows(own.field("bytes").to_pylist(), length)], False)
+            if by_words:
+                own, anchor = pa.concat_arrays(by_words), np.repeat(np.arange(len(by_words)), [len(r) for r in by_words])
+                yield from spans(own, repeated_word_windows(own.field("bytes").to_pylist(), anchor, passages, length), True)
+
+    def spans(own: pa.StructArray, found: list[tuple[np.ndarray, np.ndarray]], short: bool) -> Iterator[pa.RecordBatch]:
+        ids, marks, firsts, alone = (own.field(n).to_pylist() for n in (*KEY, "first", "alone"))
+        columns = [[], [], [], []]
+        for i, m, f, a, (start, end) in zip(ids, marks, firsts, alone, found):
+            if a and len(start):
+                start, end = stretches(start + f, end + f)
+                for column, more in zip(columns, ([i] * len(start), [m] * len(start), start.tolist(), end.tolist())):
+                    column += more
+        if columns[0]:
+            marked = [pa.array(c, pa.int64()) for c in columns] + [pa.array([short] * len(columns[0]))]
+            yield pa.RecordBatch.from_arrays(marked, names=[*KEY, "start", "end", "short"])
 
     return groups.select("runs").mapInArrow(sort, SPANS)
 
