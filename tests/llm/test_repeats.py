@@ -163,6 +163,45 @@ def test_many_equal_rows_beside_another_text_give_one_run_each(spark, monkeypatc
     assert len(spans) == 1 and groups and max(groups) <= 4
 
 
+@pytest.mark.parametrize("passages", [None, 7])
+def test_a_line_said_over_and_over_is_one_row_of_its_text(spark, monkeypatch, passages):
+    """However often texts say it, one row each goes through the joins. One text says a passage again between other words."""
+    monkeypatch.setattr(lookup, "HEAVY", 2)
+    real, joined = repeats.lookup, []
+    monkeypatch.setattr(repeats, "lookup", lambda rows, *a, **b: (joined.append(rows.count()), real(rows, *a, **b))[1])
+    line, apart = "one line of words ", sentences(7, 12)
+    rows_of = {}
+    for times in (5, 50):
+        joined.clear()
+        rows = [(i, f"{i} {line * times}{i}") for i in range(6)]
+        rows += [(6, "".join(f"{apart} {i:04} " for i in range(5))), (7, f"{sentences(8, 20)} {line * 3}{apart}"), (8, line * times), (8, line * times)]
+        got = removed(with_repeats(docs(spark, rows), 50, passages=passages))
+        if not passages:
+            assert got == expected(rows, 50)
+        else:
+            assert all(not e or g for x, y in zip(got, expected(rows, 50)) for g, e in zip(x[3], y[3]))
+        rows_of[times] = list(joined)
+    assert len(rows_of[5]) == 2 and all(many <= few + 5 for few, many in zip(rows_of[5], rows_of[50])), rows_of
+
+
+def test_one_of_equals():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 400):
+        owner = np.sort(rng.integers(0, 5, n))
+        first = np.arange(n) * 3
+        kind, anchor = rng.integers(0, 6, n), rng.integers(0, 2, n)
+        last = first + kind
+        one, times, at, start, end = repeats.one_of_equals(owner, first, last, anchor, kind, 4)
+        groups = {}
+        for i, key in enumerate(zip(owner.tolist(), kind.tolist(), anchor.tolist())):
+            groups.setdefault(key, []).append(i)
+        assert np.all(np.diff(one) > 0) and times.sum() == n
+        covered = {(owner[i], p) for i, a, b in zip(at.tolist(), start.tolist(), end.tolist()) for p in range(a, b)}
+        several = [i for i, t in zip(one.tolist(), times.tolist()) if t > 1]
+        want = {(owner[i], p) for g in groups.values() for i in g if g[0] in several for p in range(first[i], last[i] + 4)}
+        assert covered == want
+
+
 def sentences(seed, n):
     rng = random.Random(seed)
     return " ".join("".join(rng.choices("abcdeé", k=rng.randint(2, 8))) for _ in range(n))

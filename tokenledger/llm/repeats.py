@@ -14,6 +14,9 @@ a text is a sequence of runs of windows, one for each anchor, at about every 140
   repeated as they are. The bytes of these runs are fetched and their suffixes sorted by the digits that follow.
 - An anchor with very many kinds of runs is not collected: its windows are counted by a hash of all their bytes instead.
 
+A line that is said over and over makes many equal runs of one text. They are repeated as they are, which needs no other
+text, and go through the groupings as one row that counts for all of them.
+
 With `words`, passages of that many words are repeated too, however short the words are. Those that have `length` bytes are
 found as above; the few windows of so many words in fewer bytes are counted by the hash of their bytes.
 
@@ -231,7 +234,30 @@ def _key(docs: DataFrame) -> tuple[list[Column], bool]:
     return [own.cast("long").alias(KEY[0]), mark.cast("long").alias(KEY[1])], not clear
 
 
+def one_of_equals(
+    owner: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, kind: np.ndarray, length: int
+) -> tuple[np.ndarray, ...]:
+    """Of runs in the order of their texts: where the first of equal runs of a text stands and how many they are; then, for
+    each stretch of those that are several, where a run of it stands, its start and its end."""
+    order = np.lexsort((anchor, kind))
+    differ = np.zeros(max(0, len(order) - 1), bool)
+    for own in (owner[order], anchor[order], kind[order]):
+        differ |= own[1:] != own[:-1]
+    head = np.flatnonzero(np.append(True, differ)[: len(order)])
+    times = np.diff(np.append(head, len(order)))
+    several = np.flatnonzero(times > 1)
+    at, group = order[np.repeat(times > 1, times)], np.repeat(several, times[several])
+    start, end = first[at], last[at] + length
+    new = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (start[1:] > end[:-1]))[: len(at)])
+    in_order = np.argsort(order[head])
+    high = np.maximum.reduceat(end, new) if len(new) else end
+    return order[head][in_order], times[in_order], at[new], start[new], high
+
+
 def _anchors(texts: DataFrame, length: int, passages: int | None) -> DataFrame:
+    """The runs of the texts, equal ones of a text as one row with their number, `times`. Rows without an anchor are stretches
+    of runs that a text has several times."""
+
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = strings(batch.column(2))
@@ -245,13 +271,17 @@ def _anchors(texts: DataFrame, length: int, passages: int | None) -> DataFrame:
                         for own, more in zip(columns, found):
                             own.append(more)
             if rows:
-                owner = pa.array(np.concatenate(rows))
+                owner = np.concatenate(rows)
                 first, last, anchor, kind = (np.concatenate(c).astype(np.int64) for c in columns)
-                keys = [batch.column(0).take(owner), batch.column(1).take(owner)]
-                more = map(pa.array, (first, last, anchor, kind, np.concatenate(short)))
-                yield pa.RecordBatch.from_arrays([*keys, *more], names=[*names, "short"])
-
-    names = [*KEY, "first", "last", "anchor", "kind"]
+                one, times, again, start, end = one_of_equals(owner, first, last, anchor, kind, length)
+                rows, known = np.append(one, again), np.arange(len(one) + len(again)) >= len(one)
+                keys = [batch.column(i).take(pa.array(owner[rows])) for i in (0, 1)]
+                first, last = np.append(first[one], start), np.append(last[one], end - length)
+                times = np.append(times, np.zeros_like(again))
+                more = [pa.array(first), pa.array(last), pa.array(anchor[rows], mask=known), pa.array(kind[rows]), pa.array(times)]
+                yield pa.RecordBatch.from_arrays([*keys, *more, pa.array(np.concatenate(short)[rows])], names=[*names, "short"])
+
+    names = [*KEY, "first", "last", "anchor", "kind", "times"]
     return texts.mapInArrow(find, ", ".join(f"{n} long" for n in names) + ", short boolean")
 
 
@@ -404,18 +434,22 @@ def _spans(
     texts: DataFrame, length: int, kinds_in_task: int, repeated: bool, words: int | None = None, passages: int | None = None
 ) -> DataFrame:
     """The key and a list of repeated stretches (they may overlap) of the rows that have any."""
-    anchors = written(_anchors(texts, length, passages), "anchors")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"))
-    often = written(often.where("n > 1"), "often")
+    rows = written(_anchors(texts, length, passages), "anchors")
+    anchors, known = rows.where("anchor IS NOT NULL"), rows.where("anchor IS NULL")
+    often = anchors.groupBy("anchor").agg(
+        F.count("*").alias("n"), F.sum("times").alias("times"), F.min("kind").alias("low"), F.max("kind").alias("high")
+    )
+    often = written(often.where("times > 1").drop("times"), "often")
     mixture = often.selectExpr("anchor", "low <> high AS mixed")
     met = written(lookup(anchors, mixture, ["anchor"], counts=often).select(*anchors.columns, "mixed"), "met")
     span = [*KEY, F.col("first").alias("start"), (F.col("last") + length).alias("end"), "short"]
     mixed_ = met.where("mixed")
     one = F.min(F.struct(*KEY, "first", "last", "short")).alias("one")
-    kinds = written(mixed_.groupBy("anchor", "kind").agg(F.count("*").alias("n"), one), "kinds")
-    found = met.where("not mixed").select(*span)
-    twice = kinds.where("n > 1").select("anchor", "kind", "n")
-    found = found.union(lookup(mixed_, twice.drop("n"), ["anchor", "kind"], counts=twice).select(*span))
+    open_ = F.count(F.when(F.col("times") == 1, 1)).alias("open")  # rows whose text alone does not tell that they are repeated
+    kinds = written(mixed_.groupBy("anchor", "kind").agg(F.sum("times").alias("n"), open_, one), "kinds")
+    found = known.select(*span).union(met.where("not mixed and times = 1").select(*span))
+    twice = kinds.where("n > 1 and open > 0").select("anchor", "kind", F.col("open").alias("n"))
+    found = found.union(lookup(mixed_.where("times = 1"), twice.drop("n"), ["anchor", "kind"], counts=twice).select(*span))
     sample = kinds.select("one.*", "anchor", (F.col("n") == 1).alias("alone"))
     contents = written(_kind_bytes(texts, sample, length, repeated), "runs")
     sizes = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")), "sizes")
