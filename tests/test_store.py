@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import date, datetime, timezone
 from decimal import Decimal
 
@@ -32,6 +33,7 @@ from tokenledger.schemas import (
     USAGE_DAILY,
     USAGE_HOURLY,
 )
+from tokenledger.session import FREE_SHUFFLES
 from tokenledger.sources.landing import lookback, project_table, read_observations
 from tokenledger.sources.seen_files import SeenFiles
 from tokenledger.streaming.jobs import start_observation_sync, start_score_sync, start_trace_store_sync
@@ -213,6 +215,44 @@ def test_the_key_index_follows_appends_truncates_and_many_moves(spark, store, mo
     assert all(len(v) <= 3 for v in keys.values())
 
 
+@pytest.mark.parametrize("skip_unchanged", [False, True])
+def test_an_upsert_in_many_slices_is_the_same(spark, store, monkeypatch, skip_unchanged):
+    """Rows that stay, change, move to another day, come twice, or have no time."""
+    days = ["2024-01-01", "2024-01-02", "2024-01-03", None]
+    first = [(f"o{i}", days[i % 4], str(i), "u", i) for i in range(40)]
+    second = [(f"o{i}", days[(i + (i % 3 == 0)) % 4], str(i + (i % 2) * 100), "u", i) for i in range(5, 45)]
+    second += [(f"o{i}", days[2], "-1", "u", -i) for i in range(5, 45)]
+    store.upsert_observations(observations(spark, first), AS_OF)
+    monkeypatch.setattr(store_module, "SLICE", 4000)
+    written = []
+    write = Versions.write
+    monkeypatch.setattr(Versions, "write", lambda self, *a, **b: written.append(self.path) or write(self, *a, **b))
+    store.upsert_observations(observations(spark, second), AS_OF, skip_unchanged=skip_unchanged)
+    assert written.count(store.path(FACT_OBSERVATION)) > 1
+    want = {f"o{i}": (str(days[i % 4]), Decimal(i)) for i in range(5)}
+    want |= {f"o{i}": (str(days[(i + (i % 3 == 0)) % 4]), Decimal(i + (i % 2) * 100)) for i in range(5, 45)}
+    assert stored(store) == want
+    assert store.read(FACT_OBSERVATION).count() == 45
+
+
+def shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = [manager.getAllFiles().apply(i).getName() for i in range(manager.getAllFiles().size())]
+    return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def test_an_upsert_leaves_no_shuffle_files(spark, store):
+    """Steps of one job do not keep the shuffle files of all steps before."""
+    before = shuffle_files(spark)
+    setting = spark.conf.get(FREE_SHUFFLES, "false")
+    store.upsert_observations(observations(spark, [(f"o{i}", "2024-01-01", "1", "u", i) for i in range(500)]), AS_OF)
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(FREE_SHUFFLES, "false") == setting
+
+
 def test_scores_move_between_days_too(spark, store):
     score = lambda day: spark.createDataFrame([("s", day)], "score_id string, t string").select(
         *[F.col("score_id") if f.name == "score_id" else F.col("t").cast("timestamp").alias(f.name) if f.name == "timestamp"

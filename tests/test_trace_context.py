@@ -10,8 +10,10 @@ from tokenledger.operators import trace_context
 from tokenledger.operators.enrich import enrich_from_traces
 from tokenledger.operators.normalize import normalize_observations
 from tokenledger.operators.trace_context import TraceContext
+from tokenledger.operators.versions import Files
 from tokenledger.schemas import DIM_USER, FACT_OBSERVATION, RAW_OBSERVATION, RAW_TRACE, STORED_TRACE
 from tokenledger.streaming.jobs import start_trace_store_sync
+from tokenledger.workload.landed import land_store_export
 
 SEEN = ["observation_id", "trace_id", "user_id", "session_id", "environment", "tags"]
 
@@ -150,6 +152,27 @@ def test_hot_trace(spark, store):
     assert store.read(FACT_OBSERVATION).where("user_id IS NULL").count() == 1000
 
 
+def test_an_observation_that_named_two_traces_is_filled_from_the_one_it_has(spark, store):
+    context = TraceContext(store)
+    context.take_observations(raw(spark, RAW_OBSERVATION, [call("a"), call("b")]))
+    context.take_observations(raw(spark, RAW_OBSERVATION, [call("a", "other")]))
+    context.take_traces(raw(spark, RAW_TRACE, [trace("t", userId="u"), trace("other", userId="v")]))
+    assert {k: v[:2] for k, v in facts(store).items()} == {"a": ("other", "v"), "b": ("t", "u")}
+
+
+def test_a_landed_export_is_small(spark, tmp_path):
+    """An export repeats its field names in every line, and the stream query lands it whole before it begins."""
+    spark.range(2000).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01' + make_dt_interval(0, 0, id) AS ts", "id % 50 AS user_id",
+        "'click' AS event_type", "id / 7D AS value", "concat('{\"k\": ', id % 99, '}') AS props",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    root = land_store_export(spark, str(tmp_path))
+    lines = spark.read.text([f"{root}/observations", f"{root}/traces/first", f"{root}/traces/second"])
+    assert lines.count() == 2000 + 2 * lines.where("value LIKE '%stale%'").count()
+    size = sum(Files(spark).size(f"{root}/{x}") for x in ("observations", "traces"))
+    assert size < lines.select(F.sum(F.length("value"))).first()[0] / 4
+
+
 def test_stream_fills_observations_that_came_first(spark, tmp_path, store):
     def land(folder, name, rows):
         (tmp_path / folder).mkdir(exist_ok=True)

@@ -40,11 +40,16 @@ from tokenledger.schemas import (
     USAGE_TRACES,
     TableSpec,
 )
-from tokenledger.session import pin_utc, scratch_dir
+from tokenledger.session import pin_utc, scratch_dir, shuffles_freed
 from tokenledger.tables import Tables
 
 KEY_BUCKETS = 64
 
+#: Bytes of stored files that one step of an upsert shuffles at a time, so that its shuffle files do not grow with the table.
+SLICE = 1 << 30
+#: For batches on disk: written once, read a few times, deleted.
+SPOOLED = {"compression": "zstd"}
+
 
 #: Folder of the day of rows without an event time.
 NO_DAY = "day=__HIVE_DEFAULT_PARTITION__"
@@ -110,9 +115,12 @@ class Store:
 
     def of_keys(self, spec: TableSpec, wanted: DataFrame) -> DataFrame:
         """The stored rows of some keys. Where there is a key index, only days that may hold them are read."""
+        return self.days_of_keys(spec, wanted).join(wanted.select(*spec.keys).distinct(), list(spec.keys), "left_semi")
+
+    def days_of_keys(self, spec: TableSpec, wanted: DataFrame) -> DataFrame:
+        """All stored rows of the days that ``of_keys`` reads."""
         base = self.versions(spec).current()
-        days = None if base.keys is None else self._index(spec).holding(base.keys, wanted)
-        return self._read(spec, base, days).join(wanted.select(*spec.keys).distinct(), list(spec.keys), "left_semi")
+        return self._read(spec, base, None if base.keys is None else self._index(spec).holding(base.keys, wanted))
 
     def _rollups(self) -> list[TableSpec]:
         """Those that have been made; a record says so, also where they have no rows."""
@@ -189,7 +197,7 @@ class Store:
         order = F.col("_seq") if "_seq" in rows.columns else F.struct(F.monotonically_increasing_id())
         path = scratch_dir(self.spark, f"batch-{spec.name}")
         shaped = rows.select(*checked, order.alias("_seq"))
-        self._with_day(spec, shaped).write.parquet(path)
+        self._with_day(spec, shaped).write.parquet(path, **SPOOLED)
         spooled = self.spark.read.parquet(path)
         return Batch(spooled, spooled.count(), path)
 
@@ -217,28 +225,48 @@ class Store:
         sync that re-reads weeks of data then rewrites only the days in which
         something changed.
         """
-        batch = self._spool(spec, rows)
-        if batch.count:
-            self._merge(spec, batch, key_may_move, skip_unchanged)
-        self._files.delete(batch.path)
+        with shuffles_freed(self.spark, rows.sparkSession):
+            batch = self._spool(spec, rows)
+            if batch.count:
+                self._merge(spec, batch, key_may_move, skip_unchanged)
+            self._files.delete(batch.path)
         return batch.count
 
     def _merge(self, spec: TableSpec, batch: Batch, key_may_move: bool, skip_unchanged: bool) -> None:
-        base = self.versions(spec).current()
-        latest = latest_by_key(batch.rows, spec.keys, ["_seq"]).select(*spec.stored_schema.fieldNames())
-        if not skip_unchanged:
-            self._rewrite(spec, base, latest, key_may_move)
-            return
+        base, size = self.versions(spec).current(), self._files.size(batch.path)
+        if skip_unchanged:
+            days = list(base.parts) if spec.event_time is None else self._days(batch.rows)
+            stored = self._read(spec, base, days)
+            size += self.versions(spec).size({d: base.parts.get(d, []) for d in days})
+        # Written once: the index and the days read it several times, and each would group the batch again.
         path = scratch_dir(self.spark, f"changed-{spec.name}")
-        days = None if spec.event_time is None else self._days(batch.rows)
-        _without_equals(latest, self._read(spec, base, days), spec.keys).write.parquet(path)
+        slices = -(-size // SLICE) or 1
+        for i in range(slices):
+
+            def part(rows: DataFrame, i: int = i) -> DataFrame:
+                return rows if slices == 1 else rows.where(F.pmod(F.xxhash64(*spec.keys), F.lit(slices)) == i)
+
+            latest = latest_by_key(part(batch.rows), spec.keys, ["_seq"]).select(*spec.stored_schema.fieldNames())
+            if skip_unchanged:
+                latest = _without_equals(latest, part(stored), spec.keys)
+            latest.write.mode("append").parquet(path, **SPOOLED)
         changed = self.spark.read.schema(spec.stored_schema).parquet(path)
         if not changed.isEmpty():
-            self._rewrite(spec, base, changed, key_may_move)
+            self._rewrite(spec, base, changed, key_may_move, self._files.size(path))
         self._files.delete(path)
 
-    def _rewrite(self, spec: TableSpec, base: Record, latest: DataFrame, key_may_move: bool) -> None:
-        """Replace the stored rows of the keys of `latest`, which has one row a key."""
+    def _slices(self, spec: TableSpec, base: Record, touched: Sequence[str], size: int) -> list[list[str]]:
+        """Parts to be written together; `size` is that of the rows that go into all of them."""
+        slices, room = [[]], SLICE
+        for part in touched:
+            room -= self.versions(spec).size({part: base.parts.get(part, [])}) + size // len(touched)
+            slices[-1].append(part)
+            if room <= 0:
+                slices, room = [*slices, []], SLICE
+        return [s for s in slices if s] or [[]]
+
+    def _rewrite(self, spec: TableSpec, base: Record, latest: DataFrame, key_may_move: bool, size: int = 0) -> None:
+        """Replace the stored rows of the keys of `latest`, which has one row a key and `size` bytes."""
         table, keys, on = self.versions(spec), base.keys, list(spec.keys)
         if spec.event_time is None:
             touched = list(base.parts)
@@ -254,10 +282,14 @@ class Store:
                 touched = sorted({*touched, *left})
             elif keys is not None:
                 keys = index.added(keys, parts, number, reset=True)
-        stored = self._read(spec, base, touched)
-        merged = stored.join(latest.select(*on), on, "left_anti").unionByName(latest) if base.parts else latest
-        version, filled = table.write(merged, base.number + 1, spec.cluster)
-        changed = {p: [version] if p in filled else [] for p in {*touched, *filled}}
+        changed, slices = {p: [] for p in touched}, self._slices(spec, base, touched, size)
+        for some in slices:
+            merged = latest if len(slices) == 1 else latest.where(_folder_of(F.col("day")).isin(some))
+            if base.parts:
+                stored = self._read(spec, base, some)
+                merged = stored.join(latest.select(*on), on, "left_anti").unionByName(merged)
+            version, filled = table.write(merged, base.number + 1, spec.cluster)
+            changed |= {p: [version] for p in filled}
         table.publish(base, changed, self._index(spec).files, keys=keys)
         self._follow(spec)
 
@@ -279,12 +311,13 @@ class Store:
     ) -> int:
         """Upsert observations, register their users and note the time of the sync."""
         spec = FACT_OBSERVATION
-        batch = self._spool(spec, rows)
-        if batch.count:
-            self._merge(spec, batch, key_may_move, skip_unchanged)
-            self.register_users(batch.rows)
-            self.mark_synced(as_of)
-        self._files.delete(batch.path)
+        with shuffles_freed(self.spark, rows.sparkSession):
+            batch = self._spool(spec, rows)
+            if batch.count:
+                self._merge(spec, batch, key_may_move, skip_unchanged)
+                self.register_users(batch.rows)
+                self.mark_synced(as_of)
+            self._files.delete(batch.path)
         return batch.count
 
     def upsert_scores(self, rows: DataFrame, skip_unchanged: bool = False) -> int:

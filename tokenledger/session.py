@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+# Spark's setting that an action takes its shuffle files with it.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(
     app_name: str = "tokenledger", master: str | None = None, shuffle_partitions: int | None = None
@@ -39,6 +44,22 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def shuffles_freed(*sessions: SparkSession) -> Iterator[None]:
+    """Actions inside delete their shuffle files when they end.
+
+    Otherwise these stay until the driver happens to collect its garbage, and a job of many steps keeps those of all its steps.
+    """
+    before = [(s, s.conf.get(FREE_SHUFFLES, "false")) for s in sessions]
+    for s in sessions:
+        s.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        for s, value in reversed(before):
+            s.conf.set(FREE_SHUFFLES, value)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for intermediate tables, in the cluster's shared folder.
 

@@ -17,7 +17,7 @@ from tokenledger.operators.governance_rows import (
     governance_snapshots,
 )
 from tokenledger.operators.normalize import normalize_observations, normalize_scores
-from tokenledger.operators.store import Store
+from tokenledger.operators.store import SPOOLED, Store
 from tokenledger.operators.trace_context import TraceContext
 from tokenledger.schemas import (
     GOVERNANCE_DOCUMENT,
@@ -143,7 +143,7 @@ def start_trace_store_sync(
 
     def sync(batch: DataFrame, _batch_id: int) -> None:
         path = scratch_dir(spark, "batch-trace-store")
-        _arrived(batch).write.partitionBy("_kind").parquet(path)
+        _arrived(batch).write.partitionBy("_kind").parquet(path, **SPOOLED)
         rows = batch.sparkSession.read.parquet(path)
         context = TraceContext(store, keep_days)
         context.take_traces(store_traces(rows.where(F.col("_kind") == "trace")))

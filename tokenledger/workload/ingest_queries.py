@@ -608,15 +608,17 @@ def stream_late_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_late_traces", _ENRICHED)
 def stream_late_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations through the stream with older rows of half the traces; the rest and the newer row of each come later."""
-    export = land_store_export(spark, sf_dir)
-    landing, checkpoint = scratch_dir(spark, "landed-late"), scratch_dir(spark, "stream")
+    landing, checkpoint = land_store_export(spark, sf_dir, "not-yet"), scratch_dir(spark, "stream")
     store = Store(spark, scratch_dir(spark, "store"))
-    older = spark.read.text(f"{export}/traces/first")
-    spark.read.text(f"{export}/observations").write.text(f"{landing}/observations")
-    older.where(F.xxhash64("value") % 2 == 0).write.text(f"{landing}/traces")
+
+    def arrive(traces: DataFrame) -> None:
+        traces.write.mode("append").text(f"{landing}/traces", compression="gzip")
+
+    older = spark.read.text(f"{landing}/not-yet/first")
+    arrive(older.where(F.xxhash64("value") % 2 == 0))
     start_trace_store_sync(spark, landing, store, checkpoint, available_now=True).awaitTermination()
-    older.where(F.xxhash64("value") % 2 != 0).write.mode("append").text(f"{landing}/traces")
-    spark.read.text(f"{export}/traces/second").write.mode("append").text(f"{landing}/traces")
+    arrive(older.where(F.xxhash64("value") % 2 != 0))
+    arrive(spark.read.text(f"{landing}/not-yet/second"))
     start_trace_store_sync(spark, landing, store, checkpoint, available_now=True).awaitTermination()
     return store.read(FACT_OBSERVATION).select("observation_id", "user_id", "session_id", "environment", "tags")
 

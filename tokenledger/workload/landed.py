@@ -124,11 +124,11 @@ def land_store_scores(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def land_store_export(spark: SparkSession, sf_dir: str) -> str:
-    """A trace-store export: observations in snake case, and their traces.
+def land_store_export(spark: SparkSession, sf_dir: str, traces_in: str = "traces") -> str:
+    """A trace-store export: observations in snake case, and their traces in the folder ``traces_in`` beside them.
 
     Each trace appears twice. The later row, in the file of later time, has the
-    context; every fifth trace has none.
+    context; every fifth trace has none. The lines repeat their field names, so files are compressed.
     """
     raw = raw_observations(spark, sf_dir)
     root = scratch_dir(spark, "landed-store")
@@ -149,7 +149,7 @@ def land_store_export(spark: SparkSession, sf_dir: str) -> str:
         level="level",
         status_message="statusMessage",
         environment="environment",
-    ).write.json(f"{root}/observations")
+    ).write.json(f"{root}/observations", compression="gzip")
     traces = raw.groupBy(F.col("traceId").alias("id")).agg(
         F.max("userId").alias("user_id"),
         F.max("sessionId").alias("session_id"),
@@ -157,7 +157,7 @@ def land_store_export(spark: SparkSession, sf_dir: str) -> str:
         F.max("event_id").alias("n"),
     )
     older = _columns(traces, id="id", user_id="'stale'", environment="'stale'", timestamp="timestamp")
-    older.write.json(f"{root}/traces/first")
+    older.write.json(f"{root}/{traces_in}/first", compression="gzip")
     newer = _columns(
         traces,
         id="id",
@@ -167,7 +167,7 @@ def land_store_export(spark: SparkSession, sf_dir: str) -> str:
         tags="array(id)",
         timestamp="timestamp",
     )
-    newer.write.json(f"{root}/traces/second")
+    newer.write.json(f"{root}/{traces_in}/second", compression="gzip")
     return root
 
 
