@@ -10,7 +10,8 @@ import zstandard
 
 from tokenledger.operators.session_calls import project_slug, session_observations
 from tokenledger.reference_data import default_model_prices
-from tokenledger.sources.session_logs import read_session_events
+from tokenledger.sources import session_logs
+from tokenledger.sources.session_logs import read_session_events, spool_session_events
 
 AS_OF = datetime(2025, 9, 1, tzinfo=timezone.utc)
 
@@ -97,6 +98,36 @@ def test_only_changed_logs(spark, tmp_path):
     assert [r["session_id"] for r in calls(spark, tmp_path, changed_since=since)] == ["new"]
 
 
+@pytest.mark.parametrize("at_once", [2, 100])
+def test_logs_are_read_some_at_a_time(spark, tmp_path, monkeypatch, at_once):
+    """The driver holds the files of a few sessions, and finds the logs that one scan of the root finds."""
+    root = tmp_path / "logs"
+    for i, (project, session) in enumerate(
+        [("p", "a"), ("p", "b [1]"), ("p", "c,d"), ("q", "{x}"), ("q", "e%20f"), ("project=-home-me-r", "session=s"), (".", "."),
+         ("p", "."), ("p", "deep/er"), ("_hidden", "h"), ("p", "_temporary"), ("p", ".h"), ("q", "_key=v")]
+    ):
+        write_log(root, project, session, [message(i + 1, 1, 0), "not json", {"type": "session", "id": f"s{i}"}, message(i + 1, 1, 5)])
+    write_log(root, "p", "other", [message(99, 1, 0)], "another.jsonl.zst")
+    given = []
+    read = session_logs.read_session_events
+
+    def recorded(spark, folders, *rest):
+        given.append(len(folders))
+        return read(spark, folders, *rest)
+
+    monkeypatch.setattr(session_logs, "read_session_events", recorded)
+    got = spool_session_events(spark, str(root), str(tmp_path / "spool"), at_once=at_once)
+    assert max(given) <= at_once and sum(given) >= 10
+
+    def rows(events):
+        observed = session_observations(events, default_model_prices(spark), as_of=AS_OF).drop("_seq").collect()
+        return sorted(map(str, observed)), sorted(r["file"] for r in events.select("file").distinct().collect())
+
+    assert rows(got) == rows(read(spark, str(root)))
+    flat = spool_session_events(spark, str(root / "p" / "a"), str(tmp_path / "flat"), at_once=at_once)
+    assert flat.count() == 3
+
+
 def test_slug(spark):
     from pyspark.sql import functions as F
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -45,19 +45,24 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 
 
 @contextmanager
-def shuffles_freed(*sessions: SparkSession) -> Iterator[None]:
-    """Actions inside delete their shuffle files when they end.
-
-    Otherwise these stay until the driver happens to collect its garbage, and a job of many steps keeps those of all its steps.
-    """
-    before = [(s, s.conf.get(FREE_SHUFFLES, "false")) for s in sessions]
+def setting(key: str, value: str, default: str, *sessions: SparkSession) -> Iterator[None]:
+    """A setting of some sessions inside, and as it was afterwards."""
+    before = [(s, s.conf.get(key, default)) for s in sessions]
     for s in sessions:
-        s.conf.set(FREE_SHUFFLES, "true")
+        s.conf.set(key, value)
     try:
         yield
     finally:
-        for s, value in reversed(before):
-            s.conf.set(FREE_SHUFFLES, value)
+        for s, old in reversed(before):
+            s.conf.set(key, old)
+
+
+def shuffles_freed(*sessions: SparkSession) -> AbstractContextManager[None]:
+    """Actions inside delete their shuffle files when they end.
+
+    Otherwise these stay until the driver happens to collect its garbage, and a job of many steps keeps those of all its steps.
+    """
+    return setting(FREE_SHUFFLES, "true", "false", *sessions)
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:

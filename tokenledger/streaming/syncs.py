@@ -17,6 +17,7 @@ from tokenledger.operators.session_calls import session_observations
 from tokenledger.operators.store import Store
 from tokenledger.reference_data import default_model_prices, default_targets
 from tokenledger.schemas import MODEL_PRICES, TARGETS
+from tokenledger.session import scratch_dir, shuffles_freed
 from tokenledger.sources.governance import accepted, read_governance_documents, skipped
 from tokenledger.sources.landing import (
     LOOKBACK_DAYS,
@@ -29,7 +30,7 @@ from tokenledger.sources.landing import (
     read_store_traces,
 )
 from tokenledger.sources.seen_files import SeenFiles
-from tokenledger.sources.session_logs import LOG_NAME, read_session_events
+from tokenledger.sources.session_logs import LOG_NAME, spool_session_events
 
 
 def sync_landing(
@@ -95,9 +96,13 @@ def sync_session_logs(
     """
     if store.read(MODEL_PRICES).isEmpty():
         store.replace(MODEL_PRICES, default_model_prices(spark))
-    events = read_session_events(spark, root, name, changed_since)
-    rows = session_observations(events, store.read(MODEL_PRICES), as_of=as_of, **options)
-    return store.upsert_observations(rows, as_of, skip_unchanged=True)
+    path = scratch_dir(spark, "session-events")
+    with shuffles_freed(spark):
+        events = spool_session_events(spark, root, path, name, changed_since)
+        rows = session_observations(events, store.read(MODEL_PRICES), as_of=as_of, **options)
+        count = store.upsert_observations(rows, as_of, skip_unchanged=True)
+    store.delete(path)
+    return count
 
 
 def sync_governance(
